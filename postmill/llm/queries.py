@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .pii import op7_pii
+from .secret_scan import op8_secrets
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op7_pii": op7_pii,
+    "op8_secrets": op8_secrets,
 }
 
 #: Where SQL cannot express a query, tests/llm hold it against a brute-force version.
