@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .fingerprint import op2_fingerprints
 from .pii import op7_pii
 from .secret_scan import op8_secrets
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
