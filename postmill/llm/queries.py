@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .fingerprint import op2_fingerprints
+from .licences import OP4_SQL, op4_licences
 from .pii import op7_pii
 from .secret_scan import op8_secrets
+from .zip_warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op4_licences": op4_licences,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
 }
 
 #: Where SQL cannot express a query, tests/llm hold it against a brute-force version.
 ORACLES = {
+    "op4_licences": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op9_warc": OP9_SQL,
 }
