@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chosen_path import op6_jaccard_join
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .fingerprint import op2_fingerprints
 from .licences import OP4_SQL, op4_licences
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op4_licences": op4_licences,
     "op5_decontaminate": op5_decontaminate,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
