@@ -8,10 +8,12 @@ from .fingerprint import op2_fingerprints
 from .licences import OP4_SQL, op4_licences
 from .pii import op7_pii
 from .secret_scan import op8_secrets
+from .suffix_tree import op3_lm_scores
 from .zip_warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_lm_scores": op3_lm_scores,
     "op4_licences": op4_licences,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
