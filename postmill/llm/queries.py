@@ -5,13 +5,16 @@ from __future__ import annotations
 from .chosen_path import op6_jaccard_join
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .fingerprint import op2_fingerprints
+from .langid import op1_language
 from .licences import OP4_SQL, op4_licences
 from .pii import op7_pii
 from .secret_scan import op8_secrets
+from .soft_mixing import op10_soft_mixing
 from .suffix_tree import op3_lm_scores
 from .zip_warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_fingerprints": op2_fingerprints,
     "op3_lm_scores": op3_lm_scores,
     "op4_licences": op4_licences,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 #: Where SQL cannot express a query, tests/llm hold it against a brute-force version.
