@@ -165,7 +165,9 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     mine = [c for c in docs.columns if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
     tokens = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")
     scored = model.with_shares(docs.select(*(F.col(f"`{c}`") for c in mine), tokens.alias("n_tokens")), F.col(text_col), "__shares")
-    cells = written(scored.groupBy(F.col("__shares").alias("shares")).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    # written before it is summed: one stage with all these expressions would be too large to compile
+    shares = written(scored.select("n_tokens", F.col("__shares").alias("shares")), "shares")
+    cells = written(shares.groupBy("shares").agg(F.sum("n_tokens").alias("tokens")), "cells")
     pulls = fit_rates(cells, [t / total for t in targets.values()])
     return scored.select(*(F.col(f"`{c}`") for c in mine), "n_tokens", *((F.col("__shares")[k] / GRID).alias(f"p_{d}") for k, d in enumerate(domains)),
                          F.round(_rate(F.col("__shares"), pulls, len(domains)), 6).alias("rate"))
