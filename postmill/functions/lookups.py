@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,14 +129,18 @@ def covers(authorised: Column, wanted: Column) -> Column:
 
 def work_auth_regions(text: Column) -> Column:
     """Regions of clauses that allow, less those of clauses that demand sponsorship; null if none is left."""
-    allowed, blocked = [], []
-    for code, words in REGIONS.items():
-        here = f"(?i)({whole_word(words)[4:]})"
-        clauses = F.split(text, r"[.;]+")
-        needs = reduce(lambda a, b: a + "|" + b, [p.replace(".", r"\.") for _, ps in WORK_AUTH[1:2] for p in ps])
-        frees = "|".join(p.replace(".", r"\.") for p in WORK_AUTH[0][1])
-        bad = lambda c, n=needs, f=frees: c.rlike(f"(?i)({n})") & ~c.rlike(f"(?i)({f})")
-        allowed.append(F.when(F.exists(clauses, lambda c, h=here, b=bad: c.rlike(h) & ~b(c)), F.lit(code)))
-        blocked.append(F.when(F.exists(clauses, lambda c, h=here, b=bad: c.rlike(h) & b(c)), F.lit(code)))
-    left = F.array_sort(F.array_except(F.array_compact(F.array(*allowed)), F.array_compact(F.array(*blocked))))
+    def phrases(name: str) -> str:
+        return "(?i)" + "|".join(re.escape(p) for p in dict(WORK_AUTH)[name])
+
+    def here(words: str, needing: bool):
+        def clause(c: Column) -> Column:
+            needs = c.rlike(phrases("needs_sponsorship")) & ~c.rlike(phrases("visa_holder"))
+            return c.rlike(words) & (needs if needing else ~needs)
+
+        return clause
+
+    clauses = F.split(text, r"[.;]+")
+    named = {code: whole_word(words) for code, words in REGIONS.items()}
+    allowed, blocked = (F.array_compact(F.array(*(F.when(F.exists(clauses, here(words, needing)), F.lit(code)) for code, words in named.items()))) for needing in (False, True))
+    left = F.array_sort(F.array_except(allowed, blocked))
     return F.when(F.size(left) > 0, left)

@@ -42,7 +42,7 @@ def _first(rules: list[Column]) -> Column:
 
 
 def language_bar(haystack: Column, resume: Column) -> Column:
-    return _first([F.when(haystack.rlike(f"(?iu){demand}") & ~_any(resume, words), f"posting requires {name}; the résumé does not mention it") for name, demand, words in LANGUAGES])
+    return _first([F.when(haystack.rlike(f"(?iU){demand}") & ~_any(resume, words), f"posting requires {name}; the résumé does not mention it") for name, demand, words in LANGUAGES])
 
 
 def student_bar(description: Column, seniority: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries, one module per family; importing them fills QUERIES and ORACLES."""
 
-from . import filtering, joins, normalise, state  # noqa: F401
+from . import classify, filtering, joins, normalise, scoring, state, vaults, vectors  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
