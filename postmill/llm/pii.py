@@ -90,6 +90,7 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _DISGUISED = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
 _DISGUISED_SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|punkt|point)\s*[\])}>]", re.I)
+_TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk ca au nz ie de at ch fr be nl lu it es pt se no dk fi pl cz ru ua jp cn in br mx eu".split())
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
@@ -143,6 +144,10 @@ def _digits_spelled(m: Mapped) -> Mapped:
     return m.rewrite(edits)
 
 
+def _after_bare_at(text: str, at: int) -> bool:
+    return "." not in text[at:] and re.split(r"[^a-z]+", text.lower())[-1] in _TOP
+
+
 def _signs(m: Mapped) -> Mapped:
     edits = []
     for found in (_DISGUISED, _DOTTED_IP):
@@ -151,8 +156,8 @@ def _signs(m: Mapped) -> Mapped:
             at = [s for s in inner if s["at"]]
             hidden = [s for s in inner if s[0] not in ("@", ".")]
             spelled_dot = any(s["dot"] and s[0] != "." for s in inner)
-            if found is _DISGUISED and (len(at) != 1 or not re.search(r"[\[({<@]", at[0][0]) and not spelled_dot):
-                continue  # a bare "at" is a word unless a dot is disguised too
+            if found is _DISGUISED and (len(at) != 1 or not re.search(r"[\[({<@]", at[0][0]) and not (spelled_dot and _after_bare_at(x[0], at[0].end() - x.start()))):
+                continue  # a bare "at" is a word unless all dots after it are disguised too, and a known top domain ends it
             edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in hidden]
     edits.sort()
     return m.rewrite([e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]])

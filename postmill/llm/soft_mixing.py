@@ -39,8 +39,7 @@ TARGETS = {"high": 0.80, "low": 0.18, "toxic": 0.02}
 
 
 def _words(text: Column) -> Column:
-    folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(folded, r"[^a-z0-9\x{AA}-\x{1FFF}]+")
+    return F.split(F.lower(text), r"[^a-z0-9\x{AA}-\x{1FFF}]+")
 
 
 def _bin(value: Column, name: str, steps: list[float]) -> Column:
@@ -51,11 +50,10 @@ def features(text: Column) -> Column:
     """Words, and binned surface features as words that begin with #."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    count = lambda chars: size - F.length(F.translate(text, chars, ""))
+    share = lambda chars: F.regexp_count(text, F.lit(chars)) / size
     lines = F.split(text, "\n")
     surface = F.array(
-        _bin(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, "upper", [0.01, 0.05, 0.2, 0.5]), _bin(count("!#$%&*|{}<>") / size, "signs", [0.001, 0.01, 0.03, 0.1]),
-        _bin(count("0123456789") / size, "digits", [0.001, 0.01, 0.05, 0.2]), _bin(count(" \n\t") / size, "blanks", [0.05, 0.1, 0.15, 0.2, 0.3]),
+        _bin(share("[A-Z]"), "upper", [0.01, 0.05, 0.2, 0.5]), _bin(share("[!#$%&*|{}<>]"), "signs", [0.001, 0.01, 0.03, 0.1]), _bin(share("[0-9]"), "digits", [0.001, 0.01, 0.05, 0.2]),
         _bin(size.cast("double"), "size", [100.0, 300.0, 1000.0, 3000.0, 10000.0]), _bin(F.size(F.array_distinct(lines)) / F.size(lines), "lines", [0.3, 0.6, 0.9, 1.0]))
     return F.concat(_words(text), surface)
 
@@ -157,17 +155,22 @@ def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, close:
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
-                   domain_col: str = "domain") -> DataFrame:
-    """``docs`` with n_tokens, p_<domain> and rate; targets are taken as shares of their sum, of the corpus's tokens."""
+                   domain_col: str = "domain", carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` of ``docs`` (all by default) with n_tokens, p_<domain> and rate; targets are taken as shares of
+    their sum, of the corpus's tokens. Posteriors are worked out once where the text isn't carried, else once more at the end."""
     domains, total = list(targets), sum(targets.values())
     model = fit_classifier(docs, labels, domains, id_col, text_col, domain_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mine = [c for c in docs.columns if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
+    mine = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
     tokens = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")
-    scored = model.with_shares(docs.select(*(F.col(f"`{c}`") for c in mine), tokens.alias("n_tokens")), F.col(text_col), "__shares")
+    kept = docs.select(*(F.col(f"`{c}`") for c in mine), text.alias("__text"), tokens.alias("n_tokens"))
+    scored = model.with_shares(kept, F.col("__text"), "__shares").drop("__text")
     # written before it is summed: one stage with all these expressions would be too large to compile
-    shares = written(scored.select("n_tokens", F.col("__shares").alias("shares")), "shares")
-    cells = written(shares.groupBy("shares").agg(F.sum("n_tokens").alias("tokens")), "cells")
+    if text_col in mine:
+        shares = written(scored.select("n_tokens", "__shares"), "shares")
+    else:
+        shares = scored = written(scored, "shares")
+    cells = written(shares.groupBy(F.col("__shares").alias("shares")).agg(F.sum("n_tokens").alias("tokens")), "cells")
     pulls = fit_rates(cells, [t / total for t in targets.values()])
     return scored.select(*(F.col(f"`{c}`") for c in mine), "n_tokens", *((F.col("__shares")[k] / GRID).alias(f"p_{d}") for k, d in enumerate(domains)),
                          F.round(_rate(F.col("__shares"), pulls, len(domains)), 6).alias("rate"))
@@ -181,5 +184,5 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, domain posteriors and rate of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix_to_targets(docs, quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mix_to_targets(docs, quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), carry=["doc_id"])
