@@ -34,11 +34,13 @@ def fold(value: pa.Array) -> pa.Array:
 
 def squash_latin(value: Column) -> Column:
     """``squash`` without leaving the JVM, for Latin letters with the usual accents."""
-    return F.regexp_replace(F.translate(F.lower(value), _ACCENTED, _BARE), "[^a-z0-9]+", "")
+    return F.regexp_replace(fold_latin(value), "[^a-z0-9]+", "")
 
 
 def fold_latin(value: Column) -> Column:
-    return F.translate(F.lower(value), _ACCENTED, _BARE)
+    """Lower case without the usual accents; translating goes letter by letter, so plain ASCII is spared it."""
+    low = F.lower(value)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _BARE))
 
 
 def _tokens(folded: Column) -> Column:
