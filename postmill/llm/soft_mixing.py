@@ -39,7 +39,8 @@ TARGETS = {"high": 0.80, "low": 0.18, "toxic": 0.02}
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^a-z0-9\x{AA}-\x{1FFF}]+")
+    # a class of what separates: its complement is several times slower in Java
+    return F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def _bin(value: Column, name: str, steps: list[float]) -> Column:
@@ -50,33 +51,52 @@ def features(text: Column) -> Column:
     """Words, and binned surface features as words that begin with #."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.regexp_count(text, F.lit(chars)) / size
+    share = lambda chars: (size - F.length(F.regexp_replace(text, chars, ""))) / size
     lines = F.split(text, "\n")
     surface = F.array(
-        _bin(share("[A-Z]"), "upper", [0.01, 0.05, 0.2, 0.5]), _bin(share("[!#$%&*|{}<>]"), "signs", [0.001, 0.01, 0.03, 0.1]), _bin(share("[0-9]"), "digits", [0.001, 0.01, 0.05, 0.2]),
+        _bin(share("[A-Z]+"), "upper", [0.01, 0.05, 0.2, 0.5]), _bin(share("[!#$%&*|{}<>]+"), "signs", [0.001, 0.01, 0.03, 0.1]), _bin(share("[0-9]+"), "digits", [0.001, 0.01, 0.05, 0.2]),
         _bin(size.cast("double"), "size", [100.0, 300.0, 1000.0, 3000.0, 10000.0]), _bin(F.size(F.array_distinct(lines)) / F.size(lines), "lines", [0.3, 0.6, 0.9, 1.0]))
     return F.concat(_words(text), surface)
 
 
+#: Maps are searched entry by entry, so features are kept in so many small ones, by hash.
+SLOTS = 64
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
 class Classifier:
-    """Domains, their base log likelihoods, and for each feature the log odds that it adds when present."""
+    """Domains, their base log likelihoods, and for each feature its slot and the log odds that it adds when present."""
 
-    def __init__(self, domains: list[str], base: list[float], odds: dict[str, list[float]]):
+    def __init__(self, domains: list[str], base: list[float], odds: dict[str, tuple[int, list[float]]]):
         self.domains, self.base, self.odds = domains, base, odds
 
+    def _table(self) -> Column:
+        """One small map for each slot; the empty word, which is no feature, keeps every map from being empty."""
+        maps: list[dict[str, list[float]]] = [{"": [0.0] * len(self.domains)} for _ in range(SLOTS)]
+        for word, (slot, odds) in self.odds.items():
+            maps[slot][word] = odds
+        return F.array(*(F.create_map(*(x for w, o in m.items() for x in (F.lit(w), F.array(*(F.lit(float(v)) for v in o))))) for m in maps))
+
     def with_shares(self, rows: DataFrame, text: Column, name: str) -> DataFrame:
         """``rows`` and an array of posteriors in parts of GRID, which sum to GRID, in the order of the domains.
 
         Built column by column: each later one refers to earlier ones more than once, and is not to repeat their work."""
         n = len(self.domains)
         kept = [F.col(f"`{c}`") for c in rows.columns]
-        logs = F.array(*(F.lit(float(b)) for b in self.base))
         if self.odds:
-            present = F.array_intersect(features(text), F.array(*(F.lit(w) for w in self.odds)))
-            table = F.create_map(*(x for w, o in self.odds.items() for x in (F.lit(w), F.array(*(F.lit(float(v)) for v in o)))))
-            logs = F.aggregate(present, logs, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
-        out = rows.select(*kept, logs.alias("__logs"))
-        out = out.select(*kept, *(F.col("__logs")[k].alias(f"__log{k}") for k in range(n)))
+            out = rows.select(*kept, F.array_intersect(features(text), F.array(*(F.lit(w) for w in self.odds))).alias("__present"))
+            table = self._table()
+            # the sizes keep Spark from merging the steps: lambdas are not compiled, and what they stood on would not be either
+            odds = F.when(F.size("__present") >= 0, F.transform("__present", lambda w: F.element_at(F.element_at(table, _slot(w) + 1), w)))
+            out = out.select(*kept, odds.alias("__odds"))
+            add = lambda k: lambda acc, o: acc + o[k]
+            logs = [F.aggregate("__odds", F.lit(float(self.base[k])), add(k)) for k in range(n)]
+        else:
+            out, logs = rows, [F.lit(float(b)) for b in self.base]
+        out = out.select(*kept, *(x.alias(f"__log{k}") for k, x in enumerate(logs)))
         top = F.greatest(*(F.col(f"__log{k}") for k in range(n))) if n > 1 else F.col("__log0")
         out = out.select(*kept, *(F.exp(TEMPER * (F.col(f"__log{k}") - top)).alias(f"__e{k}") for k in range(n)))
         ends = [reduce(lambda a, b: a + b, [F.col(f"__e{j}") for j in range(k + 1)]) for k in range(n)]
@@ -108,11 +128,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     present = reduce(lambda a, b: a + b, [F.col(f"n{k}") for k in range(len(domains))])
     part = lambda x, p, t: F.when(x > 0, x * F.log(x * whole / (p * t))).otherwise(0.0)
     gain = reduce(lambda a, b: a + b, [part(F.col(f"n{k}"), present, F.lit(t)) + part(t - F.col(f"n{k}"), whole - present, F.lit(t)) for k, t in enumerate(totals) if t])
-    best = per.withColumn("gain", F.round(gain, 6)).orderBy(F.desc("gain"), "word").limit(size).collect()
+    best = per.withColumns({"gain": F.round(gain, 6), "slot": _slot(F.col("word"))}).orderBy(F.desc("gain"), "word").limit(size).collect()
     odds = {}
     for r in best:
         rate = [(r[f"n{k}"] + (sum(r[f"n{j}"] for j in range(len(domains))) + 0.5) / (whole + 1)) / (t + 1) for k, t in enumerate(totals)]
-        odds[r["word"]] = [math.log(p / (1 - p)) for p in rate]
+        odds[r["word"]] = (r["slot"], [math.log(p / (1 - p)) for p in rate])
         base = [b + math.log(1 - p) for b, p in zip(base, rate)]
     return Classifier(domains, base, odds)
 
@@ -162,7 +182,8 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     model = fit_classifier(docs, labels, domains, id_col, text_col, domain_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
-    tokens = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")
+    # the classifier's words, so that texts are split once
+    tokens = F.size(F.array_remove(_words(text), "")).cast("bigint")
     kept = docs.select(*(F.col(f"`{c}`") for c in mine), text.alias("__text"), tokens.alias("n_tokens"))
     scored = model.with_shares(kept, F.col("__text"), "__shares").drop("__text")
     # written before it is summed: one stage with all these expressions would be too large to compile
