@@ -7,7 +7,7 @@ probability 1/(t * coordinates) each, t being the threshold, and a text goes on
 named by its value there, so a text's paths are its own to compute and only texts that share
 values meet. Texts at the same node after ``DEPTH`` choices form a bucket; larger buckets than
 ``BUCKET`` are split further, by joining just their members with their MinHash values again.
-Buckets are then brute-forced on eight-bit MinHash sketches. Runs are repeated until a pair at the
+Buckets are then brute-forced on four-bit MinHash sketches. Runs are repeated until a pair at the
 threshold has met with probability ``RECALL``.
 
 Bucket results leave as stars (text, smallest text of its likely group), never as all pairs. Their
@@ -41,6 +41,8 @@ BUCKET = 512
 DEEPEST = 12
 RECALL = 0.99
 BLOCK = 256
+#: Ids that may be broadcast, of 16 bytes or so each.
+MOST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,15 +67,15 @@ _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _GOLD)
 
 
 def minhash(values: np.ndarray) -> np.ndarray:
-    """MinHash values of one non-empty set of 64-bit hashes."""
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    """MinHash values (32 bits each) of one non-empty set of 64-bit hashes."""
+    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)  # the high halves tell sets apart well enough
     for a in range(0, len(values), 4096):
         part = values[a : a + 4096]
         x = (part[:, None] ^ _SEEDS[None, :]) * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xC4CEB9FE1A85EC53)
         np.minimum(out, x.min(axis=0), out=out)
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,11 @@ def _described(batches):
             other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(values) + _GOLD))])
             low, high = total[offsets[1:]] - total[offsets[:-1]], other[offsets[1:]] - other[offsets[:-1]]
             marks = [minhash(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:]) if b > a]
-            flat = np.concatenate(marks) if marks else np.empty(0, np.uint64)
+            flat = np.concatenate(marks) if marks else np.empty(0, np.uint32)
             ends = np.concatenate([[0], np.cumsum(n > 0)]) * COORDINATES
             none = n == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(low.view(np.int64), mask=none), pa.array(high.view(np.int64), mask=none), pa.array(n, pa.int32()), lists(flat.view(np.int64), ends, pa.int64())],
+                [batch.column(0), pa.array(low.view(np.int64), mask=none), pa.array(high.view(np.int64), mask=none), pa.array(n, pa.int32()), lists(flat.view(np.int32), ends, pa.int32())],
                 names=["id", "low", "high", "n", "mark"])
 
 
@@ -146,7 +148,7 @@ def _step(path: np.ndarray, who: np.ndarray, marks: np.ndarray, threshold: float
 
 
 def _marks(batch: pa.RecordBatch, name: str = "mark") -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, COORDINATES)
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(-1, COORDINATES)
 
 
 def _emit(batch, path, who, sketch):
@@ -156,8 +158,8 @@ def _emit(batch, path, who, sketch):
 
 
 def _sketches(marks: np.ndarray) -> list[bytes]:
-    small = (mix(marks) & np.uint64(255)).astype(np.uint8)
-    return [r.tobytes() for r in small]
+    small = (mix(marks) & np.uint64(15)).astype(np.uint8)
+    return [r.tobytes() for r in small[:, ::2] << 4 | small[:, 1::2]]
 
 
 def _walk(runs: int, depth: int, threshold: float):
@@ -223,7 +225,8 @@ def _likely(least: float, threshold: float):
             if len(order) < 2:
                 continue
             ids = ids[order]
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+            packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES // 2)[order]
+            sketch = np.concatenate([packed >> 4, packed & 15], axis=1)
             size = table.column("n").to_numpy()[order].astype(np.float64)
             a, b = [], []
             for k in range(0, len(ids) - 1):
@@ -339,14 +342,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text_batches(spark, 256)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    described = written(rows.mapInArrow(_described, "id bigint, low bigint, high bigint, n int, mark array<bigint>"), "described")
+    described = written(rows.mapInArrow(_described, "id bigint, low bigint, high bigint, n int, mark array<int>"), "described")
     texts = written(described.where("n > 0").groupBy("low", "high").agg(F.min("id").alias("text_id"), F.count("*").alias("copies")), "texts")
     # One row of each text; texts themselves are not shuffled for this.
     marks = written(described.where("n > 0").withColumnRenamed("id", "text_id").join(texts.select("text_id"), "text_id", "left_semi")
                     .select("text_id", "n", "mark"), "marks")
 
-    buckets = written(marks.mapInArrow(_walk(runs_needed(recall), DEPTH, threshold), _BUCKETS), "buckets")
-    least = threshold - 3 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    # Walked again where it is read again: that is cheaper than keeping some twenty rows a text.
+    buckets = marks.mapInArrow(_walk(runs_needed(recall), DEPTH, threshold), _BUCKETS)
+    agree = threshold + (1 - threshold) / 16  # four bits also agree by chance
+    least = agree - 3 * math.sqrt(agree * (1 - agree) / COORDINATES)
     met, stars = None, None
     for depth in range(DEPTH, DEEPEST + 1):
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("text_id").alias("first"))
@@ -369,7 +374,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = near.join(texts, near.node == texts.text_id).select("root", "text_id", "copies")
     sizes = ranked.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = ranked.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
-    sets = rows.join(placed.withColumnRenamed("text_id", "id"), "id").select("id", "text", "root", "copies", "blocks", "block").mapInArrow(
+    members = placed.withColumnRenamed("text_id", "id")
+    chosen = rows
+    if near.count() <= MOST_IDS:
+        # Few enough ids to send everywhere: then only the members' texts are shuffled, else all meet by id.
+        chosen = rows.join(F.broadcast(near.select(F.col("node").alias("id"))), "id", "left_semi")
+    sets = chosen.join(members, "id").select("id", "text", "root", "copies", "blocks", "block").mapInArrow(
         _set_rows, "text_id bigint, shingles array<bigint>, root bigint, copies bigint, blocks int, block int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     low, high = F.least("block", "other"), F.greatest("block", "other")
