@@ -8,7 +8,8 @@ named by its value there, so a text's paths are its own to compute and only text
 values meet. Texts at the same node after ``DEPTH`` choices form a bucket; larger buckets than
 ``BUCKET`` are split further, by joining just their members with their MinHash values again.
 Buckets are then brute-forced on four-bit MinHash sketches. Runs are repeated until a pair at the
-threshold has met with probability ``RECALL``.
+threshold has met with probability ``RECALL``; as deeper walks lose more, the texts of split
+buckets walk further runs, as many as the deepest level requires.
 
 Bucket results leave as stars (text, smallest text of its likely group), never as all pairs. Their
 connected components, which only collect what might be similar, are then decided exactly:
@@ -46,14 +47,20 @@ MOST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
+def runs_needed(recall: float = RECALL, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
     """Runs until a pair at the threshold has shared a path of ``depth`` with the given probability.
 
-    Such a pair has one common child per node on average, Poisson distributed."""
-    p = 1.0
+    Such a pair has one common child per node on average, Poisson distributed; more or fewer where it
+    agrees in more or fewer coordinates than expected, which all runs share."""
+    agree = np.arange(COORDINATES + 1)
+    weight = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in agree])
+    p = np.ones(COORDINATES + 1)
     for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+        p = 1 - np.exp(-p * agree / (COORDINATES * threshold))
+    runs = 1
+    while runs < 1000 and (weight * (1 - p) ** runs).sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 # ---- sets -------------------------------------------------------------------------------------
@@ -162,14 +169,16 @@ def _sketches(marks: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in small[:, ::2] << 4 | small[:, 1::2]]
 
 
-def _walk(runs: int, depth: int, threshold: float):
+def _walk(start: int, runs: int, depth: int, threshold: float):
+    """Runs ``start`` up to ``runs``, to ``depth``."""
+
     def apply(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 marks = _marks(batch)
                 n = len(marks)
-                path = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED270B)), n)
-                who = np.tile(np.arange(n), runs)
+                path = np.repeat(mix(np.arange(start + 1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED270B)), n)
+                who = np.tile(np.arange(n), runs - start)
                 for _ in range(depth):
                     path, who = _step(path, who, marks, threshold)
                 # a text that meets a node twice is there once
@@ -349,7 +358,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .select("text_id", "n", "mark"), "marks")
 
     # Walked again where it is read again: that is cheaper than keeping some twenty rows a text.
-    buckets = marks.mapInArrow(_walk(runs_needed(recall), DEPTH, threshold), _BUCKETS)
+    runs = runs_needed(recall, DEPTH, threshold)
+    buckets = marks.mapInArrow(_walk(0, runs, DEPTH, threshold), _BUCKETS)
     agree = threshold + (1 - threshold) / 16  # four bits also agree by chance
     least = agree - 3 * math.sqrt(agree * (1 - agree) / COORDINATES)
     met, stars = None, None
@@ -366,7 +376,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             stars = rest.select(F.col("text_id").alias("a"), F.col("first").alias("b")).where("a <> b")
         else:
             split = rest.select("bucket", "text_id").join(marks, "text_id").select("bucket", "text_id", "n", "mark")
-            buckets = written(split.mapInArrow(_split(threshold), _BUCKETS), "buckets")
+            below = split.mapInArrow(_split(threshold), _BUCKETS)
+            if depth == DEPTH:
+                # Their texts may go down to the deepest level, so they walk the runs that level requires.
+                crowded = marks.join(rest.select("text_id").distinct(), "text_id", "left_semi")
+                below = below.unionByName(crowded.mapInArrow(_walk(runs, runs_needed(recall, DEEPEST, threshold), DEPTH + 1, threshold), _BUCKETS))
+            buckets = written(below, "buckets")
     likely = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_likely(least, threshold), "a bigint, b bigint")
     near = written(connected_components(likely if stars is None else likely.unionByName(stars)), "near")
 

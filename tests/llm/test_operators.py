@@ -288,6 +288,16 @@ def test_runs_reach_the_recall():
     assert chosen_path.runs_needed(0.99, 3) >= 8 and chosen_path.runs_needed(0.5, 3) < chosen_path.runs_needed(0.99, 3)
 
 
+def test_split_buckets_reach_the_recall(spark):
+    # pairs at 0.8 exactly; every bucket is split down to the deepest level
+    texts = []
+    for k in range(250):
+        own = [f"x{k}y{j}" for j in range(94)]
+        texts += [" ".join(own), " ".join([*own[:-10], *(f"z{k}y{j}" for j in range(10))])]
+    got = chosen_path.jaccard_classes(docs(spark, texts), bucket=1).where("n_links = 1").count()
+    assert got >= 0.97 * len(texts), got
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 502), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in chosen_path.connected_components(edges).collect()}
