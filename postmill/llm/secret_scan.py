@@ -3,7 +3,7 @@
 A byte-pair vocabulary spends few tokens on language and identifiers and many on random strings,
 so candidates with few characters per token are reported as kind ``random``. Known digests and
 identifiers are excluded first: UUIDs, digests by their length or from a given set, version and
-date strings, and names made of word-like parts.
+date strings, numbers, and names made of word-like parts that the vocabulary compresses well.
 
 Null texts count as empty. Repeated rows are answered one by one. Other columns are not read.
 """
@@ -36,7 +36,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -54,14 +54,14 @@ def plain(text: str, long: bool = True) -> list[tuple[str, int, int]]:
     return found
 
 
-def is_identifier(word: str) -> bool:
-    """Names, paths and numbers: few digits, or parts of word length joined by separators or capitals."""
+def is_identifier(word: str, encode, most: float = CHARS_PER_TOKEN) -> bool:
+    """Names, paths and numbers: no letters, or parts that are words to the vocabulary, joined by separators or capitals."""
     letters = sum(c.isalpha() for c in word)
     digits = sum(c.isdigit() for c in word)
-    if not digits or not letters:
+    if not letters:
         return True
     parts = _PARTS.findall(word)
-    wordy = sum(len(p) for p in parts if len(p) >= 4 and p.isalpha() and not p[1:].isupper() or p.isdigit() and len(p) in (2, 4) and len(parts) <= 8)
+    wordy = sum(len(p) for p in parts if len(p) >= 4 and p.isalpha() and not p[1:].isupper() and len(p) >= most * len(encode(p)) or p.isdigit() and len(p) in (2, 4) and len(parts) <= 8)
     return wordy >= 0.8 * (letters + digits)
 
 
@@ -70,11 +70,11 @@ def random_strings(text: str, encode, held: list[tuple[str, int, int]], known: f
     out = []
     for m in _CANDIDATE.finditer(text):
         word = m[0]
-        if is_identifier(word) or _UUID.fullmatch(word) or _DIGEST.fullmatch(word) or word.lower() in known:
+        if len(word) >= most * len(encode(word)) or is_identifier(word, encode, most):
             continue
-        if any(a < m.end() and m.start() < b for _, a, b in held):
+        if _UUID.fullmatch(word) or _DIGEST.fullmatch(word) or word.lower() in known:
             continue
-        if len(word) < most * len(encode(word)):
+        if not any(a < m.end() and m.start() < b for _, a, b in held):
             out.append(("random", *m.span()))
     return out
 

@@ -363,6 +363,12 @@ def test_secret_patterns_and_order(spark):
     assert got[6]["spans"] == "random:4:24" and got[7]["spans"] == ""
 
 
+def test_random_strings_without_digits_and_short_ones(spark):
+    texts = ["key qZtBvXwKjRpLmYhDgNcS here", "key q3Xv9Lk2PzT7mNb4 here", "key qzxkvjwpqglmbtrsfhdk here", "getDocumentByIdentifier internationalization src/main/resources/config ---------------- 1234567890123456"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(docs(spark, texts)).collect()}
+    assert got == {0: "random:4:24", 1: "random:4:20", 2: "random:4:24", 3: ""}
+
+
 # ---- 9: WARC in ZIP ----
 
 
