@@ -80,11 +80,12 @@ _LOOKS = {
     "﹫": "@", "＠": "@", "。": ".", "．": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
     "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
 }
-_ODD = re.compile("[" + "".join(_LOOKS) + "！-～٠-٩۰-۹०-९⁰-⁹₀-₉①-⑨\U0001d7ce-\U0001d7ff]")
+_ODD = re.compile("[" + "".join(_LOOKS) + "！-～٠-٩۰-۹०-९⁰-⁹₀-₉①-⑨\U0001d400-\U0001d7ff]")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _D = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"(?:\bplus[\x20,-]+)?(?<![A-Za-z]){_D}(?:[\x20,-]+{_D})(?:[\x20,-]+(?:{_D}|dot|point|[0-9]+))*(?![A-Za-z])", re.I)
-_SPELLED_PART = re.compile(rf"plus|{_D}|dot|point|[0-9]+", re.I)
+_ITEM = rf"(?:(?<![A-Za-z]){_D}(?![A-Za-z])|[0-9]+)"
+_SPELLED = re.compile(rf"(?:\bplus[\x20,-]+)?{_ITEM}(?:(?:[\x20,-]+(?:(?:dot|point)[\x20,-]+)?|\.){_ITEM})*(?![A-Za-z])", re.I)
+_SPELLED_PART = re.compile(rf"plus|{_D}|dot|point|\.|[0-9]+", re.I)
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _DISGUISED = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
@@ -133,11 +134,11 @@ def _digits_spelled(m: Mapped) -> Mapped:
     for x in _SPELLED.finditer(m.text):
         parts = list(_SPELLED_PART.finditer(m.text, *x.span()))
         spelled = [p for p in parts if p[0].lower() in _DIGIT_WORDS]
-        if len(spelled) < 4:
+        if not spelled:
             continue
         for p, after in zip(parts, [*parts[1:], None]):
             word = p[0].lower()
-            new = "+" if word == "plus" else "." if word in ("dot", "point") else _DIGIT_WORDS.get(word, word)
+            new = "+" if word == "plus" else "." if word in ("dot", "point", ".") else _DIGIT_WORDS.get(word, word)
             # separators between the parts go with the part before
             end = after.start() if after else p.end()
             edits.append((p.start(), end, new))
@@ -145,7 +146,7 @@ def _digits_spelled(m: Mapped) -> Mapped:
 
 
 def _after_bare_at(text: str, at: int) -> bool:
-    return "." not in text[at:] and re.split(r"[^a-z]+", text.lower())[-1] in _TOP
+    return "." not in text[at:] or re.split(r"[^a-z]+", text.lower())[-1] in _TOP
 
 
 def _signs(m: Mapped) -> Mapped:
@@ -157,7 +158,7 @@ def _signs(m: Mapped) -> Mapped:
             hidden = [s for s in inner if s[0] not in ("@", ".")]
             spelled_dot = any(s["dot"] and s[0] != "." for s in inner)
             if found is _DISGUISED and (len(at) != 1 or not re.search(r"[\[({<@]", at[0][0]) and not (spelled_dot and _after_bare_at(x[0], at[0].end() - x.start()))):
-                continue  # a bare "at" is a word unless all dots after it are disguised too, and a known top domain ends it
+                continue  # a bare "at" is a word unless a dot is disguised too, and all dots after it are or a known top domain ends it
             edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in hidden]
     edits.sort()
     return m.rewrite([e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]])
@@ -172,13 +173,11 @@ _DOT_HASHES = _hashes(["dot", "punkt"])
 
 
 def hints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: has it two spelled digits in a row; has it a spelled dot. One pass over the bytes."""
+    """For each row: has it a spelled digit; has it a spelled dot. One pass over the bytes."""
     words, rows = hash_words(col, LETTERS)
-    digit = np.isin(words, _DIGIT_HASHES)
-    pair = np.zeros(len(words) + 1, np.int64)
-    pair[2:] = np.cumsum(digit[1:] & digit[:-1])
+    digit = np.concatenate([[0], np.cumsum(np.isin(words, _DIGIT_HASHES))])
     dot = np.concatenate([[0], np.cumsum(np.isin(words, _DOT_HASHES))])
-    return pair[rows[1:]] > pair[np.minimum(rows[:-1] + 1, rows[1:])], dot[rows[1:]] > dot[rows[:-1]]
+    return digit[rows[1:]] > digit[rows[:-1]], dot[rows[1:]] > dot[rows[:-1]]
 
 
 def disguised(text: str, found: list[tuple[str, int, int]], spelled: bool = True, dotted: bool = True) -> list[tuple[str, int, int]]:

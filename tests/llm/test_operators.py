@@ -335,6 +335,15 @@ def test_disguises_are_mapped_back(text, kind, found):
     assert (k, text[a:b]) == (kind, found)
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("ip one dot two dot three dot four", "ip", "one dot two dot three dot four"), ("ip 192 dot 168 dot one dot 20", "ip", "192 dot 168 dot one dot 20"), ("call +1 five five five 867 5309 now", "phone", "+1 five five five 867 5309"),
+    ("to jane at mail.example dot com", "email", "jane at mail.example dot com"), ("to jane at example dot xyz", "email", "jane at example dot xyz"), ("to 𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦 ok", "email", "𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦")])
+def test_partly_spelled_disguises_are_found(spark, text, kind, found):
+    at = text.index(found)
+    (row,) = pii.find_personal_data(docs(spark, [text])).collect()
+    assert row["spans"] == f"{kind}:{at}:{at + len(found)}"
+
+
 def test_prose_is_no_disguise():
     for t in ["we met at home.Then dot the i", "one two three four cats", "look at this at noon dot", "он сказал", "plus one", prose(1, 200)]:
         assert pii.disguised(t, pii.plain(t)) == []
