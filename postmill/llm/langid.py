@@ -20,7 +20,6 @@ text evidence. Null or unknown evidence counts for nothing. Repeated rows are an
 from __future__ import annotations
 
 import html
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,55 +166,87 @@ def _posteriors(model: Broadcast, markup: bool):
     return apply
 
 
-def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, key_sum): posteriors summed over the rows of each value."""
+KEYS = ("declared", "suffix", "host", "domain")
+
+
+def _sums(rows: DataFrame, n: int) -> DataFrame:
+    """(kind, value, sums): posteriors summed over the rows of each value of each key, in one pass."""
+    pairs = F.stack(F.lit(len(KEYS)), *(x for key in KEYS for x in (F.lit(key), F.col(key)))).alias("kind", "value")
     sums = F.array(*[F.sum(F.col("share")[k]) for k in range(n)])
-    return written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(sums.alias(f"{key}_sum")), key)
+    return written(rows.select("share", pairs).where("value is not null").groupBy("kind", "value").agg(sums.alias("sums")), "evidence")
+
+
+def fuse(log: np.ndarray, share: np.ndarray, voted: np.ndarray, sums: dict[str, tuple[np.ndarray, np.ndarray]], overall: np.ndarray) -> np.ndarray:
+    """Log posteriors (rows, languages), up to a constant of each row.
+
+    ``log``: text evidence; ``share``: posteriors by text alone, in parts of UNIT; ``voted``: is the row's
+    share in the sums; ``sums``: for each key the sums of the row's value and whether it has one;
+    ``overall``: the sums of all rows."""
+    n, whole = log.shape[1], overall.sum()
+    own = np.where(voted[:, None], share, 0)
+    left = {key: np.where(there[:, None], np.maximum(of - own, 0), 0) / UNIT for key, (of, there) in sums.items()}
+    p = np.broadcast_to((overall + UNIT) / (whole + n * UNIT), log.shape)
+    for key, weight in (("domain", DOMAIN_WEIGHT), ("host", HOST_WEIGHT)):
+        p = (left[key] + weight * p) / (left[key].sum(axis=1, keepdims=True) + weight)
+    out = log + np.log(p)
+    for key in ("declared", "suffix"):
+        # likelihood of this value given the language, over its likelihood overall
+        part = (left[key].sum(axis=1, keepdims=True) + TOKEN_WEIGHT) / (whole / UNIT + TOKEN_WEIGHT)
+        given = (left[key] + TOKEN_WEIGHT * part) / ((overall - own) / UNIT + TOKEN_WEIGHT)
+        out += np.where(sums[key][1][:, None], np.log(given / part), 0.0)
+    return out
+
+
+def _decisions(languages: list[str], overall: np.ndarray):
+    """Rows (id, host, declared, suffix, n_grams, log, share, <key>_sums…) to their language."""
+    names, n = np.array([*languages, UNKNOWN], object), len(languages) + 1
+
+    def table(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        there = np.asarray(col.is_valid())
+        out = np.zeros((len(col), n), col.type.value_type.to_pandas_dtype())
+        out[there] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        return out, there
+
+    def apply(batches):
+        for batch in batches:
+            grams = batch.column("n_grams").to_numpy()
+            log, share = table(batch.column("log"))[0], table(batch.column("share"))[0]
+            logs = fuse(log, share, grams > 0, {key: table(batch.column(f"{key}_sums")) for key in KEYS}, overall)
+            best = logs.argmax(axis=1)
+            posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(names[log.argmax(axis=1)], pa.string(), mask=grams == 0), pa.array(names[best], pa.string()),
+                 pa.array(np.round(posterior, 6)), pa.array((best == n - 1) | (grams == 0))],
+                names=["id", "host", "declared", "suffix", "n_grams", "text_lang", "lang", "posterior", "rejected"])
+
+    return apply
 
 
 def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, declared: Column | None = None, suffix: Column | None = None,
              host: Column | None = None, domain: Column | None = None, markup: bool = False) -> DataFrame:
-    """(id, host, declared, suffix, n_grams, text_lang, lang, posterior, rejected) per row."""
+    """(id, host, declared, suffix, n_grams, text_lang, lang, posterior, rejected) per row.
+
+    Null ids are kept as they are. Evidence that is null or blank counts for nothing. A row's own posterior is
+    left out of the sums, but not its text of ``model``: where the model was learnt from the same rows and the
+    label is also the declared language, that label counts twice."""
     spark = rows.sparkSession
     text_batches(spark, 128)
     n = len(model.languages) + 1
     text = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit("")) if c is not None else F.lit(None).cast("string")
     picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text(declared).alias("declared"), text(suffix).alias("suffix"), text(host).alias("host"), text(domain).alias("domain"))
     kind = picked.schema["id"].dataType.simpleString()
-    scored = written(picked.mapInArrow(_posteriors(spark.sparkContext.broadcast(model), markup),
+    weights = spark.sparkContext.broadcast(model)
+    scored = written(picked.mapInArrow(_posteriors(weights, markup),
                                        f"id {kind}, declared string, suffix string, host string, domain string, n_grams bigint, log array<double>, share array<bigint>"), "languages")
-    overall = [v or 0 for v in scored.agg(*[F.sum(F.col("share")[k]) for k in range(n)]).first()]
-    whole = sum(overall)
-    prior = [(v + UNIT) / (whole + n * UNIT) for v in overall]
-    joined = scored
+    weights.destroy()
+    overall = np.array([v or 0 for v in scored.agg(*[F.sum(F.col("share")[k]) for k in range(n)]).first()], np.int64)
     # A row without text evidence would only add its prior to the sums.
-    voters = scored.where("n_grams > 0")
-    for key in ("declared", "suffix", "host", "domain"):
-        joined = joined.join(_sums(voters, key, n), key, "left")
-    own = lambda k: F.when(F.col("n_grams") > 0, F.col("share")[k]).otherwise(0)
-    left = lambda key, k: F.greatest(F.coalesce(F.col(f"{key}_sum")[k], F.lit(0)) - own(k), F.lit(0)) / UNIT
-    logs = []
-    for k in range(n):
-        sums = lambda key: reduce(lambda a, b: a + b, [left(key, j) for j in range(n)])  # noqa: B023, E731
-        p = F.lit(prior[k])
-        for key, weight in (("domain", DOMAIN_WEIGHT), ("host", HOST_WEIGHT)):
-            p = (left(key, k) + weight * p) / (sums(key) + weight)
-        log = F.col("log")[k] + F.log(p)
-        for key in ("declared", "suffix"):
-            # likelihood of this value given the language, over its likelihood overall
-            share = (sums(key) + TOKEN_WEIGHT) / (whole / UNIT + TOKEN_WEIGHT)
-            given = (left(key, k) + TOKEN_WEIGHT * share) / (F.lit(overall[k] / UNIT) - own(k) / UNIT + TOKEN_WEIGHT)
-            log += F.when(F.col(f"{key}_sum").isNotNull(), F.log(given / share)).otherwise(0.0)
-        logs.append(log)
-    names = F.array(*(F.lit(x) for x in [*model.languages, UNKNOWN]))
-    best = F.array_max(F.col("logs"))
-    chosen = joined.select("id", "host", "declared", "suffix", "n_grams", "log", F.array(*logs).alias("logs"))
-    total = F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - best))
-    name = lambda logs: names[(F.array_position(logs, F.array_max(logs)) - 1).cast("int")]
-    lang = name(F.col("logs"))
-    return chosen.select(
-        F.col("id").alias(id_col), "host", "declared", "suffix", "n_grams", F.when(F.col("n_grams") > 0, name(F.col("log"))).alias("text_lang"),
-        lang.alias("lang"), F.round(1 / total, 6).alias("posterior"), ((lang == UNKNOWN) | (F.col("n_grams") == 0)).alias("rejected"))
+    sums, joined = _sums(scored.where("n_grams > 0"), n), scored
+    for key in KEYS:
+        joined = joined.join(sums.where(F.col("kind") == key).select(F.col("value").alias(key), F.col("sums").alias(f"{key}_sums")), key, "left")
+    out = joined.select("id", "host", "declared", "suffix", "n_grams", "log", "share", *(f"{key}_sums" for key in KEYS)).mapInArrow(
+        _decisions(model.languages, overall), f"id {kind}, host string, declared string, suffix string, n_grams bigint, text_lang string, lang string, posterior double, rejected boolean")
+    return out.withColumnRenamed("id", id_col)
 
 
 def page_evidence(url: Column, markup: Column) -> dict[str, Column]:
