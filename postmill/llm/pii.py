@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +87,13 @@ _D = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _ITEM = rf"(?:(?<![A-Za-z]){_D}(?![A-Za-z])|[0-9]+)"
 _SPELLED = re.compile(rf"(?:\bplus[\x20,-]+)?{_ITEM}(?:(?:[\x20,-]+(?:(?:dot|point)[\x20,-]+)?|\.){_ITEM})*(?![A-Za-z])", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_D}|dot|point|\.|[0-9]+", re.I)
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
-_DISGUISED_SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
+#: Pieces of a text, each tried once at its place: signs in brackets, parts of names, blanks, and plain signs.
+_PIECE = re.compile(r"(?P<sign>[\[({<]\s*(?:(?P<at>at)|dot|punkt|point)\s*[\])}>])|(?P<part>[A-Za-z0-9-]+)|(?P<other>[_%+]+)|(?P<blank>\s+)|(?P<mark>[@.])", re.I)
+_LABEL = re.compile(r"[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|punkt|point)\s*[\])}>]", re.I)
 _TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk ca au nz ie de at ch fr be nl lu it es pt se no dk fi pl cz ru ua jp cn in br mx eu".split())
+_DOTS = re.compile(_DOT, re.I)
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
@@ -145,21 +147,79 @@ def _digits_spelled(m: Mapped) -> Mapped:
     return m.rewrite(edits)
 
 
-def _after_bare_at(text: str, at: int) -> bool:
-    return "." not in text[at:] or re.split(r"[^a-z]+", text.lower())[-1] in _TOP
+def _pieces(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, text) of a text's pieces, in order. Kinds: part, other, at, dot, gap.
+
+    Signs in brackets, @ and a bare at or dot between blanks take the blanks about them; other blanks and
+    characters are gaps. A piece is looked at once and its blanks twice, so the time is linear."""
+    found, end = [], 0
+    for m in _PIECE.finditer(text):
+        if m.start() > end:
+            found.append(["gap", end, m.start()])
+        kind = m.lastgroup if m.lastgroup != "at" else "sign"
+        if kind == "sign":
+            kind = "at" if m["at"] else "dot"
+        elif kind == "mark":
+            kind = "at" if m[0] == "@" else "dot"
+        found.append([kind, *m.span()])
+        end = m.end()
+    for k in range(1, len(found) - 1):
+        if found[k][0] == "part" and found[k - 1][0] == found[k + 1][0] == "blank":
+            word = text[found[k][1] : found[k][2]].lower()
+            if word in ("at", "dot"):
+                found[k][0] = word
+    out = []
+    for k, (kind, a, b) in enumerate(found):
+        if kind == "blank":
+            about = [x for x in (found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None) if x]
+            if any(x[0] in ("at", "dot") and text[x[1] : x[2]] != "." for x in about):
+                continue
+            kind = "gap"
+        if kind in ("at", "dot") and text[a:b] != ".":
+            if k and found[k - 1][0] == "blank":
+                a = found[k - 1][1]
+            if k + 1 < len(found) and found[k + 1][0] == "blank":
+                b = found[k + 1][2]
+        out.append((kind, a, b, text[a:b]))
+    return out
+
+
+def _disguised_addresses(text: str) -> list[list[tuple[str, int, int, str]]]:
+    """Signs of what has the shape of an address, by its at-sign: parts and dots before it, labels and dots after it."""
+    found, free, pieces = [], 0, _pieces(text)
+    for k, piece in enumerate(pieces):
+        if piece[0] != "at" or k < free:
+            continue
+        left = k
+        while left > free and pieces[left - 1][0] in ("part", "other"):
+            left -= 1
+            if left > free + 1 and pieces[left - 1][0] == "dot" and pieces[left - 2][0] in ("part", "other"):
+                left -= 1
+        last, j = 0, k + 1
+        while j < len(pieces) and pieces[j][0] == "part":
+            if j > k + 1 and _LABEL.match(pieces[j][3]):
+                last = j
+            if j + 1 >= len(pieces) or pieces[j + 1][0] != "dot":
+                break
+            j += 2
+        if left < k and last:
+            found.append([p for p in pieces[left:last] if p[0] in ("at", "dot")] + [pieces[last]])
+            free = last + 1
+    return found
 
 
 def _signs(m: Mapped) -> Mapped:
     edits = []
-    for found in (_DISGUISED, _DOTTED_IP):
-        for x in found.finditer(m.text):
-            inner = list(_DISGUISED_SIGN.finditer(m.text, *x.span()))
-            at = [s for s in inner if s["at"]]
-            hidden = [s for s in inner if s[0] not in ("@", ".")]
-            spelled_dot = any(s["dot"] and s[0] != "." for s in inner)
-            if found is _DISGUISED and (len(at) != 1 or not re.search(r"[\[({<@]", at[0][0]) and not (spelled_dot and _after_bare_at(x[0], at[0].end() - x.start()))):
-                continue  # a bare "at" is a word unless a dot is disguised too, and all dots after it are or a known top domain ends it
-            edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in hidden]
+    for *signs, label in _disguised_addresses(m.text):
+        at = next(k for k, s in enumerate(signs) if s[0] == "at")
+        hidden = [s for s in signs if s[3] not in ("@", ".")]
+        bare = not re.search(r"[\[({<@]", signs[at][3])
+        # a bare "at" is a word unless a dot is disguised too, and all dots after it are or a known top domain ends it
+        if bare and not (any(s[0] == "dot" and s[3] != "." for s in signs) and (all(s[3] != "." for s in signs[at + 1 :]) or _LABEL.match(label[3])[0].lower() in _TOP)):
+            continue
+        edits += [(s[1], s[2], "@" if s[0] == "at" else ".") for s in hidden]
+    for x in _DOTTED_IP.finditer(m.text):
+        edits += [(*s.span(), ".") for s in _DOTS.finditer(m.text, *x.span()) if s[0] != "."]
     edits.sort()
     return m.rewrite([e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]])
 
@@ -194,14 +254,15 @@ def disguised(text: str, found: list[tuple[str, int, int]], spelled: bool = True
     if spelled or odd:
         m = _digits_spelled(m)
     m = _signs(m)
-    out, held = [], list(found)
+    out, held = [], {kind: sorted((a, b) for k, a, b in found if k == kind) for kind in KINDS}
     for kind, a, b in plain(m.text):
         if not any(m.changed[a:b]):
             continue
         start, end = min(m.first[a:b]), max(m.last[a:b])
-        if all(k != kind or end <= x or start >= y for k, x, y in held):
+        near = bisect_left(held[kind], (end,))  # spans of a kind are disjoint: the last that begins before the end tells
+        if not near or held[kind][near - 1][1] <= start:
+            held[kind].insert(near, (start, end))
             out.append((kind, start, end))
-            held.append(out[-1])
     return out
 
 
