@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,18 @@ def is_identifier(word: str, encode, most: float = CHARS_PER_TOKEN) -> bool:
 
 def random_strings(text: str, encode, held: list[tuple[str, int, int]], known: frozenset = frozenset(), most: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     """Candidates that the vocabulary compresses badly, apart from ``held`` spans."""
-    out = []
+    out, begins, ends = [], [], []
+    for _, a, b in sorted(held, key=lambda h: h[1]):
+        begins.append(a)
+        ends.append(max(b, ends[-1] if ends else 0))
     for m in _CANDIDATE.finditer(text):
         word = m[0]
         if len(word) >= most * len(encode(word)) or is_identifier(word, encode, most):
             continue
         if _UUID.fullmatch(word) or _DIGEST.fullmatch(word) or word.lower() in known:
             continue
-        if not any(a < m.end() and m.start() < b for _, a, b in held):
+        before = bisect_left(begins, m.end())
+        if not before or ends[before - 1] <= m.start():
             out.append(("random", *m.span()))
     return out
 
