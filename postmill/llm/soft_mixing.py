@@ -5,19 +5,24 @@ one distribution per domain) gives every document posteriors over the domains. N
 per document are then fitted by projected-gradient least squares, so that the expected tokens per
 domain, rate * tokens * posterior summed over documents, match the targets.
 
-A document's rate depends on its posteriors alone. These are rounded to a grid, so the documents
-are first summed into cells of equal posteriors (their number has a bound that the corpus does not
-move); each gradient step is one aggregation over the cells, of which one number per domain comes
-back, and the steps together give every document's rate as an expression: nothing is joined back.
+A document's rate is that of its cell: documents whose posteriors are equal on a grid, whose number
+has a bound that the corpus does not move. A cell carries the expected tokens per domain of its
+documents by their posteriors as they are, not rounded, so totals are matched exactly. Each
+gradient step is one aggregation over the cells, of which one number per domain comes back, and
+the steps together give a cell's rate as an expression of the grid's posteriors: nothing is joined
+back. Steps end when every domain's share is within ``CLOSE`` of its target, or after ``STEPS``; the
+largest miss is returned as a column, and a warning is given where it is not within ``CLOSE``.
 
 Null texts count as empty: no words, and a rate like other documents of such posteriors. Without
 labelled rows all domains are equally likely. Labels of one id are taken once, the least domain in
 order; labels without a domain that has a target are left out. Repeated rows are answered one by one.
+Columns of the documents that are named like one of the result's are kept, with ``_in`` after their name.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +34,7 @@ from .shared import written
 TRAINING_ROWS = 20_000
 #: Words and features that the classifier knows.
 FEATURES = 256
-#: Parts of one that posteriors are rounded to.
+#: Parts of one on the grid that makes cells of posteriors.
 GRID = 32
 STEPS = 60
 CLOSE = 1e-4
@@ -80,8 +85,8 @@ class Classifier:
             maps[slot][word] = odds
         return F.array(*(F.create_map(*(x for w, o in m.items() for x in (F.lit(w), F.array(*(F.lit(float(v)) for v in o))))) for m in maps))
 
-    def with_shares(self, rows: DataFrame, text: Column, name: str) -> DataFrame:
-        """``rows`` and an array of posteriors in parts of GRID, which sum to GRID, in the order of the domains.
+    def with_posteriors(self, rows: DataFrame, text: Column) -> DataFrame:
+        """``rows`` and, in the order of the domains, ``__p``, an array of posteriors, and ``__cell``, the same in parts of GRID that sum to GRID.
 
         Built column by column: each later one refers to earlier ones more than once, and is not to repeat their work."""
         n = len(self.domains)
@@ -99,10 +104,12 @@ class Classifier:
         out = out.select(*kept, *(x.alias(f"__log{k}") for k, x in enumerate(logs)))
         top = F.greatest(*(F.col(f"__log{k}") for k in range(n))) if n > 1 else F.col("__log0")
         out = out.select(*kept, *(F.exp(TEMPER * (F.col(f"__log{k}") - top)).alias(f"__e{k}") for k in range(n)))
-        ends = [reduce(lambda a, b: a + b, [F.col(f"__e{j}") for j in range(k + 1)]) for k in range(n)]
+        total = reduce(lambda a, b: a + b, [F.col(f"__e{k}") for k in range(n)])
+        out = out.select(*kept, *((F.col(f"__e{k}") / total).alias(f"__p{k}") for k in range(n)))
         # rounded running sums give parts that sum to the whole
-        out = out.select(*kept, *(F.floor(e / ends[-1] * GRID + 0.5).cast("int").alias(f"__c{k}") for k, e in enumerate(ends)))
-        return out.select(*kept, F.array(F.col("__c0"), *(F.col(f"__c{k}") - F.col(f"__c{k - 1}") for k in range(1, n))).alias(name))
+        ends = [F.floor(reduce(lambda a, b: a + b, [F.col(f"__p{j}") for j in range(k + 1)]) * GRID + 0.5).cast("int") for k in range(n)]
+        out = out.select(*kept, F.array(*(F.col(f"__p{k}") for k in range(n))).alias("__p"), *(e.alias(f"__c{k}") for k, e in enumerate(ends)))
+        return out.select(*kept, "__p", F.array(F.col("__c0"), *(F.col(f"__c{k}") - F.col(f"__c{k - 1}") for k in range(1, n))).alias("__cell"))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
@@ -137,64 +144,72 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     return Classifier(domains, base, odds)
 
 
-def _rate(shares: Column, pulls: list[list[float]], domains: int) -> Column:
+def _rate(cell: Column, pulls: list[list[float]], domains: int) -> Column:
     """Rate after the given steps from 1: each lowers it by the domains' pulls, weighted by posteriors, and keeps it nonnegative."""
     one = F.lit(1.0)
     if not pulls:
         return one
     steps = F.array(*(F.array(*(F.lit(float(x)) for x in p)) for p in pulls))
-    along = lambda p: reduce(lambda a, b: a + b, [p[k] * shares[k] for k in range(domains)]) / GRID
+    along = lambda p: reduce(lambda a, b: a + b, [p[k] * cell[k] for k in range(domains)]) / GRID
     return F.aggregate(steps, one, lambda r, p: F.greatest(F.lit(0.0), r - along(p)))
 
 
-def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> list[list[float]]:
-    """Projected-gradient steps over cells (shares, tokens), as pulls per domain.
+def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], float]:
+    """Projected-gradient steps over cells (cell, expected: tokens per domain), as pulls per domain, and the largest miss after them.
 
     Least squares of expected tokens against targets (shares of all tokens), each domain's weighted by
     the inverse of its size; in that metric a unit step is stable, since posteriors sum to one. Steps
     grow while the largest miss shrinks, and begin at one again when it doesn't.
     """
     n = len(targets)
-    got = lambda rate: [F.sum(rate * F.col("tokens") * F.col("shares")[k]) / GRID for k in range(n)]
+    got = lambda rate: [F.sum(rate * F.col("expected")[k]) for k in range(n)]
     sizes = [v or 0.0 for v in cells.agg(*got(F.lit(1.0))).first()]
     whole = sum(sizes)
     if not whole:
-        return []
+        return [], 0.0
     pulls: list[list[float]] = []
     now, step, before = sizes, 1.0, math.inf
-    for _ in range(steps):
+    while True:
         off = [x / whole - t for x, t in zip(now, targets)]
         miss = max(map(abs, off))
-        if miss < close:
-            break
+        if miss < close or len(pulls) == steps:
+            return pulls, miss
         step = min(step * 1.5, 16.0) if miss < before else 1.0
         before = miss
         pulls.append([round(step * o * whole / s, 12) if s else 0.0 for o, s in zip(off, sizes)])
-        now = [v or 0.0 for v in cells.agg(*got(_rate(F.col("shares"), pulls, n))).first()]
-    return pulls
+        now = [v or 0.0 for v in cells.agg(*got(_rate(F.col("cell"), pulls, n))).first()]
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
                    domain_col: str = "domain", carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` of ``docs`` (all by default) with n_tokens, p_<domain> and rate; targets are taken as shares of
-    their sum, of the corpus's tokens. Posteriors are worked out once where the text isn't carried, else once more at the end."""
+    """Columns ``carry`` of ``docs`` (all by default) with n_tokens, p_<domain>, rate and target_miss; targets are taken as
+    shares of their sum, of the corpus's tokens. Posteriors are worked out once where the text isn't carried, else once more at the end."""
     domains, total = list(targets), sum(targets.values())
     model = fit_classifier(docs, labels, domains, id_col, text_col, domain_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mine = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
+    mine = docs.columns if carry is None else carry
+    taken, names = {"n_tokens", "rate", "target_miss", *(f"p_{d}" for d in domains)}, {}
+    for c in mine:
+        names[c] = c
+        while names[c] in taken:
+            names[c] += "_in"
+        taken.add(names[c])
     # the classifier's words, so that texts are split once
     tokens = F.size(F.array_remove(_words(text), "")).cast("bigint")
-    kept = docs.select(*(F.col(f"`{c}`") for c in mine), text.alias("__text"), tokens.alias("n_tokens"))
-    scored = model.with_shares(kept, F.col("__text"), "__shares").drop("__text")
+    kept = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in mine), text.alias("__text"), tokens.alias("n_tokens"))
+    scored = model.with_posteriors(kept, F.col("__text")).drop("__text")
     # written before it is summed: one stage with all these expressions would be too large to compile
     if text_col in mine:
-        shares = written(scored.select("n_tokens", "__shares"), "shares")
+        parts = written(scored.select("n_tokens", "__p", "__cell"), "posteriors")
     else:
-        shares = scored = written(scored, "shares")
-    cells = written(shares.groupBy(F.col("__shares").alias("shares")).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    pulls = fit_rates(cells, [t / total for t in targets.values()])
-    return scored.select(*(F.col(f"`{c}`") for c in mine), "n_tokens", *((F.col("__shares")[k] / GRID).alias(f"p_{d}") for k, d in enumerate(domains)),
-                         F.round(_rate(F.col("__shares"), pulls, len(domains)), 6).alias("rate"))
+        parts = scored = written(scored, "posteriors")
+    expected = F.array(*(F.sum(F.col("n_tokens") * F.col("__p")[k]) for k in range(len(domains))))
+    cells = written(parts.groupBy(F.col("__cell").alias("cell")).agg(expected.alias("expected")), "cells")
+    pulls, miss = fit_rates(cells, [t / total for t in targets.values()])
+    if miss >= CLOSE:
+        warnings.warn(f"expected shares of tokens miss their targets by up to {miss:.2g}", stacklevel=2)
+    return scored.select(*(F.col(f"`{names[c]}`") for c in mine), "n_tokens", *(F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(domains)),
+                         F.round(_rate(F.col("__cell"), pulls, len(domains)), 6).alias("rate"), F.lit(float(miss)).alias("target_miss"))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -204,6 +219,6 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, domain posteriors and rate of every document."""
+    """Tokens, domain posteriors and rate of every document, and by how much the expected shares miss their targets at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_to_targets(docs, quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), carry=["doc_id"])
