@@ -7,11 +7,13 @@ directory and the local headers, takes the index, and then reads each record by
 nothing is extracted and no package is read whole.
 
 Packages are put under a name of their own per task attempt, and only those whose names a
-finished task returned are read, so a repeated or lost task leaves no record twice.
+finished task returned are read, so a repeated or lost task leaves no record twice; the packages
+of attempts that did not finish are removed once all is written.
 
 A null payload is empty. Of records with equal payloads of ``REVISIT_BYTES`` or more, those with the
 smallest id are responses and the others revisit it; shorter ones are all responses. Repeated rows
-each have a record. Rows with a null id are written, and refer to nothing.
+each have a record, under one record id where page and payload are equal. Rows with a null id are
+written, and refer to nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .shared import new_path, strings, text_batches, written
 REVISIT_BYTES = 100
 #: A task begins a new package after this many bytes of archive.
 PACKAGE_BYTES = 64 << 20
+#: What a task reads of one package in a row, and bytes of text to a byte of archive, about.
+PIECE_BYTES, UNPACKED = 1 << 20, 4
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _LIMIT32 = 0xFFFFFFFF
 
@@ -138,29 +142,41 @@ def zip_members(f: BinaryIO, size: int) -> dict[str, tuple[int, int, int]]:
 # ---- WARC -------------------------------------------------------------------------------------
 
 
+def record_id(page: str | None, digest: str) -> str:
+    """The id of a page's record, the same wherever it is worked out; one of its own for a page without an id."""
+    made = uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f"{digest}/{quote(page, safe='')}")
+    return f"<urn:uuid:{made}>"
+
+
 def warc_record(kind: str, page: str | None, uri: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One record as a gzip member; a revisit has no payload."""
-    body = payload if kind == "response" else b""
+    """One record as a gzip member: an HTTP response, of which a revisit has the head alone."""
     clean = "".join(c if c > " " else f"%{ord(c):02X}" for c in uri)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z",
-            f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}", *([f"X-Page-Id: {quote(page)}"] if page is not None else []), f"X-Payload-Length: {len(payload)}"]
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if kind == "response" else b"")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page, digest)}", "WARC-Date: 1970-01-01T00:00:00Z",
+            f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}", *([f"X-Page-Id: {quote(page)}"] if page is not None else [])]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {quote(refers_to)}"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {quote(refers_to)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n") + pack.compress(body) + pack.compress(b"\r\n\r\n") + pack.flush()
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n") + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
+
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in lines)
 
-def parse_warc(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one gzip-packed record."""
+
+def parse_warc(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Headers, HTTP headers and payload of one gzip-packed record."""
     data = zlib.decompress(raw, 31)
     end = data.index(b"\r\n\r\n")
     version, *lines = data[:end].decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    head = dict(line.split(": ", 1) for line in lines)
-    n = int(head["Content-Length"])
-    return head, data[end + 4 : end + 4 + n]
+    head = _fields(lines)
+    block = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    end = block.index(b"\r\n\r\n")
+    _, *lines = block[:end].decode().split("\r\n")
+    return head, _fields(lines), block[end + 4 :]
 
 
 class _Package:
@@ -227,9 +243,27 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every row's record; the finished packages as (package, bytes, records)."""
     text_batches(pages.sparkSession, 256)
     typed = payload_types(pages.withColumn("uri", F.col(url_col).cast("string")), id_col, payload_col)
-    return written(
+    done = written(
         typed.select(F.col("id").cast("string").alias("page"), "uri", "payload", "digest", "record_type", F.col("refers_to").cast("string").alias("refers"))
         .mapInArrow(_write(folder, package_bytes), "package string, bytes bigint, records bigint"), "packages")
+    if not done.isEmpty():
+        remove_leftovers(done, folder)
+    return done
+
+
+def remove_leftovers(packages: DataFrame, folder: str) -> None:
+    """Remove the packages of a folder that no finished task returned; for use once nothing writes there any more."""
+
+    def remove(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                files, path = _files(f"{folder}/{name}")
+                files.delete_file(path)
+            yield batch
+
+    name = lambda c: F.substring_index(c, "/", -1).alias("name")
+    there = packages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(folder).select(name("path"))
+    there.join(packages.select(name("package")), "name", "left_anti").mapInArrow(remove, "name string").count()
 
 
 def _locate(batches):
@@ -260,12 +294,12 @@ def _read(batches):
                     f.close()
                 files, path = _files(uri)
                 f, at = files.open_input_file(path), uri
-            head, body = parse_warc(read_range(f, offset, length))
+            head, http, body = parse_warc(read_range(f, offset, length))
             kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
             if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
                 raise ValueError(f"{uri}: payload at {offset} does not have the digest it was written with")
             page, refers = (x if x is None else unquote(x) for x in (head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")))
-            rows.append((page, head["WARC-Target-URI"], int(head["X-Payload-Length"]), digest, kind, refers, body))
+            rows.append((page, head["WARC-Target-URI"], int(http["Content-Length"]), digest, kind, refers, body))
         if rows:
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
@@ -278,12 +312,17 @@ def read_packages(packages: DataFrame) -> DataFrame:
     """(page, uri, payload_bytes, payload_digest, record_type, refers, payload) of every record of (package, bytes) rows.
 
     Each package's directories and index are read first; then its records' ranges are dealt out in
-    pieces of a few thousand, sorted by place, so that one large package is read by many tasks.
+    pieces of a few megabytes, sorted by place, so that one large package is read by many tasks.
+    There are as many tasks as the packages' bytes fill splits of the session's size, taking one
+    byte here for ``UNPACKED`` of text: the rows that are shuffled are too small to tell.
     """
-    text_batches(packages.sparkSession, 256)
+    spark = packages.sparkSession
+    text_batches(spark, 256)
+    split = max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // UNPACKED)
+    tasks = max(1, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // split))
     places = packages.select("package", "bytes").mapInArrow(_locate, "package string, offset bigint, length bigint")
-    piece = F.floor(F.col("offset") / (8 << 20))
-    dealt = places.withColumn("piece", piece).repartition("package", "piece").sortWithinPartitions("package", "offset")
+    piece = F.floor(F.col("offset") / min(PIECE_BYTES, split))
+    dealt = places.withColumn("piece", piece).repartition(tasks, "package", "piece").sortWithinPartitions("package", "offset")
     return dealt.select("package", "offset", "length").mapInArrow(
         _read, "page string, uri string, payload_bytes bigint, payload_digest string, record_type string, refers string, payload binary")
 
