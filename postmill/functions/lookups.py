@@ -64,12 +64,18 @@ def literal_map(values: dict) -> Column:
 
 
 def whole_word(terms: list[str]) -> str:
-    """One case-insensitive pattern for any of the terms as whole words, with explicit Unicode boundaries."""
+    """One case-insensitive pattern for any of the terms as whole words, with explicit Unicode boundaries; null for null."""
     from .text import word_pattern
 
     return "(?i)" + "|".join(f"({word_pattern(t)[4:]})" for t in terms)
 
 
+def names(text: Column, terms: list[str]) -> Column:
+    """Does a text name any of the terms as a whole word; the pattern is tried only where one stands there at all."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in terms]) & text.rlike(whole_word(terms))
+
+
 def source_priority(source: Column) -> Column:
     """Boards before feeds before aggregators before anything unknown."""
     listed = literal_map({**dict.fromkeys(ATS, 0), **dict.fromkeys(FEEDS, 1)})
@@ -78,7 +84,7 @@ def source_priority(source: Column) -> Column:
 
 def band(title: Column) -> Column:
     """The first band, in order of precedence, whose keywords the title names; null when it names none."""
-    return F.coalesce(*(F.when(title.rlike(whole_word(words)), name) for name, words in BANDS))
+    return F.coalesce(*(F.when(names(title, words), name) for name, words in BANDS))
 
 
 def rank(name: Column) -> Column:
@@ -105,7 +111,7 @@ def regions_named(text: Column) -> Column:
     """Sorted codes of the regions that a text names as whole words; US cities and states count for US."""
     codes = []
     for code, words in REGIONS.items():
-        hit = text.rlike(whole_word(words))
+        hit = names(text, words)
         if code == "US":
             low = F.lower(text)
             hit = hit | reduce(lambda a, b: a | b, [low.contains(c) for c in US_CITIES]) | text.rlike(r"(?i),\s*(" + "|".join(US_STATES) + r")([^\p{L}\p{N}_]|$)")

@@ -1,72 +1,62 @@
-"""String functions as column expressions; two need Arrow, since Spark has no NFKD form and no HTML parser."""
+"""String functions as column expressions; one needs Arrow, since Spark has no HTML parser."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookups import ABBREVIATIONS, ALIASES, BOARD_PATTERNS, LEGAL_SUFFIXES, NOT_SLUGS, literal_map
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyy"
 WORD_CHAR = r"\p{L}\p{N}_"
 
 
-@F.arrow_udf(T.StringType())
-def squash(value: pa.Array) -> pa.Array:
-    """Lower case, NFKD, then letters and digits of ASCII only."""
-    folded = pc.utf8_normalize(pc.utf8_lower(value.cast(pa.string())), "NFKD")
-    return pc.replace_substring_regex(folded, "[^a-z0-9]+", "")
-
-
-@F.arrow_udf(T.StringType())
-def fold(value: pa.Array) -> pa.Array:
-    """Lower case, NFKD, without combining marks."""
-    folded = pc.utf8_normalize(pc.utf8_lower(value.cast(pa.string())), "NFKD")
-    return pc.replace_substring_regex(folded, r"\p{Mn}+", "")
+def _decomposed(value: Column) -> Column:
+    """Lower case; NFKD by the ICU library that Spark brings along, where the text isn't plain ASCII."""
+    low = F.lower(value)
+    nfkd = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(low, F.lit("")), F.lit(True))
+    return F.when(F.octet_length(low) != F.length(low), nfkd).otherwise(low)
 
 
-def squash_latin(value: Column) -> Column:
-    """``squash`` without leaving the JVM, for Latin letters with the usual accents."""
-    return F.regexp_replace(fold_latin(value), "[^a-z0-9]+", "")
+def squash(value: Column) -> Column:
+    """Lower case, NFKD, then letters and digits of ASCII only. A column that uses it isn't merged into others: it is worked out once."""
+    return F.regexp_replace(_decomposed(value), "[^a-z0-9]+", "")
 
 
-def fold_latin(value: Column) -> Column:
-    """Lower case without the usual accents; translating goes letter by letter, so plain ASCII is spared it."""
-    low = F.lower(value)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _BARE))
+def fold(value: Column) -> Column:
+    """Lower case, NFKD, without combining marks."""
+    return F.regexp_replace(_decomposed(value), r"\p{Mn}+", "")
 
 
 def _tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, "[^a-z0-9]+"), lambda t: t != "")
 
 
-def normalize_company(name: Column, folded=fold_latin) -> Column:
+def normalize_company(name: Column, folded=fold) -> Column:
     """One word of letters and digits, without one trailing legal suffix where something else is left."""
     tokens = _tokens(F.replace(folded(F.coalesce(name, F.lit(""))), F.lit("."), F.lit("")))
     legal = F.coalesce(F.element_at(tokens, -1).isin(LEGAL_SUFFIXES), F.lit(False))
     return F.when(F.size(tokens) == 0, "").when((F.size(tokens) > 1) & legal, F.array_join(F.slice(tokens, F.lit(1), F.size(tokens) - 1), "")).otherwise(F.array_join(tokens, ""))
 
 
-#: A trailing gender tag, then a trailing requisition number behind a dash or bracket.
+# A trailing gender tag, then a trailing requisition number behind a dash or bracket.
 GENDER_TAG = r"(?i)\(\s*([mfwdx](\s*/\s*[mfwdx])+|all\s+genders?)\s*\)\s*$"
 REQUISITION = r"(?i)[-–—(\[]\s*(req[-\s]?)?[a-z]{0,3}[-\s]?\d{3,}\s*[)\]]?\s*$"
 
 
-def normalize_title(title: Column, folded=fold_latin) -> Column:
+def normalize_title(title: Column, folded=fold) -> Column:
     clean = F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), GENDER_TAG, "")
     clean = F.replace(F.trim(F.regexp_replace(clean, REQUISITION, "")), F.lit("&"), F.lit(" and "))
     full = literal_map(ABBREVIATIONS)
     return F.array_join(F.transform(_tokens(folded(clean)), lambda t: F.coalesce(F.try_element_at(full, t), t)), "")
 
 
-def normalize_location(place: Column, squashed=squash_latin) -> Column:
+def normalize_location(place: Column, squashed=squash) -> Column:
     return F.coalesce(squashed(F.split_part(place, F.lit(","), F.lit(1))), F.lit(""))
 
 
@@ -88,15 +78,22 @@ def word_pattern(term: str) -> str:
 
 
 def any_word(text: Column, terms: list[str]) -> Column:
-    """Does any term stand in the text as a whole word: one pattern, one scan."""
-    terms = [t for t in terms if t.strip()]
+    """Does any term stand in the text as a whole word: one pattern, tried only where a term stands there at all."""
+    terms = [t.strip() for t in terms if t.strip()]
     if not terms:
         return F.lit(False)
-    return F.coalesce(text.rlike("(?i)" + "|".join(f"({word_pattern(t)[4:]})" for t in terms)), F.lit(False))
+    low = F.lower(text)
+    there = reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in terms])
+    return F.coalesce(there & text.rlike("(?i)" + "|".join(f"({word_pattern(t)[4:]})" for t in terms)), F.lit(False))
+
+
+# What separates skills on a line, and evidence handles within prose.
+SKILL_PARTS = r"[:,;·|/]|\s{2,}"
+HANDLES = r"[(\[]\s*E\d+(?:\s*,\s*E\d+)*\s*[)\]]|\bE\d+\b"
 
 
 def split_skill_line(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, r"[:,;·|/]|\s{2,}"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(line, SKILL_PARTS), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def members(line: Column) -> Column:
@@ -116,13 +113,13 @@ def has_phrase(bag: Column, phrase: Column) -> Column:
 
 def expand_alias(value: Column) -> Column:
     """The fuller spelling of a short one, for whole strings; null where there is none."""
-    return F.try_element_at(literal_map(ALIASES), squash_latin(value))
+    return F.try_element_at(literal_map(ALIASES), squash(value))
 
 
 def strip_handles(text: Column) -> Column:
-    """Without (E1), [E1, E2] and bare E1."""
-    out = F.regexp_replace(text, r"\s*[(\[]\s*E\d+(\s*,\s*E\d+)*\s*[)\]]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\bE\d+\b", ""), r"\s{2,}", " "))
+    """Without (E1), [E1, E2] and bare E1, and without the blanks that they leave."""
+    out = F.regexp_replace(F.regexp_replace(text, HANDLES, ""), r"\s+([.,;:!?])", "$1")
+    return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 
 def join_nonempty(*parts: Column, by: str = ", ") -> Column:
@@ -138,7 +135,7 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1)), "/+$", "")
 
 
-def is_supported(claim: Column, source: Column, squashed=squash_latin) -> Column:
+def is_supported(claim: Column, source: Column, squashed=squash) -> Column:
     c = squashed(claim)
     return F.coalesce((F.length(c) > 0) & squashed(source).contains(c), F.lit(False))
 

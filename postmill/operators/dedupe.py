@@ -17,10 +17,14 @@ def fill_keys(jobs: DataFrame) -> DataFrame:
 
 
 def winners(jobs: DataFrame, priority: Column | None = None) -> DataFrame:
-    """``jobs`` with winner_source and winner_id: one shuffle by key and one sort serve both."""
-    first = W.partitionBy(F.coalesce("dedupe_key", F.col("id").cast("string"))).orderBy("__p", "id")
-    ranked = jobs.withColumn("__p", source_priority(F.col("source")) if priority is None else priority)
-    return ranked.withColumns({"winner_source": F.first("source").over(first), "winner_id": F.first("id").over(first)}).drop("__p")
+    """``jobs`` with winner_source and winner_id: least priority, then id, of each key; a row without a key wins alone.
+
+    The least of each key is aggregated before it is shuffled, and joined back, so that a hot key is no task of its own."""
+    rank = source_priority(F.col("source")) if priority is None else priority
+    keyed = jobs.where("dedupe_key IS NOT NULL")
+    first = keyed.groupBy(F.col("dedupe_key").alias("__k")).agg(F.min(F.struct(rank.alias("p"), "id", "source")).alias("__w"))
+    joined = jobs.join(first, F.col("dedupe_key") == F.col("__k"), "left")
+    return joined.withColumns({"winner_source": F.coalesce("__w.source", "source"), "winner_id": F.coalesce("__w.id", "id")}).drop("__k", "__w")
 
 
 def assign_canonical(jobs: DataFrame, priority: Column | None = None) -> DataFrame:

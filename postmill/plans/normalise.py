@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.lookups import ALIASES
 from ..operators import dedupe as D
 from ..session import table
-from .base import LOW, UP, query, squash_sql
+from .base import query, squash_sql
 
-_NAMES = """['Acme Widgets Inc', 'ACME WIDGETS, LLC', 'Société Générale S.A.', 'Limited', 'Übung & Söhne GmbH', 'Zeta'][1 + p_partkey % 6] || ' ' || CASE WHEN p_partkey % 6 = 5 THEN p_brand || ' Ltd.' ELSE '' END"""
+_COMPANIES = ["Acme Widgets Inc", "ACME WIDGETS, LLC", "Société Générale S.A.", "Limited", "Übung & Söhne GmbH", "Zeta", "Škoda Auto a.s.", "Türkiye İş Bankası", "Győri Kft", "Česko s.r.o.", "Coöperatie Łódź B.V."]
+_NAMES = """['Acme Widgets Inc', 'ACME WIDGETS, LLC', 'Société Générale S.A.', 'Limited', 'Übung & Söhne GmbH', 'Zeta', 'Škoda Auto a.s.', 'Türkiye İş Bankası', 'Győri Kft', 'Česko s.r.o.', 'Coöperatie Łódź B.V.'][1 + p_partkey % 11] || ' ' || CASE WHEN p_partkey % 6 = 5 THEN p_brand || ' Ltd.' ELSE '' END"""
 _TITLES = """['Sr. ' || p_name || ' (m/w/d)', p_name || ' - 744123', 'Jr ' || p_name || ' & Co', p_name || ', #259', upper(p_name) || ' (All Genders)', p_name][1 + p_partkey % 6]"""
 
 
@@ -19,7 +21,7 @@ def _pick(values, key="p_partkey"):
 
 def _name():
     extra = F.when(F.col("p_partkey") % 6 == 5, F.concat(F.col("p_brand"), F.lit(" Ltd."))).otherwise("")
-    return F.concat(_pick([F.lit(x) for x in ["Acme Widgets Inc", "ACME WIDGETS, LLC", "Société Générale S.A.", "Limited", "Übung & Söhne GmbH", "Zeta"]]), F.lit(" "), extra)
+    return F.concat(_pick([F.lit(x) for x in _COMPANIES]), F.lit(" "), extra)
 
 
 def _title():
@@ -31,7 +33,7 @@ _SUFFIX = "list_has_any([w[-1]], ['inc','incorporated','llc','llp','ltd','limite
 
 
 def _tokens_sql(x):
-    return f"list_filter(regexp_split_to_array(translate(lower({x}), '{UP}', '{LOW}'), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
 _COMPANY_SQL = f"(SELECT *, CASE WHEN len(w) > 1 AND {_SUFFIX} THEN array_to_string(w[:-2], '') ELSE array_to_string(w, '') END AS company FROM (SELECT *, {_tokens_sql(f'''replace({_NAMES}, '.', '')''')} AS w FROM part))"
@@ -41,7 +43,7 @@ _TITLE_SQL = f"array_to_string(list_transform({_tokens_sql(_CLEAN)}, lambda t: C
 
 @query("SELECT doc_id, sha256(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '', 'g')) AS digest FROM documents")
 def squash_text(spark, d):
-    """STR-01: NFKD by Arrow, whole texts."""
+    """STR-01: NFKD of whole texts."""
     return table(spark, d, "documents").select("doc_id", F.sha2(X.squash(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
@@ -77,9 +79,16 @@ def _jobs(spark, d):
                     F.when(size % 10 != 0, F.concat_ws("|", "p_name", (size % 5).cast("string"))).alias("dedupe_key"), F.when(k % 8 == 0, F.lit("2024-01-01")).alias("closed_at"), F.when(k % 10 == 1, k + 1).alias("canonical_id"))
 
 
+@query(f"SELECT key, closed, count(*) AS n FROM (SELECT p_partkey % 8 = 0 AS closed, CASE WHEN p_size % 10 = 0 AND p_partkey % 8 <> 0 THEN CASE WHEN company <> '' AND {_TITLE_SQL} <> '' THEN concat_ws('|', company, {_TITLE_SQL}, {squash_sql('p_type')}) END WHEN p_size % 10 <> 0 THEN p_name END AS key FROM {_COMPANY_SQL}) GROUP BY 1, 2")
+def key_fill(spark, d):
+    """DML-06: open rows without a key get one; closed ones and those that have one keep what they have."""
+    p = table(spark, d, "part").select(_name().alias("company"), _title().alias("title"), F.col("p_type").alias("location"), F.when(F.col("p_size") % 10 != 0, F.col("p_name")).alias("dedupe_key"), F.when(F.col("p_partkey") % 8 == 0, F.lit("2024-01-01")).alias("closed_at"))
+    return D.fill_keys(p).groupBy(F.col("dedupe_key").alias("key"), F.col("closed_at").isNotNull().alias("closed")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT id, winner_source, winner_id FROM ({_WIN})")
 def dedupe_winner(spark, d):
-    """WIN-01: two first values over one sort."""
+    """WIN-01: source and id of the first row of each key."""
     return D.winners(_jobs(spark, d).where("closed_at IS NULL")).select("id", "winner_source", "winner_id")
 
 
@@ -135,16 +144,23 @@ def phrase_in_bag(spark, d):
     return table(spark, d, "documents").select("doc_id", X.has_phrase(X.token_bag(F.col("text")), F.lit("Of the")).alias("hit"))
 
 
-@query("SELECT doc_id, [NULL, 'PostgreSQL', 'JavaScript', NULL, 'Kubernetes'][1 + doc_id % 5] AS fuller FROM documents")
+_SHORT = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " END"
+_WORDS = "list_concat(regexp_split_to_array(lower(text), '[^a-z0-9]+'), [['Rust', 'Post-gres', 'J.S.', 'jsonschema', 'K8s'][1 + doc_id % 5]])"
+
+
+@query(f"SELECT d.doc_id, coalesce(fuller, '') AS fuller FROM documents d LEFT JOIN (SELECT doc_id, string_agg(DISTINCT f, ',' ORDER BY f) AS fuller FROM (SELECT doc_id, {_SHORT} AS f FROM (SELECT doc_id, {squash_sql('x')} AS w FROM (SELECT doc_id, unnest({_WORDS}) AS x FROM documents))) WHERE f IS NOT NULL GROUP BY doc_id) USING (doc_id)")
 def alias_expansion(spark, d):
-    """STR-12."""
-    return table(spark, d, "documents").select("doc_id", X.expand_alias(_pick([F.lit(x) for x in ["Rust", "Postgres", "J.S.", "jsonschema", "K8s"]], "doc_id")).alias("fuller"))
+    """STR-12: every word of a text, and some spellings."""
+    more = F.array(_pick([F.lit(x) for x in ["Rust", "Post-gres", "J.S.", "jsonschema", "K8s"]], "doc_id"))
+    words = F.array_distinct(F.concat(F.split(F.lower("text"), "[^a-z0-9]+"), more))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform(words, X.expand_alias)))), ",").alias("fuller"))
 
 
-@query("SELECT conv_id, turn, role || ' said this' AS clean FROM conversations")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(trim(text), '[ \t]{2,}', ' ', 'g')) || CASE WHEN turn % 2 = 0 THEN ' said this.' ELSE '' END AS clean FROM (SELECT conv_id, turn, regexp_replace(text, '\s+([.,;:!?])', '\1', 'g') AS text FROM conversations)")
 def strip_handles(spark, d):
-    """STR-13."""
-    return table(spark, d, "conversations").select("conv_id", "turn", X.strip_handles(F.concat(F.col("role"), F.lit(" said (E11) this [E1, E2] E3"))).alias("clean"))
+    """STR-13: handles written into whole texts go, with the blanks they leave."""
+    text = F.concat(F.lit("(E"), F.col("turn").cast("string"), F.lit(") "), "text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" said [E1, E"), F.col("conv_id").cast("string"), F.lit("]  this E3 ."))).otherwise(F.lit(" [E7]")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.strip_handles(text).alias("clean"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '/+$', '') AS key, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages")

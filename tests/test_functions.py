@@ -37,9 +37,36 @@ def test_squash_is_nfkd(spark, value):
     assert one(spark, text.squash, value) == re.sub("[^a-z0-9]+", "", "".join(c for c in folded if not unicodedata.combining(c)))
 
 
-def test_squash_latin_equals_squash_on_latin(spark):
-    v = "Élan naïf: ÀÉÎÕÜ ç ñ ÿ 12"
-    assert one(spark, text.squash_latin, v) == one(spark, text.squash, v)
+@pytest.mark.parametrize("name", ["Škoda Auto a.s.", "Türkiye İş Bankası", "Győri Kft", "Česko s.r.o.", "ﬁnance ½", "Acme Inc."])
+def test_keys_are_nfkd_for_all_letters(spark, name):
+    folded = "".join(c for c in unicodedata.normalize("NFKD", name.lower().replace(".", "")) if not unicodedata.combining(c))
+    tokens = [t for t in re.split("[^a-z0-9]+", folded) if t]
+    tokens = tokens[:-1] if len(tokens) > 1 and tokens[-1] in lookups.LEGAL_SUFFIXES else tokens
+    assert one(spark, text.normalize_company, name) == "".join(tokens)
+
+
+@pytest.mark.parametrize("value, clean", [("Led it (E11) well.", "Led it well."), ("Did [E1, E2] that", "Did that"), ("E3 first , then E44 .", "first, then."), ("ΔE2 CO2", "ΔE2 CO2"), ("a\n\nb", "a\n\nb")])
+def test_handles_are_stripped(spark, value, clean):
+    assert one(spark, text.strip_handles, value) == clean
+
+
+@pytest.mark.parametrize("text_, fault", [
+    ("Reduced latency of billing services by 76%", None), ("Cut billing latency 77%", "the number 77 is not in the cited evidence"), ("Led Kubernetes billing", "'Kubernetes' does not appear in the cited evidence"),
+    ("Used PostgreSQL at Acme Widgets as Engineer", None), ("Used Azure", "'Azure' does not appear in the cited evidence")])
+def test_bullets_stay_within_their_claim(spark, text_, fault):
+    claim = "Latency of billing services reduced by 76% on Postgres"
+    own = validate.own_words(F.array(F.lit("Acme Widgets")), F.array(F.lit("Engineer")), F.lit(""), F.lit(""))
+    evidence = spark.createDataFrame([("E1", claim, "bullet"), ("E2", "Python", "skill")], "handle string, text string, kind string")
+    bullets = spark.createDataFrame([("E1", text_), ("E2", "Wrote Python"), ("E9", "x")], "handle string, text string")
+    got = {r["handle"]: r["fault"] for r in validate.check_bullets(bullets, evidence, own=own).collect()}
+    assert got == {"E1": fault, "E2": "cites E2, a skill claim; a bullet must cite a bullet", "E9": "cites E9, which is not in the vault"}
+
+
+def test_letters_are_blocked_by_any_fault(spark):
+    evidence = spark.createDataFrame([("a", "E1", "Built 3 APIs in Go"), ("a", "E2", "twelve services"), ("b", "E1", "Ran AWS")], "letter string, handle string, text string")
+    rows = [("a", 0, "My APIs in Go (E1) served twelve teams", ["E1", "E2"]), ("a", 1, "Nine years of it", ["E1"]), ("b", 0, "AWS and Azure", ["E1"]), ("b", 1, "hello", ["E7", "E8"]), ("c", 0, "quiet prose", [])]
+    got = {(r["letter"], r["place"]): (r["fault"], r["blocked"]) for r in validate.check_letters(spark.createDataFrame(rows, "letter string, place int, text string, evidence_ids array<string>"), evidence).collect()}
+    assert got == {("a", 0): (None, True), ("a", 1): ("the number 'Nine' is not in the cited evidence", True), ("b", 0): ("'Azure' does not appear in the cited evidence", True), ("b", 1): ("cites E7, E8, which is not in the vault", True), ("c", 0): (None, False)}
 
 
 @pytest.mark.parametrize("term, hay, hit", [("go", "we go now", True), ("go", "good Google", False), ("C++", "c++ and", True), ("C++", "xc++", False), (".NET", "asp.net", True), ("node.js", "NODE.JS!", True), ("die", "die_x", False), ("é", "café é", True)])
