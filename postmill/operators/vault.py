@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import split_skill_line, squash_latin
+from ..functions.text import split_skill_line, squash
 
 RESUME = "basics struct<location:string>, work array<struct<position:string,name:string,startDate:string,endDate:string,highlights:array<string>>>, skills array<struct<name:string,keywords:array<string>>>, projects array<struct<name:string,highlights:array<string>>>, certificates array<struct<name:string>>, years_experience double, work_authorization string"
 
@@ -31,11 +31,44 @@ def claims(resumes: DataFrame, id_col: str = "profile_id") -> DataFrame:
 
 def supported(claim_rows: DataFrame, resumes: DataFrame, id_col: str = "profile_id") -> DataFrame:
     """Claims whose squashed text stands in the squashed résumé."""
-    text = resumes.select(id_col, squash_latin(F.col("master_resume")).alias("__r"))
-    c = squash_latin(F.col("text"))
+    text = resumes.select(id_col, squash(F.col("master_resume")).alias("__r"))
+    c = squash(F.col("text"))
     return claim_rows.join(text, id_col).where((F.length(c) > 0) & F.col("__r").contains(c)).drop("__r")
 
 
+def companies(work: Column) -> Column:
+    return F.filter(F.transform(work, lambda w: w["name"]), lambda n: F.coalesce(n != "", F.lit(False)))
+
+
+def titles(work: Column) -> Column:
+    return F.filter(F.transform(work, lambda w: w["position"]), lambda n: F.coalesce(n != "", F.lit(False)))
+
+
+def vaults(evidence: DataFrame, resumes: DataFrame, owner: str = "profile_id") -> DataFrame:
+    """(owner, claims, companies, titles): claims as a map of handle to kind, text and source; an owner without evidence has an empty one."""
+    per = evidence.groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("handle", F.struct("kind", "text", "source").alias("claim")))).alias("claims"))
+    known = resumes.select(owner, companies(F.col("work")).alias("companies"), titles(F.col("work")).alias("titles"))
+    none = F.create_map().cast("map<string,struct<kind:string,text:string,source:string>>")
+    return known.join(per, owner, "left").select(owner, F.coalesce("claims", none).alias("claims"), "companies", "titles")
+
+
+def assembled(matches: DataFrame, jobs: DataFrame, profiles: DataFrame, vault: DataFrame, parsed: str = "parsed_json") -> DataFrame:
+    """Each match with its job, the profile of its user and that profile's vault; one that lacks any of them, or whose profile isn't parsed, is left out."""
+    usable = profiles.where(F.col(parsed).isNotNull() & (F.col(parsed) != "{}"))
+    return matches.join(jobs, "job_id").join(usable, "user_id").join(vault, "profile_id")
+
+
+def evidence_block(handle: Column, kind: Column, text: Column) -> Column:
+    """One line of the list of claims that a prompt shows."""
+    return F.concat(handle, F.lit(" ["), kind, F.lit("] "), F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
+def may_rebuild(work: Column, skills: Column, resume: Column, least: int = 200) -> Column:
+    """May a fresh parse replace what is stored: not where a long résumé gave neither work nor skills."""
+    empty = (F.coalesce(F.size(work), F.lit(0)) <= 0) & (F.coalesce(F.size(skills), F.lit(0)) <= 0)
+    return ~(empty & (F.length(F.coalesce(resume, F.lit(""))) >= least))
+
+
 def mint_handles(evidence: DataFrame, owner: str, order: list[str]) -> DataFrame:
     """E1, E2, … per owner, in the order given."""
     n = F.row_number().over(W.partitionBy(owner).orderBy(*order))
@@ -56,4 +89,4 @@ def skill_names(evidence: DataFrame, owner: str) -> DataFrame:
     """Skills of each owner by their squashed form, first spelling kept; a heading before members is dropped."""
     parts = split_skill_line(F.col("text"))
     rows = evidence.where("kind = 'skill'").select(owner, "pos", F.posexplode(F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts) - 1)).otherwise(parts)).alias("i", "skill"))
-    return rows.groupBy(owner, squash_latin(F.col("skill")).alias("form")).agg(F.min_by("skill", F.struct("pos", "i")).alias("skill")).where("form <> ''")
+    return rows.groupBy(owner, squash(F.col("skill")).alias("form")).agg(F.min_by("skill", F.struct("pos", "i")).alias("skill")).where("form <> ''")
