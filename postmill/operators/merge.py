@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 
 def canonical_json(col: Column) -> Column:
-    """Equal for JSON texts that differ in key order or spacing only."""
-    return F.to_json(F.parse_json(col))
+    """Equal for JSON texts that differ in key order or spacing only; a text that is no JSON stands for itself."""
+    return F.coalesce(F.to_json(F.try_parse_json(col)), col)
+
+
+def shallow_merge(left: Column, right: Column) -> Column:
+    """Two JSON objects as one; of equal keys the right one's value stays, whole. What is no object adds nothing."""
+    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    ours = F.map_filter(parsed(left), lambda k, _: ~F.array_contains(F.map_keys(parsed(right)), k))
+    return F.to_json(F.map_concat(ours, parsed(right)))
 
 
 def last_of_batch(batch: DataFrame, key: list[str], arrival: str) -> DataFrame:

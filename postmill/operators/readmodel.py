@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,28 @@ def with_documents(rows: DataFrame, documents: DataFrame, key: str, fields: list
     return rows.join(lists, key, "left")
 
 
-def append_event(spark, path: str, rows: DataFrame) -> None:
-    """Append (user_id, type, payload_json, created_at) rows to the audit log."""
-    rows.select("user_id", "type", "payload_json", "created_at").write.mode("append").parquet(path)
+EVENT = "user_id bigint, type string, payload_json string, created_at timestamp"
+
+
+def append_events(rows: DataFrame, path: str) -> None:
+    """Append (user_id, type, payload_json, created_at) rows to the audit log, which nothing rewrites; most events belong to no user."""
+    kept = rows.select(F.col("user_id").cast("bigint").alias("user_id"), "type", "payload_json", F.col("created_at").cast("timestamp").alias("created_at"))
+    kept.write.mode("append").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT).parquet(path)
 
 
 def has_key(payload: Column, key: str) -> Column:
     """Is the key there at all: absent is not zero."""
     return F.coalesce(F.array_contains(F.json_object_keys(payload), key), F.lit(False))
+
+
+def price(tokens: Column, per_million: Column) -> Column:
+    return tokens * per_million / 1_000_000
+
+
+def price_per_thousand(spent: Column, done: Column) -> Column:
+    """Price of a thousand units of work; null where none was done."""
+    return F.try_divide(spent * 1000, done)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_board, slugify
@@ -36,3 +36,9 @@ def looks_like_postings(payload: Column) -> Column:
     """A non-empty JSON list whose first element has a title, text or name."""
     keys = F.json_object_keys(F.get_json_object(payload, "$[0]"))
     return F.coalesce(F.arrays_overlap(keys, F.array(F.lit("title"), F.lit("text"), F.lit("name"))), F.lit(False))
+
+
+def seed_rows(spark: SparkSession, boards: list[tuple[str, str, str]]) -> DataFrame:
+    """(ats_type, ats_slug, name, status) rows of a list of boards, to be inserted where they are absent."""
+    rows = F.array(*(F.struct(F.lit(a).alias("ats_type"), F.lit(s).alias("ats_slug"), F.lit(n).alias("name"), F.lit("active").alias("status")) for a, s, n in boards))
+    return spark.range(1).select(F.inline(rows))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.readmodel import append_events, read_events
+from ..session import shared_path, table
 from ..streaming import jobs as J
-from ..session import table
 from .base import query
 
 
@@ -38,22 +39,26 @@ def volume_floor_gate(spark, d):
     return J.gate_runs(runs, "event_type", "day", "fetched").select("event_type", "day", "fetched", "previous", "may_close")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'detail' ELSE 'listed' END AS description FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || ' in full' ELSE o_orderstatus END AS description, CASE WHEN o_orderkey % 8 = 0 THEN 'https://x.example/' || o_custkey ELSE 'https://x.example/list' END AS url FROM orders")
 def changed_detail(spark, d):
     """STM-12, SRC-05: details are merged for changed rows only."""
     from ..sources.providers import merge_details
 
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("external_id"), F.lit("listed").alias("description"), F.lit("u").alias("url"))
-    details = o.withColumn("description", F.lit("detail"))
-    return merge_details(o, details, o.where("external_id % 4 = 0")).select(F.col("external_id").alias("o_orderkey"), "description")
+    key = F.col("o_orderkey").alias("external_id")
+    listed = table(spark, d, "orders").select(key, F.col("o_orderstatus").alias("description"), F.lit("https://x.example/list").alias("url"))
+    address = F.when(F.col("o_orderkey") % 8 == 0, F.concat(F.lit("https://x.example/"), F.col("o_custkey").cast("string")))
+    details = table(spark, d, "orders").select(key, F.concat("o_orderpriority", F.lit(" in full")).alias("description"), address.alias("url"))
+    return merge_details(listed, details, listed.where("external_id % 4 = 0")).select(F.col("external_id").alias("o_orderkey"), "description", "url")
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END) AS answer FROM orders")
+@query("SELECT o_orderkey, again AS asked_again, CASE WHEN again AND o_orderkey % 5 <> 0 THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS met, CASE WHEN again AND o_orderkey % 5 <> 0 THEN '' WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS missing FROM (SELECT *, o_orderkey % 6 = 0 AS again FROM orders)")
 def bounded_reask(spark, d):
-    """STM-11, SRC-21: a second answer, where it was asked for, is believed."""
-    second = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority"))
-    first = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus"))
-    return table(spark, d, "orders").select("o_orderkey", F.coalesce(second, first).alias("answer"))
+    """STM-11: an answer that met nothing and missed something is asked again once; the second answer is believed."""
+    none = F.array().cast("array<string>")
+    o = table(spark, d, "orders")
+    first = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, none).otherwise(F.array("o_orderstatus")).alias("met"), F.when(F.col("o_orderkey") % 2 == 0, F.array("o_orderpriority")).otherwise(none).alias("missing"))
+    second = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.array("o_orderpriority").alias("met"), none.alias("missing"))
+    return J.reasked(first, second, "o_orderkey").select("o_orderkey", "asked_again", F.array_join("met", ",").alias("met"), F.array_join("missing", ",").alias("missing"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -75,3 +80,13 @@ def ext_session(spark, d):
     """Extension: session windows."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return J.session_counts(e, "ts", "2 hours", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT user_id, event_type AS type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2")
+def audit_append(spark, d):
+    """SNK-01, STM-06: two runs append to the audit log, which is then read back."""
+    path = shared_path(spark, "audit")
+    e = table(spark, d, "events").withColumns({"type": F.col("event_type"), "payload_json": F.to_json(F.struct("event_id", "props")), "created_at": F.col("ts")})
+    for run in (0, 1):
+        append_events(e.where(F.col("event_id") % 2 == run), path)
+    return read_events(spark, path).groupBy("user_id", "type").agg(F.count("*").alias("n"), F.max(F.get_json_object("payload_json", "$.event_id").cast("bigint")).alias("last"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
+from ..operators.registry import seed_rows
 from ..schemas import violations
 from ..session import table
 from .base import RUN, RUN_SQL, query
@@ -90,6 +91,24 @@ def insert_if_absent(spark, d):
     return M.insert_absent(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id"), ["doc_id"])
 
 
+@query("SELECT ats_type, ats_slug, name FROM (SELECT 'lever' AS ats_type, lower(replace(s_name, '#', '-')) AS ats_slug, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT * FROM (VALUES ('lever', 'supplier-000000002', 'Seed two'), ('ashby', 'Linear', 'Linear'), ('greenhouse', 'figma', 'Figma')) v WHERE v.col1 NOT IN (SELECT lower(replace(s_name, '#', '-')) FROM supplier WHERE s_suppkey % 2 = 0))")
+def seed_boards(spark, d):
+    """SRC-20, DML-10: literal boards, inserted where the registry has none of that kind and slug."""
+    known = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.lit("lever").alias("ats_type"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("ats_slug"), F.col("s_name").alias("name"), F.lit("active").alias("status"))
+    seeds = seed_rows(spark, [("lever", "supplier-000000002", "Seed two"), ("ashby", "Linear", "Linear"), ("greenhouse", "figma", "Figma")])
+    return known.unionByName(M.insert_absent(known, seeds, ["ats_type", "ats_slug"])).select("ats_type", "ats_slug", "name")
+
+
+@query("SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), '0') AS BIGINT) % 2 AS k, event_type AS kind, user_id AS added FROM events")
+def json_shallow_merge(spark, d):
+    """JSN-04: the right object's values replace the left's, whole; the rest stays."""
+    right = F.to_json(F.struct((F.get_json_object("props", "$.k").cast("bigint") % 2).alias("k"), F.struct(F.col("event_type").alias("kind")).alias("nested"), F.col("user_id").alias("added")))
+    left = F.to_json(F.struct(F.lit("old").alias("k"), F.struct(F.lit("gone").alias("other")).alias("nested")))
+    merged = M.shallow_merge(left, right)
+    rows = table(spark, d, "events").select("event_id", merged.alias("m"), F.get_json_object(merged, "$.nested.other").alias("gone")).where("gone IS NULL")
+    return rows.select("event_id", F.get_json_object("m", "$.k").cast("bigint").alias("k"), F.get_json_object("m", "$.nested.kind").alias("kind"), F.get_json_object("m", "$.added").cast("bigint").alias("added"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN CASE o_orderstatus WHEN 'O' THEN 'P' WHEN 'P' THEN 'F' ELSE o_orderstatus END ELSE o_orderstatus END AS status, o_custkey % 2 = 0 AND o_orderstatus IN ('O', 'P') AS affected FROM orders")
 def cas_transition(spark, d):
     """DML-12."""

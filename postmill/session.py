@@ -16,10 +16,12 @@ def build(master: str = "local[8]", app: str = "postmill", partitions: int = 8)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a temporary one is set where it is unset, as in tests."""
+    """A new path in the folder named by spark.checkpoint.dir; on one machine, as in tests, a temporary one is set where it is unset."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="postmill-shared-")
         sc.setCheckpointDir(where)
     return f"{where.rstrip('/')}/postmill/{what}-{uuid.uuid4().hex}"

@@ -16,38 +16,76 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class Snapshot:
-    """A keyed table kept as numbered versions in a shared folder; a batch that comes again rewrites its own version."""
+#: Parts of a snapshot, by hash of its key; fixed for its life. A batch rewrites the parts that it has keys of.
+PARTS = 64
 
-    def __init__(self, spark: SparkSession, folder: str, schema):
-        self.spark, self.folder, self.schema, self.version = spark, folder, schema, None
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+class Snapshot:
+    """A keyed table in a shared folder, in parts by hash of the key.
+
+    A version has the parts that its batch touched, and a small list that says for every part which version
+    holds it; the list is written last, and a version without it doesn't count. Everything is in the folder: a new
+    object over it goes on where the last one ended. A batch that comes again starts from the versions
+    before it, and so gives what it gave."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema, key: list[str], parts: int = PARTS):
+        self.spark, self.folder, self.schema, self.key, self.parts = spark, folder.rstrip("/"), schema, key, parts
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/lists")
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        there = [s.getPath() for s in files.listStatus(root)]
+        done = [p.getName() for p in there if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(name) for name in done)
+
+    def holders(self, before: int | None = None) -> dict[int, int]:
+        """For each part there is the version that holds it, as of the last version (before a given one)."""
+        known = [v for v in self.versions() if before is None or v < before]
+        if not known:
+            return {}
+        rows = self.spark.read.schema("part int, version bigint").parquet(f"{self.folder}/lists/{known[-1]}").collect()
+        return {r["part"]: r["version"] for r in rows}
+
+    def _rows(self, holders: dict[int, int]) -> DataFrame:
+        if not holders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version}")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self.version = version
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/rows/{v}/part={p}" for p, v in sorted(holders.items())))
 
-
-def merge_latest(snapshot: Snapshot, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    def read(self) -> DataFrame:
+        return self._rows(self.holders())
+
+    def replace(self, batch: DataFrame, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Write the version that ``merge`` (old rows, new rows) gives for the parts that the batch has keys of."""
+        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+        rows = batch.select(*self.schema.fieldNames())
+        touched = sorted(r["part"] for r in rows.select(part.alias("part")).distinct().collect())
+        holders = self.holders(before=version)
+        if touched:
+            merged = merge(self._rows({p: v for p, v in holders.items() if p in touched}), rows)
+            merged.withColumn("part", part).repartition(len(touched), "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/rows/{version}")
+        lists = {**holders, **dict.fromkeys(touched, version)}
+        self.spark.createDataFrame(sorted(lists.items()), "part int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
+
+
+def merge_latest(snapshot: Snapshot, order: list[str]) -> Callable[[DataFrame, int], None]:
     """Batch by batch, keep the last row of each key by ``order``; repeated or late rows change nothing."""
+    last = F.max_by(F.struct(*snapshot.schema.fieldNames()), F.struct(*order))
 
-    def apply(batch: DataFrame, number: int) -> None:
-        both = snapshot.read().unionByName(batch.select(*snapshot.schema.fieldNames()))
-        last = F.max_by(F.struct(*snapshot.schema.fieldNames()), F.struct(*order))
-        snapshot.write(both.groupBy(*key).agg(last.alias("__r")).select("__r.*"), number)
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy(*snapshot.key).agg(last.alias("__r")).select("__r.*")
 
-    return apply
+    return lambda batch, number: snapshot.replace(batch, number, merge)
 
 
-def latest_of_stream(stream: DataFrame, key: list[str], order: list[str], what: str) -> DataFrame:
-    """The final state of ``merge_latest`` over all that the stream has."""
+def latest_of_stream(stream: DataFrame, key: list[str], order: list[str], what: str, folder: str | None = None) -> DataFrame:
+    """The state of ``merge_latest`` over all that the stream has, from where the folder's last run ended; a new folder by default."""
     spark = stream.sparkSession
-    snapshot = Snapshot(spark, shared_path(spark, what), stream.schema)
-    run_available(stream, merge_latest(snapshot, key, order), shared_path(spark, f"{what}-offsets"))
+    folder = folder or shared_path(spark, what)
+    snapshot = Snapshot(spark, f"{folder}/state", stream.schema, key)
+    run_available(stream, merge_latest(snapshot, order), f"{folder}/offsets")
     return snapshot.read()
 
 
@@ -71,3 +109,12 @@ def gate_runs(runs: DataFrame, source: str, order: str, fetched: str) -> DataFra
     """Each run with the one before it, and whether it may close rows."""
     before = F.lag(fetched).over(W.partitionBy(source).orderBy(order))
     return runs.withColumn("previous", before).withColumn("may_close", volume_ok(F.col("previous"), F.col(fetched)))
+
+
+def reasked(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Answers (key, met, missing) with ``asked_again``: where nothing was met and something missing, a second answer, if there is one, replaces the first."""
+    again = (F.size("met") == 0) & (F.size("missing") > 0)
+    other = second.select(key, F.struct("met", "missing").alias("__s"))
+    out = first.withColumn("asked_again", again).join(other, key, "left")
+    taken = F.col("asked_again") & F.col("__s").isNotNull()
+    return out.withColumns({c: F.when(taken, F.col(f"__s.{c}")).otherwise(F.col(c)) for c in ("met", "missing")}).drop("__s")

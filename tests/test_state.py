@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from postmill import schemas
-from postmill.operators import dedupe, merge, registry
+from postmill.operators import dedupe, merge, readmodel, registry
 from postmill.session import shared_path
 from postmill.sources import payloads, providers
 from postmill.streaming import jobs
@@ -55,22 +56,110 @@ def test_constraints(spark):
     assert bad == {"score": 1, "unique(id)": 1}
 
 
-def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
-    data, offsets = str(tmp_path / "in"), str(tmp_path / "offsets")
-    rows = lambda n, v: spark.createDataFrame([(k, v, v * 10 + k) for k in range(n)], "user bigint, v bigint, at bigint")
-    rows(3, 1).write.parquet(data)
-    stream = lambda: spark.readStream.schema("user bigint, v bigint, at bigint").parquet(data)
-    snap = jobs.Snapshot(spark, shared_path(spark, "t"), stream().schema)
-    seen = []
+STATE = "user bigint, v bigint, at bigint"
 
-    def apply(batch, number):
-        seen.append(batch.count())
-        jobs.merge_latest(snap, ["user"], ["at"])(batch, number)
 
-    jobs.run_available(stream(), apply, offsets)
-    rows(2, 2).write.mode("append").parquet(data)
-    jobs.run_available(stream(), apply, offsets)
-    assert sum(seen) == 5 and sorted((r["user"], r["v"]) for r in snap.read().collect()) == [(0, 2), (1, 2), (2, 1)]
+def _arrivals(spark, data, users, v):
+    spark.createDataFrame([(k, v, v * 10 + k) for k in users], STATE).coalesce(1).write.mode("append").parquet(data)
+
+
+def test_a_new_object_goes_on_from_the_folder(spark, tmp_path):
+    data, state, offsets = (str(tmp_path / x) for x in ("in", "state", "offsets"))
+
+    def run():
+        stream = spark.readStream.schema(STATE).option("maxFilesPerTrigger", 1).parquet(data)
+        snap, seen = jobs.Snapshot(spark, state, stream.schema, ["user"], parts=8), []
+        merge_ = jobs.merge_latest(snap, ["at"])
+        jobs.run_available(stream, lambda batch, number: (seen.append(number), merge_(batch, number)), offsets)
+        return seen, sorted((r["user"], r["v"]) for r in snap.read().collect())
+
+    _arrivals(spark, data, [0, 1, 2], 1)
+    _arrivals(spark, data, [1, 3], 2)
+    seen, rows = run()
+    assert len(seen) == 2 and rows == [(0, 1), (1, 2), (2, 1), (3, 2)]
+    _arrivals(spark, data, [5], 3)
+    seen, rows = run()
+    assert seen == [2] and rows == [(0, 1), (1, 2), (2, 1), (3, 2), (5, 3)]
+    assert run() == ([], rows)
+
+
+def test_a_replayed_batch_changes_nothing_and_others_parts_stay(spark, tmp_path):
+    schema = spark.createDataFrame([], STATE).schema
+    snap = jobs.Snapshot(spark, str(tmp_path / "state"), schema, ["user"], parts=16)
+    merge_ = jobs.merge_latest(snap, ["at"])
+    batch = lambda users, v: spark.createDataFrame([(k, v, v * 10 + k) for k in users], STATE)
+    merge_(batch(range(40), 1), 0)
+    merge_(batch([7], 2), 1)
+    once = sorted(map(tuple, snap.read().collect()))
+    assert (7, 2, 27) in once and len(once) == 40
+    assert set(snap.holders().values()) == {0, 1} and list(snap.holders().values()).count(1) == 1  # one part was written anew
+    merge_(batch([7], 2), 1)
+    assert sorted(map(tuple, jobs.Snapshot(spark, str(tmp_path / "state"), schema, ["user"], parts=16).read().collect())) == once
+    # a version whose list was never finished does not count
+    (tmp_path / "state" / "lists" / "9").mkdir()
+    assert snap.versions() == [0, 1]
+
+
+def test_late_and_empty_batches_keep_the_state(spark, tmp_path):
+    schema = spark.createDataFrame([], STATE).schema
+    snap = jobs.Snapshot(spark, str(tmp_path / "state"), schema, ["user"], parts=4)
+    assert snap.read().count() == 0
+    merge_ = jobs.merge_latest(snap, ["at"])
+    merge_(spark.createDataFrame([(1, 5, 50)], STATE), 0)
+    merge_(spark.createDataFrame([(1, 4, 40)], STATE), 1)
+    merge_(spark.createDataFrame([], STATE), 2)
+    assert [tuple(r) for r in snap.read().collect()] == [(1, 5, 50)]
+
+
+def test_malformed_payloads_do_not_stop_a_merge(spark):
+    rows = spark.createDataFrame([('{"a": 1, "b": 2}', '{"b":2,"a":1}'), ("{broken", "{broken"), ("{broken", "{}"), (None, "x")], "a string, b string")
+    assert [r["s"] for r in rows.select(merge.canonical_json(F.col("a")).eqNullSafe(merge.canonical_json(F.col("b"))).alias("s")).collect()] == [True, True, False, False]
+
+
+def test_shallow_merge(spark):
+    rows = spark.createDataFrame([('{"a": {"x": 1}, "b": [1]}', '{"a": {"y": 2.5}}'), ("{}", '{"k": null}'), (None, '{"k": "v"}'), ('{"k": 1}', "nope")], "l string, r string")
+    assert [json.loads(r["m"]) for r in rows.select(merge.shallow_merge(F.col("l"), F.col("r")).alias("m")).collect()] == [{"a": {"y": 2.5}, "b": [1]}, {"k": None}, {"k": "v"}, {"k": 1}]
+
+
+def test_the_audit_log_only_grows(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "feed.done", "{}", RUN), (3, "match.scored", '{"score": 5}', RUN)], "user_id bigint, type string, payload_json string, created_at timestamp")
+    for _ in range(2):
+        readmodel.append_events(rows.withColumn("more", F.lit(1)), str(tmp_path / "log"))
+    log = readmodel.read_events(spark, str(tmp_path / "log"))
+    assert log.count() == 4 and log.columns == rows.columns
+
+
+def test_a_frozen_worksheet_is_never_overwritten(spark, tmp_path):
+    rows = spark.range(2)
+    payloads.write_frozen(rows, str(tmp_path / "w"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        payloads.write_frozen(rows, str(tmp_path / "w"))
+
+
+def test_resumes_are_read_and_empty_ones_refused(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Jane")
+    (tmp_path / "b.pdf").write_text("%PDF")
+    assert [r["text"] for r in payloads.read_resumes(spark, str(tmp_path)).collect()] == ["# Jane"]
+    (tmp_path / "c.txt").write_text("  ")
+    with pytest.raises(Exception, match="empty résumé"):
+        payloads.read_resumes(spark, str(tmp_path)).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf())
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session(), "t")
 
 
 def test_late_rows_are_dropped_by_the_watermark(spark):
