@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lookups import covers, open_to_world, regions_named
+from ..functions.text import any_word
+
 
 def sweep(judged: DataFrame, score: str, relevant: str, top: int = 100, step: int = 5) -> DataFrame:
     """(threshold, hits, kept, relevant, precision, recall) at each threshold.
@@ -48,6 +51,28 @@ def round_robin(rows: DataFrame, group: str, key: str, seed: int, most: int) ->
     return rows.withColumn("rn", rank).where(F.col("rn") <= most).join(sizes, group).orderBy("rn", "size", group).limit(most)
 
 
+def skill_hits(title: Column, description: Column, skills: list[str], head: int = 4000) -> Column:
+    """How many different skills a posting names as whole words, in its title or where its requirements stand."""
+    text = F.concat_ws(" ", title, F.left(F.coalesce(description, F.lit("")), F.lit(head)))
+    return reduce(lambda a, b: a + b, [any_word(text, [s]).cast("int") for s in dict.fromkeys(x.lower() for x in skills)], F.lit(0))
+
+
+def on_craft(jobs: DataFrame, skills: list[str], key: str = "id", least: int = 2, cap: int = 2) -> DataFrame:
+    """Postings that name ``least`` skills or more, most first: one per company and title, then ``cap`` per company."""
+    hits = jobs.withColumn("hits", skill_hits(F.col("title"), F.col("description"), skills)).where(F.col("hits") >= least)
+    order = [F.desc("hits"), F.col(key).cast("string")]
+    first = hits.withColumn("__r", F.row_number().over(W.partitionBy("company", F.lower(F.trim("title"))).orderBy(*order))).where("__r = 1")
+    return first.withColumn("__c", F.row_number().over(W.partitionBy("company").orderBy(*order))).where(F.col("__c") <= cap).drop("__r", "__c")
+
+
+def reachable(places: Column, authorised: Column) -> Column:
+    """Is a place one that the authorised regions are known to reach; without any authorised, every one is. Unlike a bar, unknown is no."""
+    joined = F.array_join(places, " ")
+    wanted = regions_named(joined)
+    known = open_to_world(joined, wanted) | ((F.size(wanted) > 0) & covers(authorised, wanted))
+    return (F.coalesce(F.size(authorised), F.lit(0)) <= 0) | F.coalesce(known, F.lit(False))
+
+
 def capped(rows: DataFrame, role: list[str], group: str, cap: int, key: str, seed: int) -> DataFrame:
     """One row per role, then at most ``cap`` per group, in seeded order."""
     order = [seeded(key, seed), F.col(key)]

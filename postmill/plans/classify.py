@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..operators import bars as B
+from ..operators.evaluation import reachable
 from ..session import table
 from .base import WORD, query
 
@@ -33,11 +34,11 @@ def _pick(values):
 
 
 def _head():
-    """A title from the table's own text and a fixed one."""
-    return F.concat_ws(" ", _pick(_TITLES), F.substring("text", 1, 40))
+    """A fixed title and the table's own whole text."""
+    return F.concat_ws(" ", _pick(_TITLES), "text")
 
 
-_HEAD_SQL = f"({_TITLE_SQL} || ' ' || left(text, 40))"
+_HEAD_SQL = f"({_TITLE_SQL} || ' ' || text)"
 
 
 @query(f"SELECT doc_id, {_BAND_SQL.format(_HEAD_SQL)} AS band FROM documents")
@@ -53,10 +54,10 @@ def band_distance(spark, d):
     return table(spark, d, "documents").groupBy(delta.alias("delta")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, array_to_string(r, ',') AS regions FROM (SELECT doc_id, {_region_sql(_PLACE_SQL)} AS r FROM documents)")
+@query(f"SELECT doc_id, array_to_string(r, ',') AS regions FROM (SELECT doc_id, {_region_sql(f"({_PLACE_SQL} || chr(10) || text)")} AS r FROM documents)")
 def region_named(spark, d):
-    """CLS-06, JN-08."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(L.regions_named(_pick(_PLACES)), ",").alias("regions"))
+    """CLS-06, JN-08: a place and a whole text."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(L.regions_named(F.concat_ws("\n", _pick(_PLACES), "text")), ",").alias("regions"))
 
 
 _WIDE = "list_concat(a, CASE WHEN list_contains(a, 'EU') THEN ['DE', 'FR', 'NL', 'IE', 'PL', 'IT'] ELSE [] END)"
@@ -84,6 +85,13 @@ def country_bar(spark, d):
     return table(spark, d, "documents").select("doc_id", B.country_bar(places, _home()).alias("bar"))
 
 
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN true ELSE {_OPEN} OR (len(r) > 0 AND {_COVERS}) END AS reachable FROM {_PLACED}")
+def reachable_strict(spark, d):
+    """FLT-20: only places that are known to be reached; nothing authorised reaches everything."""
+    home = F.when(F.col("doc_id") % 4 != 3, _home())
+    return table(spark, d, "documents").select("doc_id", reachable(F.array(_pick(_PLACES)), home).alias("reachable"))
+
+
 _AUTHS = ["US citizen", "needs sponsorship to work", "no sponsorship required", "green card", "happy", "Requires sponsorship; citizen of France"]
 
 

@@ -9,7 +9,7 @@ from ..functions.dates import month_ordinal, span
 from ..functions.scores import wilson
 from ..operators import evaluation as E
 from ..session import table
-from .base import query
+from .base import POSTINGS_SQL, postings, query
 
 _SWEEP = """(SELECT t AS threshold, count(*) FILTER (WHERE score >= t AND relevant) AS hits, count(*) FILTER (WHERE score >= t) AS kept, count(*) FILTER (WHERE relevant) AS relevant
 FROM (SELECT doc_id * 37 % 101 AS score, quality = 1 AND toxic = 0 AS relevant FROM labels), (SELECT unnest(range(0, 101, 5)) AS t) GROUP BY t)"""
@@ -72,7 +72,7 @@ def stratified_round_robin(spark, d):
 
 @query("SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS c FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY h, doc_id) AS r FROM (SELECT doc_id, source, lang, sha256('7:' || doc_id) AS h FROM documents)) WHERE r = 1) WHERE c <= 2")
 def capped_sample(spark, d):
-    """WIN-08, FLT-21: one per role, then at most two per employer."""
+    """WIN-08: one per role, then at most two per employer."""
     return E.capped(table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "source", 2, "doc_id", 7).select("doc_id")
 
 
@@ -117,3 +117,13 @@ def roles_newest_first(spark, d):
     end = F.when(F.col("o_orderstatus") != "O", F.struct(F.col("o_orderdate"), -F.col("o_orderkey")))
     start = F.struct(F.col("o_orderdate"), -F.col("o_orderkey"))
     return C.newest_first(table(spark, d, "orders"), "o_custkey", start, end).select("o_orderkey", F.col("place").cast("bigint").alias("place"))
+
+
+_SKILLS = ["data", "model", "Water", "time", "energy"]
+_HITS = " + ".join(rf"CAST(regexp_matches(h, '(?i)(^|[^\p{{L}}\p{{N}}_]){s.lower()}([^\p{{L}}\p{{N}}_]|$)') AS INT)" for s in _SKILLS)
+
+
+@query(f"WITH {POSTINGS_SQL}, s AS (SELECT id, company, lower(trim(title)) AS role, {_HITS} AS hits FROM (SELECT *, concat_ws(' ', title, left(coalesce(description, ''), 4000)) AS h FROM postings)), r AS (SELECT *, row_number() OVER (PARTITION BY company, role ORDER BY hits DESC, CAST(id AS VARCHAR)) AS r FROM s WHERE hits >= 1) SELECT id, CAST(hits AS BIGINT) AS hits FROM r WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY company ORDER BY hits DESC, CAST(id AS VARCHAR)) <= 2")
+def on_craft(spark, d):
+    """FLT-21, AGG-21, WIN-08: different skills named by a posting; the best of a role, two of an employer."""
+    return E.on_craft(postings(spark, d), _SKILLS, least=1).select("id", F.col("hits").cast("bigint").alias("hits"))

@@ -97,6 +97,15 @@ def embed_text_projection(spark, d):
     return postings(spark, d).select("id", F.sha2(text.cast("binary"), 256).alias("digest"), F.substring(F.concat_ws(" ", F.coalesce(title, F.lit("not stated")), "company"), 1, 100).alias("head"))
 
 
+@query("SELECT conv_id, sha256(concat_ws(chr(10), string_agg(role, ', ' ORDER BY turn), CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'senior' END, left(string_agg(text, ' ' ORDER BY turn), 8000))) AS digest FROM conversations GROUP BY conv_id")
+def query_text(spark, d):
+    """PRJ-05: wished titles, seniority and the head of the résumé, as they are embedded."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    per = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    titles, resume = F.transform("t", lambda t: t["role"]), F.array_join(F.transform("t", lambda t: t["text"]), " ")
+    return per.select("conv_id", F.sha2(O.query_text(titles, F.when(F.col("conv_id") % 3 != 0, "senior"), resume).cast("binary"), 256).alias("digest"))
+
+
 _SOURCES = "SELECT *, ['greenhouse','lever','remotive','jobspy:indeed','unlisted','ashby'][1 + o_orderkey % 6] AS src FROM orders"
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lookups import literal_map
 from ..functions.text import slugify
 from ..operators import readmodel as R
 from ..operators import registry as G
@@ -102,11 +103,23 @@ def payload_sample_top3(spark, d):
 
 @query("SELECT o_orderpriority, CAST(sum(l_quantity) AS BIGINT) AS tokens, count(*) AS calls FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def usage_tokens(spark, d):
-    """AGG-05, MTH-06."""
+    """AGG-05."""
     j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return j.groupBy("o_orderpriority").agg(F.sum("l_quantity").cast("bigint").alias("tokens"), F.count("*").alias("calls"))
 
 
+_PRICES = {"F": 0.27, "O": 1.1, "P": 0.02}
+
+
+@query("SELECT o_orderpriority, round(sum(l_quantity * CASE o_orderstatus WHEN 'F' THEN 0.27 WHEN 'O' THEN 1.1 ELSE 0.02 END) / 1000000, 9) AS spent, CASE WHEN count(*) FILTER (WHERE l_linenumber > 3) > 0 THEN round(sum(l_quantity * CASE o_orderstatus WHEN 'F' THEN 0.27 WHEN 'O' THEN 1.1 ELSE 0.02 END) / 1000000 * 1000 / count(*) FILTER (WHERE l_linenumber > 3), 9) END AS per_thousand FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def price_per_thousand(spark, d):
+    """MTH-06: tokens of each kind at its price per million, per thousand of what reached the model."""
+    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    spent = F.sum(R.price(F.col("l_quantity").cast("double"), F.try_element_at(literal_map(_PRICES), "o_orderstatus")))
+    per = j.groupBy("o_orderpriority").agg(spent.alias("spent"), F.count_if(F.col("l_linenumber") > 3).alias("done"))
+    return per.select("o_orderpriority", F.round("spent", 9).alias("spent"), F.round(R.price_per_thousand(F.col("spent"), F.col("done")), 9).alias("per_thousand"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 10")
 def oldest_first_queue(spark, d):
     """SRT-03."""

@@ -1,4 +1,4 @@
-"""Sources (SRC, DTE): payloads are made from the tables' own rows, one page per row, then read as a provider's."""
+"""Sources (SRC, DTE): payloads of several records are made from the tables' own rows and whole texts, then read as a provider's."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from ..functions import dates as D
 from ..functions.text import detect_board, html_to_text
 from ..operators.registry import looks_like_postings, resolve
 from ..sources.providers import PROVIDERS, normalize, normalize_rss
-from ..session import table
+from ..session import shared_path, table
+from ..sources.payloads import elements, pages, write_frozen
 from .base import query
 
-_HEAD_SQL = r"left(regexp_replace(text, '\s+', ' ', 'g'), 30)"
+_HEAD_SQL = r"regexp_replace(text, '\s+', ' ', 'g')"
+#: What is left of a text that went through markup: no blanks at line ends, no runs of blank lines, none about it.
+_CLEAN_SQL = r"nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '')"
 _AT = "strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S')"
 _DAY = "strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d 00:00:00')"
 _MODE3 = "CASE doc_id % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' ELSE 'onsite' END"
@@ -23,33 +26,43 @@ class _Parts:
     def __init__(self):
         self.i = F.col("doc_id")
         self.id = self.i.cast("string")
-        self.head = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30)
+        self.head, self.text = F.regexp_replace("text", r"\s+", " "), F.col("text")
+        self.markup = self._escaped(self.text)
+        self.twice = self._escaped(self.markup)
         self.ms = F.lit(1_700_000_000_000) + self.i * 1000
         self.iso = F.concat(F.date_format(F.timestamp_millis(self.ms), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
         self.even, self.third = self.i % 2 == 0, self.i % 3 == 0
         self.url = F.concat(F.lit("https://x.example/p/"), self.id)
 
+    @staticmethod
+    def _escaped(text):
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return text
+
     def three(self, a, b, c):
         return F.when(self.third, a).when(self.i % 3 == 1, b).otherwise(c)
 
 
 #: For each provider: the record as a struct of columns, then title, place, places, mode, time and filter in SQL.
 _MADE = {
-    "greenhouse": (lambda c: [c.i.alias("id"), c.head.alias("title"), c.url.alias("absolute_url"), F.struct(F.col("lang").alias("name")).alias("location"), F.lit("&lt;p&gt;Hi&lt;/p&gt;").alias("content"), c.iso.alias("first_published")], "lang", "lang", "NULL", _AT, "true"),
-    "lever": (lambda c: [c.id.alias("id"), c.head.alias("text"), c.url.alias("hostedUrl"), c.ms.alias("createdAt"), c.three("remote", "hybrid", "on-site").alias("workplaceType"), F.struct(F.col("lang").alias("location"), F.array("lang", "source").alias("allLocations")).alias("categories"), F.lit("Hi").alias("descriptionPlain")], "lang", "lang || ';' || source", _MODE3, _AT, "true"),
-    "ashby": (lambda c: [c.id.alias("id"), c.head.alias("title"), F.col("lang").alias("location"), F.array(F.struct(F.col("source").alias("location"))).alias("secondaryLocations"), c.three("Remote", "HYBRID", "OnSite").alias("workplaceType"), F.when(c.i % 5 == 0, c.i % 2 == 0).alias("isListed"), F.lit("Hi").alias("descriptionPlain"), c.url.alias("jobUrl"), c.iso.alias("publishedAt")], "lang", "lang || ';' || source", _MODE3, _AT, "NOT (doc_id % 5 = 0 AND doc_id % 2 = 1)"),
-    "workable": (lambda c: [c.id.alias("shortcode"), c.head.alias("title"), c.even.alias("telecommuting"), F.col("source").alias("city"), F.lit("").alias("state"), F.col("lang").alias("country"), c.url.alias("shortlink"), F.date_format(F.timestamp_millis(c.ms), "yyyy-MM-dd").alias("published_on"), F.lit("<p>Hi</p>").alias("description")], "source || ', ' || lang", "source || ', ' || lang", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _DAY, "true"),
-    "smartrecruiters": (lambda c: [c.id.alias("id"), c.head.alias("name"), F.struct(F.col("source").alias("city"), F.col("lang").alias("country"), c.third.alias("remote"), (c.i % 3 == 1).alias("hybrid")).alias("location"), c.iso.alias("releasedDate"), c.url.alias("postingUrl")], "source || ', ' || lang", "source || ', ' || lang", _MODE3, _AT, "true"),
-    "recruitee": (lambda c: [c.i.alias("id"), c.head.alias("title"), c.even.alias("remote"), (c.i % 7 == 0).alias("hybrid"), c.third.alias("on_site"), F.array(F.struct(F.lit("").alias("name"), F.col("lang").alias("city"))).alias("locations"), F.lit("<p>Hi</p>").alias("description"), c.url.alias("careers_url"), c.iso.alias("published_at")], "lang", "lang", "CASE WHEN doc_id % 7 = 0 OR (doc_id % 2 = 0 AND doc_id % 3 = 0) THEN 'hybrid' WHEN doc_id % 2 = 0 THEN 'remote' WHEN doc_id % 3 = 0 THEN 'onsite' END", _AT, "true"),
-    "remotive": (lambda c: [c.i.alias("id"), c.head.alias("title"), F.concat(F.lit(" "), "source").alias("company_name"), F.col("lang").alias("candidate_required_location"), c.iso.alias("publication_date"), c.url.alias("url"), F.lit("<b>Hi</b>").alias("description")], "lang", "lang", "'remote'", _AT, "true"),
-    "remoteok": (lambda c: [F.when(c.i % 10 != 0, c.id).alias("id"), c.head.alias("position"), F.col("source").alias("company"), F.concat(F.lit(", "), "lang", F.lit(",")).alias("location"), c.iso.alias("date"), c.url.alias("url")], "lang", "lang", "'remote'", _AT, "doc_id % 10 <> 0"),
-    "himalayas": (lambda c: [c.id.alias("guid"), c.head.alias("title"), F.when(c.even, "name").otherwise(F.col("source")).alias("companyName"), F.col("source").alias("companySlug"), F.array("lang", F.lit("")).alias("locationRestrictions"), (c.ms / 1000).cast("bigint").alias("pubDate"), F.lit("Hi").alias("excerpt")], "lang", "lang", "'remote'", _AT, "true"),
-    "arbeitnow": (lambda c: [c.id.alias("slug"), c.head.alias("title"), F.col("source").alias("company_name"), c.even.alias("remote"), F.lit("").alias("location"), (c.ms / 1000).cast("bigint").alias("created_at"), c.url.alias("url")], "NULL", "''", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _AT, "true"),
-    "jobicy": (lambda c: [c.i.alias("id"), c.head.alias("jobTitle"), F.col("source").alias("companyName"), F.col("lang").alias("jobGeo"), F.translate(c.iso, "TZ", " ").alias("pubDate"), c.url.alias("url"), F.lit("Hi").alias("jobExcerpt")], "lang", "lang", "'remote'", _AT, "true"),
-    "workingnomads": (lambda c: [F.concat(F.lit("https://X.example/p/"), c.id, F.lit("/?q=1")).alias("url"), c.head.alias("title"), F.col("source").alias("company_name"), F.col("lang").alias("location"), c.iso.alias("pub_date")], "lang", "lang", "'remote'", _AT, "true"),
-    "themuse": (lambda c: [c.i.alias("id"), c.head.alias("name"), F.struct(F.col("source").alias("name")).alias("company"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("locations"), F.struct(c.url.alias("landing_page")).alias("refs"), c.iso.alias("publication_date")], "lang", "lang || ';' || source", "NULL", _AT, "true"),
-    "aggregator": (lambda c: [F.when(c.even, c.id).alias("id"), F.lit("indeed").alias("site"), c.url.alias("job_url"), c.head.alias("title"), F.when(c.i % 10 != 0, F.col("source")).alias("company"), F.col("lang").alias("location"), c.even.alias("is_remote"), c.iso.alias("date_posted")], "lang", "lang", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _AT, "doc_id % 10 <> 0"),
+    "greenhouse": (lambda c: [c.i.alias("id"), c.head.alias("title"), c.url.alias("absolute_url"), F.struct(F.col("lang").alias("name")).alias("location"), c.twice.alias("content"), c.iso.alias("first_published")], "lang", "lang", "NULL", _AT, "true"),
+    "lever": (lambda c: [c.id.alias("id"), c.head.alias("text"), c.url.alias("hostedUrl"), c.ms.alias("createdAt"), c.three("remote", "hybrid", "on-site").alias("workplaceType"), F.struct(F.col("lang").alias("location"), F.array("lang", "source").alias("allLocations")).alias("categories"), c.markup.alias("descriptionPlain")], "lang", "lang || ';' || source", _MODE3, _AT, "true"),
+    "ashby": (lambda c: [c.id.alias("id"), c.head.alias("title"), F.col("lang").alias("location"), F.array(F.struct(F.col("source").alias("location"))).alias("secondaryLocations"), c.three("Remote", "HYBRID", "OnSite").alias("workplaceType"), F.when(c.i % 5 == 0, c.i % 2 == 0).alias("isListed"), c.text.alias("descriptionPlain"), c.url.alias("jobUrl"), c.iso.alias("publishedAt")], "lang", "lang || ';' || source", _MODE3, _AT, "NOT (doc_id % 5 = 0 AND doc_id % 2 = 1)"),
+    "workable": (lambda c: [c.id.alias("shortcode"), c.head.alias("title"), c.even.alias("telecommuting"), F.col("source").alias("city"), F.lit("").alias("state"), F.col("lang").alias("country"), c.url.alias("shortlink"), F.date_format(F.timestamp_millis(c.ms), "yyyy-MM-dd").alias("published_on"), c.markup.alias("description")], "source || ', ' || lang", "source || ', ' || lang", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _DAY, "true"),
+    "smartrecruiters": (lambda c: [c.id.alias("id"), c.head.alias("name"), F.struct(F.col("source").alias("city"), F.col("lang").alias("country"), c.third.alias("remote"), (c.i % 3 == 1).alias("hybrid")).alias("location"), c.iso.alias("releasedDate"), c.url.alias("postingUrl"), F.struct(F.struct(F.struct(c.markup.alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd")], "source || ', ' || lang", "source || ', ' || lang", _MODE3, _AT, "true"),
+    "recruitee": (lambda c: [c.i.alias("id"), c.head.alias("title"), c.even.alias("remote"), (c.i % 7 == 0).alias("hybrid"), c.third.alias("on_site"), F.array(F.struct(F.lit("").alias("name"), F.col("lang").alias("city"))).alias("locations"), c.markup.alias("description"), c.url.alias("careers_url"), c.iso.alias("published_at")], "lang", "lang", "CASE WHEN doc_id % 7 = 0 OR (doc_id % 2 = 0 AND doc_id % 3 = 0) THEN 'hybrid' WHEN doc_id % 2 = 0 THEN 'remote' WHEN doc_id % 3 = 0 THEN 'onsite' END", _AT, "true"),
+    "remotive": (lambda c: [c.i.alias("id"), c.head.alias("title"), F.concat(F.lit(" "), "source").alias("company_name"), F.col("lang").alias("candidate_required_location"), c.iso.alias("publication_date"), c.url.alias("url"), F.concat(F.lit("<b>"), c.markup, F.lit("</b>")).alias("description")], "lang", "lang", "'remote'", _AT, "true"),
+    "remoteok": (lambda c: [F.when(c.i % 10 != 0, c.id).alias("id"), c.head.alias("position"), F.col("source").alias("company"), F.concat(F.lit(", "), "lang", F.lit(",")).alias("location"), c.iso.alias("date"), c.url.alias("url"), c.markup.alias("description")], "lang", "lang", "'remote'", _AT, "doc_id % 10 <> 0"),
+    "himalayas": (lambda c: [c.id.alias("guid"), c.head.alias("title"), F.when(c.even, "name").otherwise(F.col("source")).alias("companyName"), F.col("source").alias("companySlug"), F.array("lang", F.lit("")).alias("locationRestrictions"), (c.ms / 1000).cast("bigint").alias("pubDate"), c.markup.alias("excerpt"), c.url.alias("applicationLink")], "lang", "lang", "'remote'", _AT, "true"),
+    "arbeitnow": (lambda c: [c.id.alias("slug"), c.head.alias("title"), F.col("source").alias("company_name"), c.even.alias("remote"), F.lit("").alias("location"), (c.ms / 1000).cast("bigint").alias("created_at"), c.url.alias("url"), c.markup.alias("description")], "NULL", "''", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _AT, "true"),
+    "jobicy": (lambda c: [c.i.alias("id"), c.head.alias("jobTitle"), F.col("source").alias("companyName"), F.col("lang").alias("jobGeo"), F.translate(c.iso, "TZ", " ").alias("pubDate"), c.url.alias("url"), c.markup.alias("jobExcerpt")], "lang", "lang", "'remote'", _AT, "true"),
+    "workingnomads": (lambda c: [F.concat(F.lit("https://X.example/p/"), c.id, F.lit("/?q=1")).alias("url"), c.head.alias("title"), F.col("source").alias("company_name"), F.col("lang").alias("location"), c.iso.alias("pub_date"), c.markup.alias("description")], "lang", "lang", "'remote'", _AT, "true"),
+    "themuse": (lambda c: [c.i.alias("id"), c.head.alias("name"), F.struct(F.col("source").alias("name")).alias("company"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("locations"), F.struct(c.url.alias("landing_page")).alias("refs"), c.iso.alias("publication_date"), c.markup.alias("contents")], "lang", "lang || ';' || source", "NULL", _AT, "true"),
+    "aggregator": (lambda c: [F.when(c.even, c.id).alias("id"), F.lit("indeed").alias("site"), c.url.alias("job_url"), c.head.alias("title"), F.when(c.i % 10 != 0, F.col("source")).alias("company"), F.col("lang").alias("location"), c.even.alias("is_remote"), c.iso.alias("date_posted"), c.text.alias("description")], "lang", "lang", "CASE WHEN doc_id % 2 = 0 THEN 'remote' END", _AT, "doc_id % 10 <> 0"),
 }
+#: Providers whose descriptions are taken as they are.
+_AS_IT_IS = {"ashby", "aggregator"}
 _NATIVE = {"workingnomads": "'x.example/p/' || doc_id", "aggregator": "CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE left(sha256('https://x.example/p/' || doc_id), 16) END"}
 
 
@@ -58,13 +71,16 @@ def _register(name: str) -> None:
     provider = PROVIDERS[name]
     prefix = "source" if provider.board else "'jobspy:indeed'" if name == "aggregator" else f"'{name}'"
     company = "CASE WHEN doc_id % 2 = 0 THEN upper(left(source, 1)) || substr(source, 2) ELSE source END" if name == "himalayas" else "source"
-    sql = f"SELECT {prefix} || ':' || {_NATIVE.get(name, 'doc_id')} AS external_id, {_HEAD_SQL} AS title, {company} AS company, {place} AS location, {places} AS locations, {mode} AS remote_mode, {at} AS posted_at FROM documents WHERE {keep}"
+    described = "text" if name in _AS_IT_IS else _CLEAN_SQL
+    address = "'https://X.example/p/' || doc_id || '/?q=1'" if name == "workingnomads" else "'https://x.example/p/' || doc_id"
+    sql = f"""SELECT {"'jobspy:indeed'" if name == "aggregator" else f"'{name}'"} AS source, {prefix} || ':' || {_NATIVE.get(name, 'doc_id')} AS external_id, {_HEAD_SQL} AS title, {company} AS company, {place} AS location, {places} AS locations, {mode} AS remote_mode, {at} AS posted_at,
+{f"'{name}'" if provider.board else 'NULL'} AS ats_type, {address} AS url, sha256({described}) AS description FROM documents WHERE {keep}"""
 
     def run(spark, d):
-        element = F.array(F.struct(*record(_Parts())))
-        payload = F.to_json(element if provider.envelope is None else F.struct(element.alias(provider.envelope)))
-        rows = table(spark, d, "documents").select(payload.alias("payload"), F.col("source").alias("company"), F.col("source").alias("slug"))
-        return normalize(rows, name).select("external_id", "title", "company", "location", F.array_join("locations", ";").alias("locations"), "remote_mode", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
+        grouped = table(spark, d, "documents").groupBy("source", F.floor(F.col("doc_id") / 4)).agg(F.collect_list(F.struct(*record(_Parts()))).alias("records"))
+        payload = F.to_json(F.col("records") if provider.envelope is None else F.struct(F.col("records").alias(provider.envelope)))
+        rows = grouped.select(payload.alias("payload"), F.col("source").alias("company"), F.col("source").alias("slug"))
+        return normalize(rows, name).select("source", "external_id", "title", "company", "location", F.array_join("locations", ";").alias("locations"), "remote_mode", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "ats_type", "url", F.sha2(F.col("description").cast("binary"), 256).alias("description"))
 
     run.__name__ = f"source_{name}"
     run.__doc__ = f"SRC: {name} payloads to postings."
@@ -93,24 +109,27 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.sha2(t.cast("binary"), 256).alias("digest"))
 
 
-_BOARDS = ["see https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/api and https://jobs.lever.co/zeta", "https://boards.greenhouse.io/embed/job_board?for=widgets", "no board", "https://acme.recruitee.com/o/x https://jobs.ashbyhq.com/Acme.Co/1"]
+_BOARDS = ["see https://boards.greenhouse.io/acme{}/jobs/1", "https://jobs.lever.co/api and https://jobs.lever.co/zeta{}", "https://boards.greenhouse.io/embed/job_board?for=widgets{}", "no board {}", "https://acme.recruitee.com/o/x https://jobs.ashbyhq.com/Acme.Co{}/1"]
+_BOARD_SQL = "['greenhouse:acme', 'lever:zeta', 'greenhouse:widgets', NULL, 'ashby:Acme.Co'][1 + page_id % 5] || page_id"
 
 
-@query("SELECT page_id, ['greenhouse:acme', 'lever:zeta', 'greenhouse:widgets', NULL, 'ashby:Acme.Co'][1 + page_id % 5] AS board, ['greenhouse:acme', 'lever:zeta', 'greenhouse:widgets', CASE WHEN page_id % 2 = 0 THEN 'lever:probed' END, 'ashby:Acme.Co'][1 + page_id % 5] AS resolved FROM pages")
+@query(f"SELECT page_id, {_BOARD_SQL} AS board, coalesce({_BOARD_SQL}, CASE WHEN page_id % 2 = 0 THEN 'lever:probed' || page_id END) AS resolved FROM pages")
 def detect_board_url(spark, d):
-    """STR-08, SRC-24, JSN-05: the first pattern in order with a real slug; then the page, then a probe unless it was a URL."""
-    text = F.element_at(F.array(*(F.lit(b) for b in _BOARDS)), (F.col("page_id") % 5 + 1).cast("int"))
+    """STR-08, SRC-24, JSN-05: whole pages with an address after them; the first pattern in order with a real slug; then the page, then a probe unless it was a URL."""
+    k = F.col("page_id").cast("string")
+    said = F.element_at(F.array(*(F.replace(F.lit(b), F.lit("{}"), k) for b in _BOARDS)), (F.col("page_id") % 5 + 1).cast("int"))
+    text = F.concat_ws("\n", "html", said)
     where = F.when(F.col("page_id") % 2 == 0, "Acme").otherwise(F.col("url"))
     name = lambda b: F.when(b.isNotNull(), F.concat_ws(":", b["ats"], b["slug"]))
-    probed = F.struct(F.lit("lever").alias("ats"), F.lit("probed").alias("slug"))
+    probed = F.struct(F.lit("lever").alias("ats"), F.concat(F.lit("probed"), k).alias("slug"))
     return table(spark, d, "pages").select("page_id", name(detect_board(text)).alias("board"), name(resolve(where, text, probed)).alias("resolved"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS trusted FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE event_type = 'purchase' END AS trusted FROM events")
 def payload_sanity(spark, d):
     """FLT-17: a list whose first element has a title."""
     k = F.col("event_id") % 3
-    payload = F.when(k == 0, F.concat(F.lit('[{"title": "x", "props": '), "props", F.lit("}]"))).when(k == 1, "[]").otherwise(F.concat(F.lit('[{"other": '), "props", F.lit("}]")))
+    payload = F.when(k == 0, F.concat(F.lit('[{"title": "x", "props": '), "props", F.lit("}]"))).when(k == 1, "[]").otherwise(F.concat(F.lit('[{"'), F.when(F.col("event_type") == "purchase", "text").otherwise(F.col("event_type")), F.lit('": '), "props", F.lit("}]")))
     return table(spark, d, "events").select("event_id", looks_like_postings(payload).alias("trusted"))
 
 
@@ -130,3 +149,21 @@ def epoch_units(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format(s, "yyyy-MM-dd HH:mm:ss").alias("seconds"), F.date_format(D.rfc2822(mail), "yyyy-MM-dd HH:mm:ss").alias("mail"))
 
 
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT doc_id // 40) AS pages FROM documents JOIN (SELECT source AS src, coalesce(min(page) FILTER (WHERE kept = 0), 1000000000) AS stop FROM (SELECT source, doc_id // 40 AS page, count(*) FILTER (WHERE (doc_id // 40) % 7 <> 5) AS kept FROM documents GROUP BY 1, 2) GROUP BY 1) ON src = source WHERE doc_id // 40 < stop GROUP BY source")
+def paged_fetch(spark, d):
+    """SRC-16: numbered pages up to the first empty one; what comes after it is not read."""
+    page = F.floor(F.col("doc_id") / 40)
+    kept = F.collect_list(F.when(page % 7 != 5, F.struct("doc_id")))
+    payloads = table(spark, d, "documents").groupBy("source", page.alias("page")).agg(F.to_json(F.struct(kept.alias("data"))).alias("payload"))
+    read = pages(payloads, "data", "source", "page").select("source", "page", F.explode(elements(F.col("payload"), "data")).alias("raw"))
+    return read.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+def frozen_worksheet(spark, d):
+    """SNK-04: a worksheet that is written once and read back; a second write of it is refused."""
+    path = shared_path(spark, "worksheet")
+    write_frozen(table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("source string, lang string, n bigint").json(path)
