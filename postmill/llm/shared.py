@@ -17,12 +17,14 @@ TEXT_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; on one machine, as in tests, a temporary
+    folder is made and set where that is unset. On a cluster that is an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="postmill-shared-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -45,7 +47,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bound the rows of Arrow batches; a smaller bound of the session stays."""
+    """Bound the rows of Arrow batches; a smaller bound of the session stays.
+
+    It is the session's setting, as batches are cut when a result is asked for, and it stays lowered."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
