@@ -5,6 +5,8 @@ import io
 import math
 import random
 import re
+import textwrap
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -14,6 +16,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
+
 from postmill.llm import chosen_path, decontaminate, fingerprint, langid, licences, pii, secret_scan, soft_mixing, suffix_tree, tokens, zip_warc
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +88,69 @@ def test_host_and_markup_decide_where_text_cannot(spark):
     assert got[90] == "fr" and got[91] == "en" and len(got) == 44
 
 
+def _brute_languages(rows, labelled):
+    """Everything again row by row: trigram counts, tempered likelihoods, sums of others' posteriors, smoothed priors."""
+    def grams(text):
+        codes = [b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 + b - 128 if b >= 128 else 0 for b in (text or "").encode()]
+        out = []
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if (a > 0) + (b > 0) + (c > 0) >= 2:
+                h = ((a * 0x9E3779B1 + b) * 0x85EBCA6B + c) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                out.append(h >> 17)
+        return out
+
+    names = [*sorted({lang for _, lang in labelled}), "und"]
+    counts = {n: Counter(g for t, lang in labelled if lang == n for g in grams(t)) for n in names[:-1]}
+    weight = {n: (lambda g, c=c, t=sum(c.values()): math.log((c[g] + 0.5) / (t + 0.5 * langid.BUCKETS))) for n, c in counts.items()} | {"und": lambda g: -math.log(langid.BUCKETS)}
+    prior = {n: 0.98 / (len(names) - 1) for n in names[:-1]} | {"und": 0.02}
+    shares, logs, sizes = [], [], []
+    for r in rows:
+        g = grams(r["text"])
+        log = {n: langid.TEMPER * min(len(g), langid.MOST_GRAMS) / max(1, len(g)) * sum(weight[n](x) for x in g) for n in names}
+        top = max(log.values())
+        e = {n: prior[n] * math.exp(log[n] - top) for n in names}
+        shares.append({n: math.floor(x / sum(e.values()) * langid.UNIT + 0.5) for n, x in e.items()})
+        logs.append({n: x - top for n, x in log.items()})
+        sizes.append(len(g))
+    overall = {n: sum(s[n] for s in shares) for n in names}
+    whole, out = sum(overall.values()), []
+    for k, r in enumerate(rows):
+        own = shares[k] if sizes[k] else dict.fromkeys(names, 0)
+        left = lambda key: {n: (sum(shares[j][n] for j, q in enumerate(rows) if sizes[j] and r[key] is not None and q[key] == r[key]) - (own[n] if r[key] is not None else 0)) / langid.UNIT for n in names}  # noqa: B023, E731
+        p = {n: (overall[n] + langid.UNIT) / (whole + len(names) * langid.UNIT) for n in names}
+        for key, w in (("domain", langid.DOMAIN_WEIGHT), ("host", langid.HOST_WEIGHT)):
+            got = left(key)
+            p = {n: (got[n] + w * p[n]) / (sum(got.values()) + w) for n in names}
+        total = {n: logs[k][n] + math.log(p[n]) for n in names}
+        for key in ("declared", "suffix"):
+            got = left(key)
+            part = (sum(got.values()) + langid.TOKEN_WEIGHT) / (whole / langid.UNIT + langid.TOKEN_WEIGHT)
+            if r[key] is not None and any(sizes[j] and q[key] == r[key] for j, q in enumerate(rows)):
+                for n in names:
+                    total[n] += math.log((got[n] + langid.TOKEN_WEIGHT * part) / ((overall[n] - own[n]) / langid.UNIT + langid.TOKEN_WEIGHT) / part)
+        best = max(names, key=lambda n: total[n])
+        out.append((best, 1 / sum(math.exp(x - total[best]) for x in total.values()), best == "und" or not sizes[k]))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    r, texts = random.Random(5), []
+    for k in range(60):
+        words = r.choice([FR, EN, ["zqxj", "vkwq", "123"]])
+        texts.append(" ".join(r.choices(words, k=r.choice([0, 1, 2, 5, 30]))) if k % 9 else None)
+    pick = lambda values: r.choice([None, *values])
+    rows = [{"id": k, "text": t, "declared": pick(["fr", "en", "xx"]), "suffix": pick([".fr", ".uk"]), "host": pick(["a.fr", "b.fr", "c.com"]), "domain": pick(["fr", "com"])} for k, t in enumerate(texts)]
+    labelled = [(" ".join(r.choices(FR if k % 2 else EN, k=25)), "fr" if k % 2 else "en") for k in range(20)]
+    model = langid.fit_text_model(spark.createDataFrame(labelled, "text string, lang string"))
+    frame = spark.createDataFrame([tuple(x.values()) for x in rows], "id bigint, text string, declared string, suffix string, host string, domain string")
+    got = langid.identify(frame, model, "id", "text", *(F.col(c) for c in ("declared", "suffix", "host", "domain"))).orderBy("id").collect()
+    want = _brute_languages(rows, labelled)
+    assert [(g["lang"], g["rejected"]) for g in got] == [(a, c) for a, _, c in want]
+    assert [g["posterior"] for g in got] == pytest.approx([b for _, b, _ in want], abs=2e-4)
+    assert {"en", "fr"} <= {g["lang"] for g in got} and any(g["rejected"] for g in got)
+
+
 def test_text_of_markup():
     assert langid.page_text("<p>a&amp;b<script>x < y</script>c<!-- <b>no</b> -->d<style>p{}</style>e").split() == ["a&b", "c", "d", "e"]
     assert langid.page_text("<" * 10_000).strip() == ""
@@ -106,6 +173,41 @@ def test_fingerprints_of_neighbours(spark):
     assert sum(out[k]["near_edited"] for k in range(40)) / 40 > 0.6 and max(out[k]["near_next"] for k in range(40)) < 0.3
 
 
+def _mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _brute_fingerprint(text):
+    """Byte by byte: a cut where the hash of the last seven bytes has its low bits set, a character for each piece."""
+    base, data = 0x9E3779B97F4A7C15, text.encode()
+    value = [_mix((k + 1) * base % 2**64) for k in range(256)]
+    poly = lambda piece: sum(value[c] * pow(base, j, 2**64) for j, c in enumerate(piece)) % 2**64
+    marks = [(poly(data[max(0, k - 6) : k + 1]) * 0xD6E8FEB86659FD93 % 2**64) >> 24 for k in range(len(data))]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(block, longest):
+        ends = [k + 1 for k, m in enumerate(marks) if m & (block - 1) == block - 1]
+        if not ends or ends[-1] != len(data):
+            ends.append(len(data))
+        if len(ends) > longest:
+            ends = [*ends[: longest - 1], len(data)]
+        return "".join(chars[_mix((poly(data[a:b]) + b - a) % 2**64) >> 58] for a, b in zip([0, *ends], ends) if b > a)
+
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    while block > 4 and sum(m & (block - 1) == block - 1 for m in marks) + 1 < 16:
+        block //= 2
+    return f"{block}:{signature(block, 128)}:{signature(2 * block, 64)}"
+
+
+@pytest.mark.parametrize("text", ["", "x", "the same " * 40, prose(1, 3), prose(2, 60), prose(3, 400), "é ü 漢字 " * 50, "a" * 3000, prose(4, 100) + "b" * 2000])
+def test_fingerprint_equals_brute_force(text):
+    assert fingerprint.fingerprint(text) == _brute_fingerprint(text)
+
+
 def test_fingerprint_does_not_depend_on_pieces(monkeypatch):
     t = prose(3, 5000)
     whole = fingerprint.fingerprint(t)
@@ -130,40 +232,84 @@ def test_likeness_is_the_weighted_edit_distance():
 # ---- 3: language model ----
 
 
-def test_suffix_tree_base_counts_and_normalisation(spark):
-    texts = [prose(k % 9, 60) + " the end of it" for k in range(80)] + ["a b", "", None]
+class BruteTree:
+    """The suffix tree over plain word tuples."""
+
+    def __init__(self, texts, depth, least_count=4, least_context=16, digits=1.0):
+        split = [self.words(t) for t in texts]
+        counts = [Counter(tuple(w[k : k + n]) for w in split for k in range(len(w) - n + 1)) for n in range(1, depth + 2)]
+        self.depth, self.counts, self.total = depth, counts[0], sum(counts[0].values())
+        self.scale = self.total + len(counts[0]) + 1
+        self.entries, self.left = {}, {}
+        for n in range(1, depth + 1):
+            contexts = {}
+            for run, c in counts[n].items():
+                if c >= least_count and counts[n - 1][run[:-1]] >= least_context:
+                    contexts.setdefault(run[:-1], {})[run[-1]] = c
+            for context, after in contexts.items():
+                whole = counts[n - 1][context]
+                unseen = whole - sum(after.values())
+                escape = (unseen + 0.75 * len(after)) / whole
+                below = {w: self.p(context[1:], w) for w in after}
+                p = {w: (c - 0.75) / whole + escape * below[w] for w, c in after.items()}
+                gain = sum(c * math.log10(p[w] / below[w]) for w, c in after.items()) + unseen * math.log10(escape)
+                if gain >= digits * len(after):
+                    self.left[context] = escape
+                    self.entries |= {(*context, w): x for w, x in p.items()}
+
+    @staticmethod
+    def words(text):
+        return BLANKS.findall((text or "").translate(FOLD)) + ["\0"]
+
+    def p(self, context, word):
+        if not context:
+            return (self.counts[(word,)] + 1) / self.scale
+        if context not in self.left:
+            return self.p(context[1:], word)
+        return self.entries.get((*context, word)) or self.left[context] * self.p(context[1:], word)
+
+    def score(self, text):
+        w = self.words(text)
+        return sum(math.log10(self.p(tuple(w[max(0, k - self.depth) : k]), w[k])) for k in range(len(w)))
+
+
+def _chatter(n):
+    """Texts with frequent words, pairs and triples, and some rare words."""
+    r = random.Random(4)
+    phrases = ["the end of it", "in the end", "out of the", "of it all the", "once more", "a b c", "x b d"]
+    return [" ".join(r.choice(phrases) if r.random() < 0.8 else f"rare{r.randrange(200)}" for _ in range(r.randrange(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("depth, words, nodes", [(1, 1 << 20, 1 << 20), (2, 10, 1 << 20), (3, 1 << 20, 1 << 20), (2, 0, 0), (3, 20, 40)])
+def test_suffix_tree_equals_brute_force(spark, depth, words, nodes):
+    texts = _chatter(300) + ["", None, "NEVER seen", "a b"]
     rows = docs(spark, texts)
     held = suffix_tree.held_out(F.col("doc_id"))
-    tree = suffix_tree.fit(rows.where(~held))
-    got = {r["doc_id"]: r for r in suffix_tree.score(rows, tree, held=held).collect()}
-    split = [BLANKS.findall((t or "").translate(FOLD)) + ["\0"] for t in texts]
     out = {k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 == 2}
-    c = Counter(w for k, t in enumerate(split) if k not in out for w in t)
-    n, v = sum(c.values()), len(c)
-    for k, t in enumerate(split):
-        r = got[k]
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs=1e-4)
-        assert (r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), k in out, n)
+    want = BruteTree([t for k, t in enumerate(texts) if k not in out], depth)
+    assert {len(c) for c in want.left} == set(range(1, depth + 1))
+    got = {r["doc_id"]: r for r in suffix_tree.score(rows, suffix_tree.fit(rows.where(~held), depth=depth, hot_words=words, hot_nodes=nodes), held=held).collect()}
+    for k, t in enumerate(texts):
+        w, r = want.words(t), got[k]
+        assert (r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"]) == (len(w), sum(want.counts[(x,)] > 0 for x in w), k in out, want.total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((want.counts[(x,)] + 1) / want.scale) for x in w), abs=1e-5)
+        assert r["score"] == pytest.approx(want.score(t), abs=1e-5)
     assert sum(got[k]["score"] - got[k]["base_score"] for k in out) > 0
-    # the next word's probabilities after a context sum to one
-    m = tree.model.value
-    ends = [w for w in c if w != "\0"]
-    hashes, _ = tokens.hash_words(pa.array([" ".join(["the", "end"])] + ends), tokens.BLANKS)
-    probe = docs(spark, [f"the end {w}" for w in ends] + ["the end"])
-    one = {r["doc_id"]: r for r in suffix_tree.score(probe, tree).collect()}
-    assert m["two"].get(hashes[:1])[1].dtype == bool and all(math.isfinite(r["score"]) for r in one.values())
-
-
-def test_suffix_tree_distribution_sums_to_one(spark):
-    texts = ["a b c"] * 30 + ["a b d"] * 20 + ["x b e"] * 25
-    tree = suffix_tree.fit(docs(spark, texts), digits=-100.0)
-    words = ["a", "b", "c", "d", "e", "x", "zzz"]
-    rows = docs(spark, ["a b"] + [f"a b {w}" for w in words] + [f"a b {w} q9" for w in words])
-    s = {r["doc_id"]: r["score"] for r in suffix_tree.score(rows, tree).collect()}
-    end = s[0]
-    # probability of "a b" and any end, over the probability of its prefix: P(end | a b) + sum of P(w | a b), unknown words share one count
-    base = 1 / (tree.total + tree.model.value["distinct"] + 1)
-    assert end < 0 and base < 1 and s[3] > s[5] > s[7]
+
+
+def test_suffix_tree_distributions_sum_to_one(spark):
+    texts = _chatter(300)
+    tree = suffix_tree.fit(docs(spark, texts), depth=2)
+    words = sorted({w for t in texts for w in t.split()} | {"unseen"})
+    want = BruteTree(texts, 2)
+    a, b = min(c for c in want.left if len(c) == 2)
+    # P(w | a, b) is what "a b w" adds to "a b", both without their ends
+    probes = [f"{a} {b} {w}" for w in words] + [f"{a} {b}"]
+    s = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs(spark, probes), tree).collect()}
+    end = lambda *context: math.log10(want.p(context, "\0"))
+    start = s[len(words)] - end(a, b)
+    p = [10 ** (s[k] - end(b, w) - start) for k, w in enumerate(words)] + [10 ** end(a, b)]
+    assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
 def test_suffix_tree_without_training_rows(spark):
@@ -172,22 +318,34 @@ def test_suffix_tree_without_training_rows(spark):
     assert (got["n_known"], got["train_tokens"], got["score"]) == (0, 0, 0)
 
 
-def test_cold_words_are_looked_up_exactly(spark):
-    rows = docs(spark, [prose(k, 50) for k in range(30)])
-    a = suffix_tree.score(rows, suffix_tree.fit(rows)).collect()
-    b = suffix_tree.score(rows, suffix_tree.fit(rows, hot_words=5)).collect()
-    assert {r["doc_id"]: (r["n_known"], round(r["score"], 4), round(r["base_score"], 4)) for r in a} == {r["doc_id"]: (r["n_known"], round(r["score"], 4), round(r["base_score"], 4)) for r in b}
+# ---- 4: licences ----
 
 
-# ---- 4: licences ----
+def test_whole_licences_match_and_near_ones_do_not(spark):
+    texts, want = [None, "", "...", "Copyright 2020", "Released under the MIT License."], [None] * 5
+    for name, text in licences.licence_texts():
+        british = text.replace("License", "LICENCE").replace("sublicense", "sub-licence")
+        if len(british.splitlines()) < 4:  # one long line: wrapped anew, so that lines begin anywhere
+            british = "\n".join(textwrap.fill(x, 30 + len(texts) % 50) for x in british.splitlines())
+        british = f"Copyright (c) 2020 Someone\nAll rights reserved.\n{british}\n(c) 2021 me"
+        words = text.split()
+        texts += [text, british, text.upper(), text + " more", " ".join(words[:-1]), " ".join([*words[: len(words) // 2], "not", *words[len(words) // 2 :]])]
+        want += [name] * 3 + [None] * 3
+    rows = docs(spark, texts)
+    found = licences.scan_licences(rows, licences.known_licences(spark)).collect()
+    got = {r["doc_id"]: r["licence"] for r in found}
+    assert [got[k] for k in range(len(texts))] == want
+    con = pytest.importorskip("duckdb").connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    assert sorted(map(tuple, found)) == sorted(con.sql(f"SELECT doc_id, canonical_chars, canonical_sha256, licence FROM ({licences.OP4_SQL})").fetchall())
 
 
-def test_licences_match_through_spelling_and_copyright_lines(spark):
-    mit = licences.LICENCES["MIT"]
-    spelt = "Copyright (c) 2020 Someone\n" + mit.replace("License", "LICENCE").replace("sublicense", "sub-licence") + "\n(c) 2021 me"
-    rows = docs(spark, [mit, spelt, mit + " more", None, "", "...", "Copyright 2020"])
-    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(rows, licences.known_licences(spark)).collect()}
-    assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: None, 6: None}
+def test_licences_of_a_table_and_a_folder(spark, tmp_path):
+    (tmp_path / "GPL-2").write_text("Some long text,\nof a licence.")
+    assert ("GPL-2.0", "Some long text,\nof a licence.") in licences.licence_texts(str(tmp_path)) and "read_text" in licences.licence_sql(str(tmp_path))
+    rows = docs(spark, ["the own licence", "The OWN license!", "another"])
+    own = licences.known_licences(spark, [("B", "The own licence."), ("A", "the own license"), ("C", "the other one")])
+    assert [r["licence"] for r in licences.scan_licences(rows, own).orderBy("doc_id").collect()] == ["A", "A", None]
 
 
 # ---- 5: decontamination ----
@@ -227,12 +385,29 @@ def test_contamination_is_exact(spark):
 
 
 def test_proximity_matches_survive_insertions(spark):
-    item = prose(200, 30).split()
-    changed = item[:5] + ["zz"] + item[5:12] + ["yy"] + item[12:]
-    items = decontaminate.item_words(spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
-    index = decontaminate.build_index(docs(spark, [" ".join(changed), prose(1, 30) + " none"]), items, proximity=True)
-    near = decontaminate.proximity_matches(index, items, terms=8).join(index, "doc").select("id").collect()
-    assert [r["id"] for r in near] == [0]
+    # changed or inserted words at every eighth place: no window of ten is left
+    items = [(k, prose(300 + k, 40)) for k in range(6)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for at in range(len(w) - 1, 0, -8):
+            w.insert(at, "inserted")
+        texts.append(prose(7, 60) + " " + " ".join(w) + " " + prose(8, 60))
+    texts += [prose(k, 200) for k in range(20)] + [None, ""]
+    found = decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), near=True).collect()
+    got = {r["doc_id"]: (r["contaminated"], r["n_near"]) for r in found}
+    assert all(not c for c, _ in got.values()) and all(got[k][1] >= 1 for k in range(6))
+    assert sum(got[k][1] > 0 for k in range(6, 28)) <= 3  # by chance, of 300 words
+
+
+def test_proximity_equals_sql(spark):
+    con = pytest.importorskip("duckdb").connect()
+    items = [(k, prose(300 + k % 5, 30) + " w1" * (k % 3)) for k in range(8)] + [(None, "w1 w2"), (9, None), (10, "w5"), (3, prose(303, 30))]
+    texts = [prose(k, 90) + " " + " ".join(items[k % 8][1].split()[: 6 + k]) for k in range(40)] + [None, "w5", "!!"]
+    for name, key, rows in (("documents", "doc_id", list(enumerate(texts))), ("benchmark", "item_id", items)):
+        con.register(name, pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    got = decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), near=True)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({decontaminate.OP5_SQL})").fetchall())
 
 
 # ---- 6: Jaccard join ----
@@ -284,8 +459,58 @@ def test_jaccard_classes_are_exact(spark, bucket, block):
     assert [(r["class_id"], r["n_links"]) for r in got] == _brute_classes(texts)
 
 
-def test_runs_reach_the_recall():
-    assert chosen_path.runs_needed(0.99, 3) >= 8 and chosen_path.runs_needed(0.5, 3) < chosen_path.runs_needed(0.99, 3)
+@pytest.mark.parametrize("depth", [chosen_path.DEPTH, chosen_path.DEEPEST])
+@pytest.mark.parametrize("share", [0.80, 0.85])
+def test_pairs_meet_at_every_depth(depth, share):
+    """3,000 pairs of sets at a similarity, walked to a depth as the join walks them."""
+    r, pairs, size = np.random.default_rng(7), 3000, 90
+    common = round(2 * size * share / (1 + share))
+    with np.errstate(over="ignore"):
+        marks = []
+        for _ in range(pairs):
+            both = r.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+            marks += [chosen_path.minhash(both[:size]), chosen_path.minhash(both[size - common :])]
+    flat = np.concatenate(marks).view(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), pa.array(np.full(2 * pairs, size), pa.int32()),
+                                        pa.ListArray.from_arrays(pa.array(np.arange(2 * pairs + 1) * chosen_path.COORDINATES, pa.int32()), pa.array(flat))], names=["text_id", "n", "mark"])
+    (out,) = chosen_path._walk(0, chosen_path.runs_needed(0.99, depth), depth, 0.8)([batch])
+    seen = set(zip(out.column("bucket").to_pylist(), out.column("text_id").to_pylist()))
+    met = {t // 2 for b, t in seen if t % 2 == 0 and (b, t + 1) in seen}
+    assert len(met) / pairs >= 0.985, len(met) / pairs
+
+
+def test_classes_of_a_given_table_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    ids = sorted(texts)
+    want = {ids[k]: (ids[c], n) for k, (c, n) in enumerate(_brute_classes([texts[k] for k in ids]))}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.jaccard_classes(rows).collect()} == want
+
+
+def test_large_mixed_buckets_lose_no_link(spark):
+    """A hot group of near copies, texts that share half with it, some of them linked among themselves, and few to a bucket."""
+    r, base = random.Random(21), prose(400, 150).split()
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = f"e{k}"
+        texts.append(" ".join(w))
+    for k in range(40):
+        own = [*base[:75], *prose(500 + k // 2, 75).split()]
+        texts.append(" ".join(own if k % 2 else [*own, "one", "more"]))
+    r.shuffle(texts)
+    got = sorted(chosen_path.jaccard_classes(docs(spark, texts), bucket=16, block=32).collect())
+    assert [(x["class_id"], x["n_links"]) for x in got] == _brute_classes(texts)
+
+
+def test_ids_of_other_types_are_refused_and_null_ids_kept(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (None, "a b c"), (None, None)], "doc_id int, text string")
+    with pytest.raises(TypeError):
+        chosen_path.jaccard_classes(rows.withColumn("doc_id", F.lit("x")))
+    got = chosen_path.jaccard_classes(rows)
+    assert got.schema["doc_id"].dataType == rows.schema["doc_id"].dataType
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 1, 0, 0, 1)", "(None, None, 0, 0, 1)", "(None, None, 0, 0, 1)"]
 
 
 def test_split_buckets_reach_the_recall(spark):
@@ -349,6 +574,47 @@ def test_prose_is_no_disguise():
         assert pii.disguised(t, pii.plain(t)) == []
 
 
+def _disguise(r):
+    """A disguised identifier and its kind."""
+    label = lambda: "".join(r.choices("bcdfgklmnprst", k=r.randrange(4, 9)))
+    kind = r.choice(["email", "lookalike", "ip", "card", "phone"])
+    if kind == "email":
+        at, dot = r.choice([(" at ", " dot "), (" [at] ", "[dot]"), ("(AT)", " (dot) "), ("@", " DOT "), (" {at} ", ".")])
+        return "email", label() + r.choice(["", ".x", "_y"]) + at + label() + dot + r.choice(["com", "xyz", "museum"])
+    if kind == "lookalike":
+        return "email", f"{label()}а@{label()}е.{label()}"
+    if kind == "ip":
+        words = list(pii._DIGIT_WORDS)
+        return "ip", " dot ".join(r.choice([str(r.randrange(256)), r.choice(words[2:])]) for _ in range(4))
+    if kind == "card":
+        return "card", "".join(chr(0xFF10 + int(c)) for c in r.choice(["4111111111111111", "5105105105105100"]))
+    return "phone", "plus " + " ".join(r.choice(list(pii._DIGIT_WORDS)) for _ in range(r.randrange(9, 13)))
+
+
+def test_generated_disguises_are_found_whole_and_alone():
+    r = random.Random(12)
+    for _ in range(400):
+        text, want = prose(r.random(), 5), []
+        for _ in range(r.randrange(0, 4)):
+            kind, d = _disguise(r)
+            want.append((kind, len(text) + 2, len(text) + 2 + len(d)))
+            text += f": {d}; {prose(r.random(), r.randrange(1, 20))}"
+        assert sorted(pii.disguised(text, pii.plain(text))) == sorted(want), text
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 1_000_000 + " [at] ", "a." * 500_000 + " [at] b", "1" * 1_000_000 + " one", " " * 1_000_000 + "[at] one dot ", "a[at]" * 200_000, "a at b dot " * 90_000, "one " * 250_000, "one-" * 250_000 + "onex", "[ " * 500_000 + "[at]",
+    "a [at] b.com " * 70_000, "x @ " * 250_000, "1 dot " * 160_000, "+1 " * 300_000 + "one", "а" * 1_000_000, "1" + "," * 999_999 + "one", "one,," * 200_000], ids=lambda t: t[:6])
+def test_long_runs_take_linear_time(text):
+    def took(t):
+        began = time.process_time()
+        pii.disguised(t, pii.plain(t))
+        return time.process_time() - began
+
+    # a megabyte, against what a sixteenth of it takes; a quadratic scan takes 256 times as long
+    assert took(text) < 64 * max(took(text[: len(text) // 32] + text[-len(text) // 32 :]), 0.05)
+
+
 def test_pii_query_columns(spark):
     rows = docs(spark, ["a@b.co and c@d.ee", None, "x at y dot com"])
     got = {r["doc_id"]: r for r in pii.find_personal_data(rows).collect()}
@@ -378,6 +644,32 @@ def test_random_strings_without_digits_and_short_ones(spark):
     assert got == {0: "random:4:24", 1: "random:4:20", 2: "random:4:24", 3: ""}
 
 
+def test_random_strings_equal_brute_force():
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encode = secret_scan._encoder(f.read())
+    r, chars = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    names = ["getDocumentByIdentifier", "src/main/resources/config", "internationalization", "550e8400-e29b-41d4-a716-446655440000", "0123456789abcdef" * 2, "2024-01-01", "q3Xv9", "----------------"]
+    found = 0
+    for _ in range(300):
+        parts = [r.choice([r.choice(names), "".join(r.choices(chars, k=r.randrange(8, 40))), prose(r.random(), 3)]) for _ in range(r.randrange(1, 6))]
+        text = r.choice([" ", ", ", "\n"]).join(parts)
+        base, want, k = secret_scan.plain(text), [], 0
+        while k < len(text):
+            end = k
+            while end < len(text) and text[end] in chars:
+                end += 1
+            word = text[k:end]
+            hexa = all(c in "0123456789abcdefABCDEF" for c in word)
+            known = hexa and len(word) in (32, 40, 56, 64, 96, 128) or [len(x) for x in word.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF-" for c in word)
+            taken = any(set(range(a, b)) & set(range(k, end)) for _, a, b in base)
+            if len(word) >= 16 and len(word) / len(encode(word)) < 2.0 and not known and not taken and not secret_scan.is_identifier(word, encode):
+                want.append(("random", k, end))
+            k = max(end, k + 1)
+        assert secret_scan.random_strings(text, encode, base) == want, text
+        found += len(want)
+    assert found > 100 and not any(secret_scan.random_strings(n, encode, []) for n in names)
+
+
 # ---- 9: WARC in ZIP ----
 
 
@@ -399,6 +691,31 @@ def test_packages_round_trip(spark, tmp_path):
             assert z.testzip() is None and z.namelist() == [zip_warc.ARCHIVE, zip_warc.INDEX]
 
 
+def test_records_have_standard_heads():
+    digest = hashlib.sha256(b"<p>x").hexdigest()
+    head, http, body = zip_warc.parse_warc(zip_warc.warc_record("response", "7/a", "http://h/ b", b"<p>x", digest, None))
+    assert (body, http["Content-Length"], head["Content-Type"], head["WARC-Target-URI"]) == (b"<p>x", "4", "application/http; msgtype=response", "http://h/%20b")
+    again, http, body = zip_warc.parse_warc(zip_warc.warc_record("revisit", "9", "http://h/c", b"<p>x", digest, "7/a"))
+    assert (again["WARC-Refers-To"], body, http["Content-Length"]) == (head["WARC-Record-ID"], b"", "4") and again["WARC-Record-ID"] != head["WARC-Record-ID"]
+
+
+def test_unfinished_packages_are_removed_and_tasks_follow_bytes(spark, tmp_path):
+    r = random.Random(8)
+    pages = spark.createDataFrame([(k, "http://h", "".join(chr(r.randrange(33, 127)) for _ in range(20_000))) for k in range(40)], "page_id bigint, url string, html string").repartition(2)
+    folder = f"file://{tmp_path}/w"
+    made = zip_warc.write_packages(pages, folder)
+    (tmp_path / "w" / "stray.wacz").write_bytes(b"half")
+    zip_warc.remove_leftovers(made, folder)
+    assert {f.name for f in (tmp_path / "w").glob("*.wacz")} == {x["package"].rpartition("/")[2] for x in made.collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 400_000)
+    try:
+        out = zip_warc.read_packages(made)
+        assert out.rdd.getNumPartitions() == -(-made.agg(F.sum("bytes")).first()[0] // 100_000) and out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_directories_of_other_writers_are_read():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -415,26 +732,70 @@ def test_directories_of_other_writers_are_read():
 # ---- 10: mixing ----
 
 
-def test_rates_meet_targets_and_stay_nonnegative(spark):
+def _mixed(spark, n=200):
     r = random.Random(3)
     good, bad = VOCAB[:100], VOCAB[100:200]
-    texts = [" ".join(r.choices(good if k % 4 else bad, k=r.randrange(20, 80))) for k in range(200)]
-    rows = docs(spark, texts)
+    rows = docs(spark, [" ".join(r.choices(good if k % 4 else bad, k=r.randrange(20, 80))) for k in range(n)])
     labels = rows.where("doc_id < 100").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "b").otherwise("a").alias("domain"))
+    return rows, labels
+
+
+def test_rates_meet_targets_and_stay_nonnegative(spark):
+    rows, labels = _mixed(spark)
     out = soft_mixing.mix_to_targets(rows, labels, {"a": 0.5, "b": 0.5}).toPandas()
-    assert (out.rate >= 0).all() and (out.n_tokens == [len(t.split()) for t in out.text]).all() and (out.p_a + out.p_b == 1).all()
+    assert (out.rate >= 0).all() and (out.n_tokens == [len(t.split()) for t in out.text]).all() and np.allclose(out.p_a + out.p_b, 1)
     assert all((out.p_b > 0.5) == (out.doc_id % 4 == 0))
     whole = out.n_tokens.sum()
-    assert abs((out.rate * out.n_tokens * out.p_a).sum() / whole - 0.5) < 1e-3 and abs((out.rate * out.n_tokens * out.p_b).sum() / whole - 0.5) < 1e-3
+    miss = max(abs((out.rate * out.n_tokens * p).sum() / whole - 0.5) for p in (out.p_a, out.p_b))
+    assert miss < soft_mixing.CLOSE + 1e-6 and abs(out.target_miss[0] - miss) < 1e-6
+
+
+def test_posteriors_equal_brute_force(spark):
+    rows, labels = _mixed(spark, 140)
+    model = soft_mixing.fit_classifier(rows, labels, ["a", "b"])
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    given = {r["doc_id"]: r["domain"] for r in labels.collect()}
+    words = {k: set(WORDS.findall(t)) for k, t in text.items()}
+    totals = [sum(d == x for d in given.values()) for x in "ab"]
+    known = [w for w in model.odds if not w.startswith("#")]
+    assert len(known) > 50
+    for w in known:
+        n = [sum(given[k] == d and w in words[k] for k in given) for d in "ab"]
+        rate = [(x + (sum(n) + 0.5) / (len(given) + 1)) / (t + 1) for x, t in zip(n, totals)]
+        assert model.odds[w][1] == pytest.approx([math.log(p / (1 - p)) for p in rate])
+    got = {r["doc_id"]: r for r in model.with_posteriors(rows, F.col("text")).collect()}
+    surface = {r["doc_id"]: [x for x in r["f"] if x.startswith("#")] for r in rows.select("doc_id", soft_mixing.features(F.col("text")).alias("f")).collect()}
+    for k in text:
+        logs = [b + sum(model.odds[w][1][j] for w in {*words[k], *surface[k]} if w in model.odds) for j, b in enumerate(model.base)]
+        e = [math.exp(soft_mixing.TEMPER * (x - max(logs))) for x in logs]
+        assert got[k]["__p"] == pytest.approx([x / sum(e) for x in e], abs=1e-9) and sum(got[k]["__cell"]) == soft_mixing.GRID
+
+
+def test_small_posteriors_count_in_full(spark):
+    # every document is half a grid step or less in the second domain, which a rounded fit would not see at all
+    cells = spark.createDataFrame([([32, 0], [990.0, 10.0]), ([0, 32], [0.0, 5.0])], "cell array<int>, expected array<double>")
+    pulls, miss = soft_mixing.fit_rates(cells, [0.98, 0.02], steps=500)
+    rate = {tuple(r["cell"]): r["rate"] for r in cells.withColumn("rate", soft_mixing._rate(F.col("cell"), pulls, 2)).collect()}
+    got = [rate[32, 0] * 990, rate[32, 0] * 10 + rate[0, 32] * 5]
+    assert miss < soft_mixing.CLOSE and abs(got[0] / 1005 - 0.98) < 2e-4 and abs(got[1] / 1005 - 0.02) < 2e-4
 
 
 def test_projection_keeps_unwanted_domains_at_zero(spark):
-    cells = spark.createDataFrame([([32, 0], 100), ([0, 32], 50), ([16, 16], 10)], "shares array<int>, tokens bigint")
-    pulls = soft_mixing.fit_rates(cells, [1.0, 0.0], steps=200, close=1e-6)
-    rate = {tuple(r["shares"]): r["rate"] for r in cells.withColumn("rate", soft_mixing._rate(F.col("shares"), pulls, 2)).collect()}
+    cells = spark.createDataFrame([([32, 0], [100.0, 0.0]), ([0, 32], [0.0, 50.0]), ([16, 16], [5.0, 5.0])], "cell array<int>, expected array<double>")
+    pulls, _ = soft_mixing.fit_rates(cells, [1.0, 0.0], steps=200, close=1e-6)
+    rate = {tuple(r["cell"]): r["rate"] for r in cells.withColumn("rate", soft_mixing._rate(F.col("cell"), pulls, 2)).collect()}
     assert rate[(0, 32)] == 0 and rate[(32, 0)] > 1
 
 
+def test_targets_out_of_reach_are_reported_and_clashing_columns_kept(spark):
+    rows, labels = _mixed(spark)
+    with pytest.warns(UserWarning, match="miss their targets"):
+        out = soft_mixing.mix_to_targets(rows.withColumns({"rate": F.lit("mine"), "p_a": F.lit(1), "rate_in": F.lit("too")}), labels, {"a": 0.5, "b": 0.3, "never": 0.2})
+    assert out.columns == ["doc_id", "text", "rate_in", "p_a_in", "rate_in_in", "n_tokens", "p_a", "p_b", "p_never", "rate", "target_miss"]
+    row = out.first()
+    assert (row["rate_in"], row["p_a_in"], row["rate_in_in"]) == ("mine", 1, "too") and row["target_miss"] >= soft_mixing.CLOSE
+
+
 def test_mixing_without_labels(spark):
     rows = docs(spark, ["a b", None])
     out = soft_mixing.mix_to_targets(rows, rows.limit(0).select("doc_id", F.lit("a").alias("domain")), {"a": 1.0, "b": 1.0}).collect()

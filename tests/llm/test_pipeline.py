@@ -1,10 +1,15 @@
 """The pipeline's stages on small tables, against what the operators say."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from postmill.llm import secret_scan
 from postmill.llm.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
+from tests.llm.test_operators import ASSIGN, _brute, _brute_classes, _brute_languages
 
 
 def test_stages_keep_columns_and_clean_rows(spark):
@@ -16,6 +21,29 @@ def test_stages_keep_columns_and_clean_rows(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "secrets", "mixing"]
 
 
+def test_stages_equal_brute_force(spark):
+    """What each stage keeps of a given table, by the brute-force versions of the operators."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").withColumn("text", F.when(F.col("doc_id") % 17 == 3, "123 !!").when(F.col("doc_id") % 17 == 4, F.lit(None)).otherwise(F.col("text")))
+    rows = docs.collect()
+    ids, texts = [r["doc_id"] for r in rows], [r["text"] for r in rows]
+    kept = lambda stage: sorted(r["doc_id"] for r in stage(spark, docs, SMALL).collect())
+    labelled = [(r["text"] or "", r["lang"]) for r in rows if r["lang"]]
+    judged = _brute_languages([{"text": r["text"], "declared": r["lang"], "suffix": None, "host": r["source"], "domain": None} for r in rows], labelled)
+    assert kept(corpus_pipeline.language) == [k for k, (_, _, rejected) in zip(ids, judged) if not rejected]
+    assert kept(corpus_pipeline.near_duplicates) == [k for n, (k, (c, _)) in enumerate(zip(ids, _brute_classes(texts))) if c == n]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    hits = _brute(texts, items)
+    assert kept(corpus_pipeline.decontaminate) == [k for n, k in enumerate(ids) if not hits[n][4]] and any(h[4] for h in hits.values())
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encode = secret_scan._encoder(f.read())
+
+    def secret(t):
+        plain = [m for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + re.findall("AKIA[A-Z0-9]{12,}", t) + re.findall("[0-9a-f]{32,}", t)
+        return bool(plain or secret_scan.random_strings(t, encode, []))
+
+    assert kept(corpus_pipeline.secrets) == [k for k, t in zip(ids, texts) if not secret(t or "")]
+
+
 def test_near_duplicates_leave_one_of_each_class(spark, awkward):
     kept = sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, awkward, SMALL).collect())
     assert kept == [0, 1, 4, 5, 6, 7, 8, 9, 11]
