@@ -9,7 +9,8 @@ Queries start from the rarest word of each window: its posting list, shifted by
 in the item, gives candidate alignments (document, item, shift). Each alignment is then
 intersected with the shifted lists of all other words of the item, and runs of consecutive
 matches at least a window long are the exact phrase matches. Proximity matches relax the equal
-shift to shifts within a band.
+shift to shifts within a band, for the words of an item that the corpus has least of: they find
+passages into which words were put, or in which some were changed.
 
 Words are compared by 64-bit hashes. Null texts have no words; items without words or without an
 id match nothing; repeated rows are answered one by one; an empty benchmark contaminates nothing.
@@ -30,6 +31,8 @@ from .tokens import LETTERS, hash_words
 WINDOW = 10
 #: Bits of the broadcast set of benchmark words: 2 MB, whatever the benchmark's size.
 VOCAB_BITS = 1 << 24
+#: Proximity: words of an item that are looked for, how many of them must stand near each other, and within what difference of shifts.
+RARE_WORDS, NEAR_WORDS, BAND = 8, 4, 16
 
 
 def _word_lists(batches):
@@ -54,10 +57,9 @@ def vocabulary(items: DataFrame, bits: int = VOCAB_BITS) -> np.ndarray:
     """Bit set of the items' words as a bool array of ``bits`` entries; at most bits/64 rows reach the driver."""
     rows = (items.select(F.explode("terms").alias("term")).select(F.pmod("term", F.lit(bits)).alias("slot"))
             .select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bit")).collect())
+            .groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow())
     words = np.zeros(bits // 64, np.uint64)
-    for r in rows:
-        words[r["at"]] = np.uint64(r["bit"] & 0xFFFFFFFFFFFFFFFF)
+    words[rows["at"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
     return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
 
 
@@ -94,20 +96,44 @@ def _postings(packed: bytes, bits: int, run: int, rare: bytes | None):
     return apply
 
 
+def _known_counts(packed: bytes, bits: int):
+    """Partial counts (term, n) of the words that the bit set has."""
+
+    def apply(batches):
+        known = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        for batch in batches:
+            words, _ = hash_words(batch.column(0), LETTERS)
+            terms, n = np.unique(words[known[words.view(np.int64) % bits]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+    return apply
+
+
+def rare_words(docs: DataFrame, items: DataFrame, text_col: str = "text", most: int = RARE_WORDS) -> DataFrame:
+    """(item, place, term): each item's ``most`` different words that the documents have least often, then that come first, with all their places."""
+    text_batches(docs.sparkSession)
+    known = np.packbits(vocabulary(items)).tobytes()
+    lengths = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_known_counts(known, VOCAB_BITS), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("length"))
+    places = _places(items).select("item", "place", "term")
+    first = places.groupBy("item", "term").agg(F.min("place").alias("first")).join(lengths, "term", "left")
+    rank = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("length", F.lit(0)), "first"))
+    return written(places.join(first.withColumn("rank", rank).where(F.col("rank") <= most).select("item", "term"), ["item", "term"]), "rare")
+
+
 def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                window: int = WINDOW, proximity: bool = False) -> DataFrame:
+                window: int = WINDOW, rare: DataFrame | None = None) -> DataFrame:
     """(doc, id, n_words, positions, terms): the postings of every document, stored in the shared folder.
 
-    With ``proximity``, words of at most two items are stored wherever they stand.
+    With ``rare`` (item, place, term) their words are stored wherever they stand.
     """
     spark = docs.sparkSession
     text_batches(spark)
     run = items.agg(F.min(F.least(F.lit(window), F.size("terms")))).first()[0] or window
     known = np.packbits(vocabulary(items)).tobytes()
-    rare = np.packbits(vocabulary(_rare_terms(items))).tobytes() if proximity else None
+    alone = None if rare is None else np.packbits(vocabulary(rare.select(F.array("term").alias("terms")))).tobytes()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    index = rows.mapInArrow(_postings(known, VOCAB_BITS, run, rare),
+    index = rows.mapInArrow(_postings(known, VOCAB_BITS, run, alone),
                             f"id {kind}, n_words bigint, positions array<int>, terms array<bigint>")
     return written(index.withColumn("doc", F.monotonically_increasing_id()), "postings")
 
@@ -116,11 +142,6 @@ def _places(items: DataFrame) -> DataFrame:
     return items.select("item", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
 
 
-def _rare_terms(items: DataFrame, most: int = 2) -> DataFrame:
-    return (_places(items).groupBy("term").agg(F.countDistinct("item").alias("n")).where(F.col("n") <= most)
-            .select(F.array("term").alias("terms")))
-
-
 def _exploded(index: DataFrame) -> DataFrame:
     """(doc, position, term) of an index."""
     pairs = F.explode(F.arrays_zip("positions", "terms")).alias("p")
@@ -151,25 +172,25 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
             .select("doc", "item", "first", "last"))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, band: int = 16, terms: int = 3) -> DataFrame:
-    """(doc, item, n_terms): items of which ``terms`` rare words, or all it has if fewer, stand in the
-    document at shifts that differ by less than ``band``; the index must be built with ``proximity``."""
-    rare = _rare_terms(items).select(F.col("terms")[0].alias("term"))
-    places = _places(items).join(rare, "term").select("item", "place", "term")
-    needed = places.groupBy("item").agg(F.least(F.lit(terms), F.countDistinct("term")).alias("needed"))
+def proximity_matches(index: DataFrame, rare: DataFrame, band: int = BAND, terms: int = NEAR_WORDS) -> DataFrame:
+    """(doc, item, n_terms): items of which ``terms`` rare words (item, place, term), or all it has if fewer, stand in the
+    document at shifts that differ by less than ``band``; the index must be built with these words."""
+    needed = rare.groupBy("item").agg(F.least(F.lit(terms), F.countDistinct("term")).alias("needed"))
     shift = F.col("position") - F.col("place")
     bands = F.explode(F.array(F.floor(shift / band), F.floor(shift / band) + 1)).alias("band")
-    return (_exploded(index).join(places, "term").select("doc", "item", "term", bands)
-            .groupBy("doc", "item", "band").agg(F.countDistinct("term").alias("n_terms"))
+    return (_exploded(index).join(rare, "term").select("doc", "item", "term", bands).distinct()
+            .groupBy("doc", "item", "band").agg(F.count("*").alias("n_terms"))
             .groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms"))
             .join(needed, "item").where("n_terms >= needed").select("doc", "item", "n_terms"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: (id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near: bool = False) -> DataFrame:
+    """One row per document: (id, n_words, n_hit, n_items, items_sha256, contaminated), and with ``near`` n_near, the items
+    (by id) that have a proximity match; these don't make a document contaminated."""
     items = item_words(items, item_id, item_text)
-    index = build_index(docs, items, doc_id, doc_text, window)
+    rare = rare_words(docs, items, doc_text) if near else None
+    index = build_index(docs, items, doc_id, doc_text, window, rare)
     runs = written(phrase_matches(index, items, window), "runs")
     before = W.partitionBy("doc").orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
     reach = F.coalesce(F.max("last").over(before), F.lit(-1))
@@ -180,14 +201,17 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     found = hits.join(named, "doc")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return (index.select("doc", "id", "n_words").join(found, "doc", "left")
-            .select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
-                    F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+    rows, more = index.select("doc", "id", "n_words").join(found, "doc", "left"), []
+    if near:
+        close = proximity_matches(index, rare).join(items.select("item", "item_id"), "item").groupBy("doc").agg(F.countDistinct("item_id").alias("n_near"))
+        rows, more = rows.join(close, "doc", "left"), [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")]
+    return (rows.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+                    F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contamination of every document by every benchmark item."""
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Contamination of every document by every benchmark item, and how many items have words near each other in it."""
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=True)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -201,8 +225,16 @@ dw AS (SELECT r, s, k, array_to_string(w[s + 1 : s + k], ' ') AS g
        FROM (SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
 m AS (SELECT r, s, dw.k AS k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM m) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r),
+e AS (SELECT dense_rank() OVER (ORDER BY item_id, w) AS item, item_id, w FROM (SELECT DISTINCT item_id, w FROM i)),
+q AS (SELECT item, item_id, unnest(w) AS g, unnest(range(0, len(w))) AS place FROM e),
+dp AS (SELECT r, unnest(w) AS g, unnest(range(0, len(w))) AS position FROM d),
+c AS (SELECT g, count(*) AS length FROM dp GROUP BY g),
+rare AS (SELECT item, item_id, g, place FROM q JOIN (SELECT item, g FROM (SELECT item, g, min(place) AS first FROM q GROUP BY 1, 2) LEFT JOIN c USING (g) QUALIFY row_number() OVER (PARTITION BY item ORDER BY coalesce(length, 0), first) <= {RARE_WORDS}) USING (item, g)),
+need AS (SELECT item, least({NEAR_WORDS}, count(DISTINCT g)) AS needed FROM rare GROUP BY item),
+near AS (SELECT r, item, item_id, g, unnest([CAST(floor((position - place) / {BAND}) AS BIGINT), CAST(floor((position - place) / {BAND}) AS BIGINT) + 1]) AS band FROM dp JOIN rare USING (g)),
+n AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT r, item, item_id, band, count(DISTINCT g) AS k FROM near GROUP BY 1, 2, 3, 4) JOIN need USING (item) WHERE k >= needed GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN n USING (r)
 """
