@@ -24,7 +24,9 @@ def _without(docs: DataFrame, found: DataFrame, what: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; the label is the declared language, the source stands for the host."""
+    """Documents in a known language; the label is the declared language, the source stands for the host.
+
+    The text model is learnt from the same documents, so a document's own label counts in both."""
     found = identify(docs, fit_text_model(docs), "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
     return _without(docs, found.where("rejected"), "rejected")
 
