@@ -1,19 +1,27 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Counts of words, of pairs and of triples (those whose first two words are frequent) are gathered
-over all training documents. A context of one or two words is retained where its next-word
-distribution diverges from that of its suffix: the likelihood gained on its occurrences, in
-decimal digits, must exceed ``DIGITS`` for every next word it keeps. Distributions are smoothed by
-absolute discounting, the discounted mass going to the suffix's distribution, down to the add-one
-unigram. A text is scored by the longest retained suffix at each place.
-
-The tree's size is a parameter (``MOST_ENTRIES`` next words per order): if more are retained, the
-required gain rises until they fit, so what is broadcast is bounded. Unigram counts have no bound:
-the ``HOT_WORDS`` most frequent are broadcast, all others are looked up by a join, exactly.
-
-Contexts are told apart by 32-bit word hashes, unigram counts by 64-bit ones. Null texts count as
-empty (an end only). Repeated rows are scored, and counted in training, one by one. Rows with a
-null id are training rows. With no training documents every count is zero.
+Contexts of one word up to ``DEPTH`` are counted level by level over all training documents. A
+run of words is counted only where the runs it is made of were frequent enough: its context (all
+but the last word) ``LEAST_CONTEXT`` times, its suffix (all but the first) ``LEAST_COUNT`` times.
+Both are known from the level before and reach the counting pass as bit sets of fixed size; a
+false positive of a set only counts a run too many, which the exact joins after it drop.
+
+A context is retained where its next-word distribution diverges from that of its suffix: the
+likelihood gained on its occurrences, in decimal digits, must be ``DIGITS`` or more for every
+next word it keeps, whatever the size of the corpus. Distributions are smoothed by absolute
+discounting, the discounted mass going to the suffix's distribution, down to the add-one unigram;
+each sums to one over the known words and one unknown one. A text is scored by the longest
+retained suffix at each place.
+
+Neither the tree nor the words have a bound. The ``HOT_WORDS`` most frequent words and the
+``HOT_NODES`` most frequent nodes are broadcast (a node is a run of words, with its probability as
+an entry and what it leaves to its suffix as a context). Counts of other words are looked up by a
+join. A Bloom filter of the other nodes tells which places may need one; those have their nodes
+looked up by a join, too, so that scores do not depend on what is broadcast.
+
+Runs are told apart by 64-bit hashes. Null texts count as empty (an end only). Repeated rows are
+scored, and counted in training, one by one. Rows with a null id are training rows. With no
+training documents every count is zero. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,20 +36,26 @@ from .shared import lists, text_batches, written
 from .tokens import BLANKS, hash_words, mix
 
 END = np.uint64(0x5851F42D4C957F2D)
+DEPTH = 2
 DISCOUNT = 0.75
 LEAST_COUNT = 4
 LEAST_CONTEXT = 16
 DIGITS = 1.0
-MOST_ENTRIES = 1 << 20
-HOT_WORDS = 1 << 20
-CONTEXT_BITS = 1 << 26
+#: Words (16 bytes each) and nodes of the tree (16 bytes each) that are broadcast.
+HOT_WORDS, HOT_NODES = 1 << 20, 1 << 22
+#: Bits of a broadcast set of keys: 8 MB, whatever the corpus; and how many of them a key of a Bloom filter has.
+SET_BITS, PROBES = 1 << 26, 4
 _HELD = 1 << 21
+_CHUNK = 1 << 18
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+# ---- words and runs ---------------------------------------------------------------------------
+
+
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an end after each row, and row offsets."""
     words, rows = hash_words(col, BLANKS)
@@ -55,244 +69,344 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def _short(words: np.ndarray) -> np.ndarray:
-    return words >> np.uint64(32)
-
-
-def _pairs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of (word before, word) for each word, and where there is one."""
-    short = _short(words)
-    key = np.empty(len(words), np.uint64)
-    key[1:] = short[:-1] << np.uint64(32) | short[1:]
-    there = np.ones(len(words), bool)
-    there[offsets[:-1]] = False
-    return key, there
+def run_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the run that begins with ``context`` and ends with ``suffix``, one word shorter each."""
+    return mix(mix(context) + suffix)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) & np.uint64(CONTEXT_BITS - 1)).astype(np.int64)
+def _before(values: np.ndarray, none) -> np.ndarray:
+    """Each place's value one place earlier."""
+    return np.concatenate([np.array([none], values.dtype), values[:-1]])
 
 
-def _triples(key: np.ndarray, short: np.ndarray) -> np.ndarray:
-    return mix(mix(key) + short)
+def _runs(words: np.ndarray, offsets: np.ndarray, depth: int):
+    """Level by level, from 0: (level, context, suffix, run, there) at each place; ``there``: is the row that long."""
+    place = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
+    run = words
+    yield 0, None, None, run, np.ones(len(words), bool)
+    for level in range(1, depth + 1):
+        context, suffix = _before(run, 0), run
+        run = run_key(context, suffix)
+        yield level, context, suffix, run, place >= level
 
 
-def _unpacked(bits: Broadcast) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+def _slot(keys: np.ndarray, probe: int = 0) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15 + 2 * probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(38)  # the upper 26 bits
 
 
-def _counter(order: int, bits: Broadcast | None = None):
-    """Partial counts of keys over each task: (key, n), for order 3 (key of the first two, third word, n)."""
+def _in(packed: np.ndarray, keys: np.ndarray, probe: int = 0) -> np.ndarray:
+    slot = _slot(keys, probe)
+    return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
-    def counted(held: list[tuple]):
-        if order < 3:
-            keys, n = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
-            cols = [keys.view(np.int64), n]
-        else:
-            key, word = (np.concatenate(x) for x in zip(*held))
-            both = _triples(key, word)
-            _, first, n = np.unique(both, return_index=True, return_counts=True)
-            cols = [key[first].view(np.int64), word[first].astype(np.int64), n]
-        names = ["key", "word", "n"] if order == 3 else ["key", "n"]
-        for k in range(0, len(n), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in cols], names=names)
-
-    def apply(batches):
-        known = None if bits is None else _unpacked(bits)
-        held, size = [], 0
-        for batch in batches:
-            words, offsets = _tokens(batch.column(0))
-            if order == 1:
-                held.append((words,))
-            elif len(words):
-                key, there = _pairs(words, offsets)
-                if order == 2:
-                    held.append((key[there],))
-                else:
-                    second = there.copy()
-                    second[1:] &= there[:-1]
-                    at = np.flatnonzero(second)
-                    at = at[known[_slot(key[at - 1])]]
-                    held.append((key[at - 1], _short(words[at])))
-            size += len(held[-1][0]) if held else 0
-            if size >= _HELD:
-                yield from counted(held)
-                held, size = [], 0
-        if held:
-            yield from counted(held)
 
-    return apply
+def _in_all(packed: np.ndarray, keys: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    out = _in(packed, keys)
+    for probe in range(1, probes):
+        at = np.flatnonzero(out)
+        out[at] = _in(packed, keys[at], probe)
+    return out
 
 
-def _bit_set(keys: DataFrame) -> bytes:
-    """Bits of the keys' slots; at most CONTEXT_BITS / 64 rows reach the driver, whatever the number of keys."""
+def _bit_set(keys: DataFrame, probes: int = 1) -> np.ndarray:
+    """Bits of the keys' slots; at most SET_BITS / 64 rows reach the driver, whatever the number of keys."""
 
     def slots(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))], names=["slot"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for probe in range(probes):
+                    yield pa.RecordBatch.from_arrays([pa.array(_slot(found, probe).astype(np.int64))], names=["slot"])
 
     rows = (keys.mapInArrow(slots, "slot bigint")
             .select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bit"))).toArrow()
-    words = np.zeros(CONTEXT_BITS // 64, np.uint64)
+    words = np.zeros(SET_BITS // 64, np.uint64)
     words[rows["at"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
-    return words.tobytes()
-
-
-def _retained(entries: DataFrame, most: int, digits: float) -> DataFrame:
-    """Entries (context, n, n_context, p_suffix, ...) of retained contexts, with p and escape (the mass left to the suffix)."""
-    total = entries.groupBy("context").agg(
-        F.sum((F.col("n") - DISCOUNT) / F.col("n_context")).alias("mass"), F.sum("n").alias("seen"), F.count("*").alias("entries"))
-    escape = F.greatest(1 - F.col("mass"), F.lit(1e-6))
-    smoothed = (entries.join(total, "context").withColumn("escape", escape)
-                .withColumn("p", (F.col("n") - DISCOUNT) / F.col("n_context") + F.col("escape") * F.col("p_suffix")))
-    smoothed = written(smoothed, "smoothed")
-    unseen = F.greatest(F.first("n_context") - F.first("seen"), F.lit(0)) * F.log10(F.first("escape"))
-    gains = written(smoothed.groupBy("context").agg((F.sum(F.col("n") * F.log10(F.col("p") / F.col("p_suffix"))) + unseen).alias("gain"), F.first("entries").alias("entries"))
-                    .withColumn("digits", F.floor(F.col("gain") / F.col("entries") * 8) / 8).where(F.col("digits") >= digits), "gains")
-    # The required gain rises in steps of an eighth of a digit until the entries fit.
-    steps = gains.select(F.least("digits", F.lit(1000.0)).alias("digits"), "entries").groupBy("digits").agg(F.sum("entries").alias("entries")).collect()
-    room, cut = most, digits
-    for step in sorted(steps, key=lambda r: -r["digits"]):
-        room -= step["entries"]
-        if room < 0:
-            cut = step["digits"] + 0.125
-            break
-    return smoothed.join(gains.where(F.col("digits") >= cut).select("context"), "context", "left_semi")
+    return words.view(np.uint8)
 
 
-class _Table:
-    """Sorted keys and their values; lookups give a value and whether it is there."""
+# ---- counts -----------------------------------------------------------------------------------
 
-    def __init__(self, rows: pa.Table, key: str, value: str, kind=np.float32):
-        keys = rows[key].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], rows[value].to_numpy().astype(kind)[order]
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
-        return np.where(there, self.values[at], self.values.dtype.type(0)), there
+def _word_counts(batches):
+    """Partial counts of words: (key, n)."""
+    held, size = [], 0
 
+    def counted():
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        for k in range(0, len(n), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + _CHUNK].view(np.int64)), pa.array(n[k : k + _CHUNK])], names=["key", "n"])
 
-def _score(model: Broadcast):
-    def apply(batches):
-        m = model.value
-        total = float(m["total"] + m["distinct"] + 1)
+    with np.errstate(over="ignore"):
         for batch in batches:
-            words, offsets = _tokens(batch.column(1))
-            n, rows = len(words), len(offsets) - 1
-            row = np.repeat(np.arange(rows), np.diff(offsets))
-            short = _short(words)
-            key, there = _pairs(words, offsets)
-            count, hot = m["words"].get(words)
-            base = np.where(hot, np.log10((count + 1) / total), 0.0)
-            lp2, has2 = m["pairs"].get(key)
-            has2 &= there
-            esc1, _ = m["one"].get(short)
-            second = there.copy()
-            second[1:] &= there[:-1]
-            lp3, has3, esc2 = np.zeros(n, np.float32), np.zeros(n, bool), np.zeros(n, np.float32)
-            at = np.flatnonzero(second)
-            context2, kept2 = m["two"].get(key[at - 1])
-            esc2[at] = context2
-            at = at[kept2]
-            lp3[at], has3[at] = m["triples"].get(_triples(key[at - 1], short[at]))
-            back1 = np.zeros(n)
-            back1[1:] = esc1[:-1]
-            back1[~there] = 0
-            low = ~has2 & ~has3
-            value = np.where(has3, lp3, np.where(has2, esc2 + lp2, esc2 + back1 + base))
-            cold = np.flatnonzero(~hot)
-            # what is left to look up: distinct cold words of each row
-            pair = np.stack([row[cold].astype(np.uint64), words[cold]])
-            uniq, where = np.unique(pair, axis=1, return_inverse=True) if len(cold) else (pair, np.empty(0, np.int64))
-            times, low_times = np.bincount(where, minlength=uniq.shape[1]), np.bincount(where, weights=low[cold], minlength=uniq.shape[1])
-            ends = np.searchsorted(uniq[0], np.arange(rows + 1, dtype=np.uint64))
-            per = lambda x: np.bincount(row, weights=x, minlength=rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(per(hot).astype(np.int64)), pa.array(per(base)), pa.array(per(value)),
-                 lists(np.ascontiguousarray(uniq[1]).view(np.int64), ends, pa.int64()), lists(times.astype(np.int32), ends, pa.int32()), lists(low_times.astype(np.int32), ends, pa.int32())],
-                names=["id", "held_out", "n_tokens", "known", "base", "value", "cold", "times", "low_times"])
+            held.append(_tokens(batch.column(0))[0])
+            size += len(held[-1])
+            if size >= _HELD:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
+
+
+def _run_counts(level: int, contexts: Broadcast, suffixes: Broadcast):
+    """Partial counts of runs of ``level`` + 1 words whose context and suffix are in the sets: (context, suffix, n)."""
+
+    def counted(held):
+        context, suffix = (np.concatenate(x) for x in zip(*held))
+        _, first, n = np.unique(run_key(context, suffix), return_index=True, return_counts=True)
+        for k in range(0, len(n), _CHUNK):
+            at = first[k : k + _CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n[k : k + _CHUNK])], names=["context", "suffix", "n"])
+
+    def apply(batches):
+        held, size = [], 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                *_, (_, context, suffix, _, there) = _runs(*_tokens(batch.column(0)), level)
+                at = np.flatnonzero(there)
+                at = at[_in(contexts.value, context[at])]
+                at = at[_in(suffixes.value, suffix[at])]
+                held.append((context[at], suffix[at]))
+                size += len(at)
+                if size >= _HELD:
+                    yield from counted(held)
+                    held, size = [], 0
+            if held:
+                yield from counted(held)
 
     return apply
 
 
+def _keyed(batches):
+    """(context, suffix, …) with the run's key first."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            context, suffix = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(run_key(context, suffix).view(np.int64)), batch.column(0), *batch.columns[2:]], names=["key", "context", *batch.schema.names[2:]])
+
+
+def _level(texts: DataFrame, shorter: DataFrame, level: int, least_count: int, least_context: int, digits: float) -> tuple[DataFrame, DataFrame]:
+    """Runs (key, n, p, lp) of a level, and its retained contexts (key, n, esc), from the ``shorter`` runs (key, n, p).
+
+    ``p``: probability of the run's last word by the longest retained suffix of its context; ``lp``: its logarithm where
+    that is the whole context; ``esc``: logarithm of what a context leaves to its suffix."""
+    sc = texts.sparkSession.sparkContext
+    sets = [sc.broadcast(_bit_set(shorter.where(F.col("n") >= least).select("key"))) for least in (least_context, least_count)]
+    counts = (texts.mapInArrow(_run_counts(level, *sets), "context bigint, suffix bigint, n bigint")
+              .groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count))
+    contexts = shorter.where(F.col("n") >= least_context).select(F.col("key").alias("context"), F.col("n").alias("n_context"))
+    suffixes = shorter.select(F.col("key").alias("suffix"), F.col("p").alias("p_suffix"))
+    runs = written(counts.join(contexts, "context").join(suffixes, "suffix").select("context", "suffix", "n", "n_context", "p_suffix")
+                   .mapInArrow(_keyed, "key bigint, context bigint, n bigint, n_context bigint, p_suffix double"), "runs")
+    for s in sets:
+        s.destroy()
+    # Tables on both sides of a join by context let Spark split a hot one.
+    unseen = F.first("n_context") - F.sum("n")
+    totals = written(runs.groupBy("context").agg(F.first("n_context").alias("n_context"), unseen.alias("unseen"), F.count("*").alias("kept"))
+                     .withColumn("escape", (F.col("unseen") + DISCOUNT * F.col("kept")) / F.col("n_context")), "totals")
+    p = (F.col("n") - DISCOUNT) / F.col("n_context") + F.col("escape") * F.col("p_suffix")
+    gain = (runs.join(totals.select("context", "escape"), "context").groupBy("context")
+            .agg(F.sum(F.col("n") * F.log10(p / F.col("p_suffix"))).alias("gain")))
+    worth = F.col("gain") + F.col("unseen") * F.log10("escape") >= digits * F.col("kept")
+    retained = written(totals.join(gain, "context").where(worth).select("context", "n_context", "escape"), "retained")
+    known = written(runs.join(retained.select("context", "escape"), "context", "left").withColumn("own", p)
+                    .select("key", "n", F.coalesce("own", "p_suffix").alias("p"), F.log10("own").alias("lp")), "known")
+    return known, retained.select(F.col("context").alias("key"), F.col("n_context").alias("n"), F.log10("escape").alias("esc"))
+
+
+# ---- the tree ---------------------------------------------------------------------------------
+
+
+class _Hot:
+    """Rows of a table by their key, which is sorted; a bit set spares most searches."""
+
+    def __init__(self, rows: pa.Table, names: list[str]):
+        self.keys = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(self.keys)
+        self.keys, self.columns, self.bits = self.keys[order], [rows[n].to_numpy()[order] for n in names], None
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Positions of the keys that are there, and the columns' values for them."""
+        if self.bits is None:
+            bits = np.zeros(SET_BITS, bool)
+            bits[_slot(self.keys)] = True
+            self.bits = np.packbits(bits, bitorder="little")
+        maybe = np.flatnonzero(_in(self.bits, keys))
+        if not len(maybe) or not len(self.keys):
+            return np.empty(0, np.int64), [c[:0] for c in self.columns]
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[maybe]
+        return maybe[hit], [c[at[hit]] for c in self.columns]
+
+
+def _most_frequent(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (…, n) cut in two at the smallest count of which no more than ``most`` have as much; None where nothing is left."""
+    cut, room = None, most
+    for r in rows.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        room -= r["rows"]
+        if room < 0:
+            break
+        cut = r["least"]
+    if room >= 0:
+        return rows, None
+    return (rows.limit(0), rows) if cut is None else (rows.where(F.col("n") >= cut), rows.where(F.col("n") < cut))
+
+
 class SuffixTree:
-    """A fitted tree: word counts as a table, their hot part and the retained contexts as one broadcast."""
+    """A fitted tree: hot words and nodes as one broadcast, all words as a table (key, n), the other nodes as a table (key, lp, esc) or None."""
 
-    def __init__(self, words: DataFrame, total: int, model: Broadcast):
-        self.words, self.total, self.model = words, total, model
+    def __init__(self, hot: Broadcast, words: DataFrame, cold: DataFrame | None, depth: int, total: int, distinct: int):
+        self.hot, self.words, self.cold, self.depth, self.total = hot, words, cold, depth, total
+        #: what counts are divided by, once one is added
+        self.scale = float(total + distinct + 1)
 
 
-def fit(training: DataFrame, text_col: str = "text", most_entries: int = MOST_ENTRIES, hot_words: int = HOT_WORDS, digits: float = DIGITS) -> SuffixTree:
-    """Fit on every row of ``training``."""
+def fit(training: DataFrame, text_col: str = "text", depth: int = DEPTH, least_count: int = LEAST_COUNT, least_context: int = LEAST_CONTEXT,
+        digits: float = DIGITS, hot_words: int = HOT_WORDS, hot_nodes: int = HOT_NODES) -> SuffixTree:
+    """Fit on every row of ``training``; contexts of up to ``depth`` words."""
     spark = training.sparkSession
     text_batches(spark, 256)
     texts = training.select(F.col(text_col).cast("string").alias("text"))
-    words = written(texts.mapInArrow(_counter(1), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    words = written(texts.mapInArrow(_word_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # Frequent words, by the smallest count of which no more than hot_words have as much.
-    cut, room = 1, hot_words
-    for r in words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
-        room -= r["words"]
-        if room < 0:
-            break
-        cut = r["least"]
-    hot = words.where(F.col("n") >= cut) if room >= 0 or cut > 1 else words.where(F.lit(False))
-
-    short = written(words.where(F.col("n") >= LEAST_COUNT).groupBy(F.shiftrightunsigned("key", 32).alias("word")).agg(F.sum("n").alias("c")), "short")
-    unigram = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
-    pairs = texts.mapInArrow(_counter(2), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    pairs = written(pairs.withColumn("context", first).withColumn("word", second)
-                    .join(short.select(F.col("word").alias("context"), F.col("c").alias("n_context")), "context")
-                    .join(short.select("word", unigram.alias("p_suffix")), "word"), "pairs")
-    kept = written(_retained(pairs.where(F.col("n_context") >= LEAST_CONTEXT), most_entries, digits).select("key", "context", "p", "escape"), "kept")
-
-    contexts = pairs.where(F.col("n") >= LEAST_CONTEXT).select("key")
-    bits = spark.sparkContext.broadcast(_bit_set(contexts))
-    triples = (texts.mapInArrow(_counter(3, bits), "key bigint, word bigint, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
-               .where(F.col("n") >= LEAST_COUNT))
-    below = pairs.select(F.col("key").alias("suffix"), "p_suffix").join(kept.select(F.col("key").alias("suffix"), "p"), "suffix", "left").select("suffix", F.coalesce("p", "p_suffix").alias("p_suffix"))
-    suffix = F.shiftleft("key", 32).bitwiseOR(F.col("word"))
-    triples = (triples.withColumn("suffix", suffix).join(below, "suffix")
-               .join(pairs.where(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("context"), F.col("n").alias("n_context")), F.col("key") == F.col("context")))
-    kept3 = written(_retained(triples, most_entries, digits).select("context", "word", "p", "escape"), "kept")
-
-    def contexts_of(rows: DataFrame) -> pa.Table:
-        return rows.groupBy("context").agg(F.log10(F.first("escape")).alias("esc")).toArrow()
-
-    found = kept3.select("context", "word", F.log10("p").alias("lp")).toArrow()
-    key3 = _triples(found["context"].to_numpy().view(np.uint64), found["word"].to_numpy().astype(np.uint64)).view(np.int64)
-    model = {
-        "total": total, "distinct": distinct, "words": _Table(hot.toArrow(), "key", "n", np.float64),
-        "pairs": _Table(kept.select("key", F.log10("p").alias("lp")).toArrow(), "key", "lp"), "one": _Table(contexts_of(kept), "context", "esc"),
-        "two": _Table(contexts_of(kept3), "context", "esc"), "triples": _Table(pa.table({"key": key3, "lp": found["lp"]}), "key", "lp"),
-    }
-    return SuffixTree(words, total, spark.sparkContext.broadcast(model))
+    shorter = words.where(F.col("n") >= least_count).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    none, nodes = F.lit(None).cast("double"), None
+    for level in range(1, depth + 1):
+        shorter, contexts = _level(texts, shorter, level, least_count, least_context, digits)
+        both = shorter.where("lp is not null").select("key", "n", "lp", none.alias("esc")).unionByName(contexts.withColumn("lp", none))
+        nodes = both if nodes is None else nodes.unionByName(both)
+    nodes = written(nodes.groupBy("key").agg(F.max("n").alias("n"), F.max("lp").cast("float").alias("lp"), F.max("esc").cast("float").alias("esc")), "nodes")
+    hot, cold = _most_frequent(nodes, hot_nodes)
+    model = {"words": _Hot(_most_frequent(words, hot_words)[0].toArrow(), ["n"]), "nodes": _Hot(hot.select("key", "lp", "esc").toArrow(), ["lp", "esc"]),
+             "cold": None if cold is None else _bit_set(cold.select("key"), PROBES)}
+    return SuffixTree(spark.sparkContext.broadcast(model), words, None if cold is None else cold.select("key", "lp", "esc"), depth, total, distinct)
+
+
+# ---- scores -----------------------------------------------------------------------------------
+
+
+_NAMES = ["row", "id", "held_out", "n_tokens", "known", "base", "value", "cold", "times", "low_times", "at", "ask", "have"]
+
+
+def _score(hot: Broadcast, depth: int, scale: float):
+    """One row per text with the sums of what is known and its other words, and one per place that may need other nodes: the keys it asks for.
+
+    Values of a place, in order: what the contexts of 1 … depth words leave, then probabilities of its runs of 1 … depth + 1 words."""
+
+    def node(m: dict, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """lp and esc of nodes, not a number where there is none, and whether it may be one of the others."""
+        lp, esc, asked = np.full(len(keys), np.nan), np.full(len(keys), np.nan), np.zeros(len(keys), bool)
+        found, (a, b) = m["nodes"].get(keys[at])
+        lp[at[found]], esc[at[found]] = a, b
+        if m["cold"] is not None:
+            asked[at] = _in_all(m["cold"], keys[at])
+            asked[at[found]] = False
+        return lp, esc, asked
+
+    def apply(batches):
+        m = hot.value
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                words, offsets = _tokens(batch.column(3))
+                n, rows = len(words), len(offsets) - 1
+                row = np.repeat(np.arange(rows), np.diff(offsets))
+                heard = np.zeros(n, bool)
+                base = np.zeros(n)
+                found, (counts,) = m["words"].get(words)
+                heard[found], base[found] = True, np.log10((counts + 1) / scale)
+                left, probs, keys, waits = [], [np.where(heard, base, np.nan)], {depth: words}, {depth: ~heard}
+                value, low, open_ = base.copy(), np.ones(n, bool), np.zeros(n, bool)
+                for level, context, _, run, there in _runs(words, offsets, depth):
+                    at = np.flatnonzero(there)
+                    if level:
+                        esc, asked = _before(esc, np.nan), _before(asked, False)
+                        esc[~there], asked[~there] = np.nan, False
+                        left.append(esc)
+                        keys[level - 1], waits[level - 1] = context, asked
+                        open_ |= asked
+                        own, after = esc, asked
+                        if level == depth:  # a run is looked up where its context may be there, or as a context itself
+                            at = np.flatnonzero(~np.isnan(own) | after)
+                    lp, esc, asked = node(m, run, at)
+                    if level:
+                        lp[np.isnan(own) & ~after] = np.nan
+                        probs.append(lp)
+                        waits[depth + level] = asked & (~np.isnan(own) | after)
+                        keys[depth + level] = run
+                        open_ |= waits[depth + level]
+                        kept, hit = ~np.isnan(own), ~np.isnan(lp)
+                        value = np.where(kept, np.where(hit, lp, own + value), value)
+                        low &= ~(kept & hit)
+                per = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
+                # what is left of the words: distinct ones of each text, all their times and those that count for the score
+                cold = np.flatnonzero(~heard)
+                pair = np.stack([row[cold].astype(np.uint64), words[cold]])
+                uniq, where = np.unique(pair, axis=1, return_inverse=True) if len(cold) else (pair, np.empty(0, np.int64))
+                times, low_times = np.bincount(where, minlength=uniq.shape[1]), np.bincount(where, weights=(low & ~open_)[cold], minlength=uniq.shape[1])
+                ends = np.searchsorted(uniq[0], np.arange(rows + 1, dtype=np.uint64))
+                none = pa.nulls(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets)), pa.array(per(heard).astype(np.int64)), pa.array(per(base)), pa.array(per(np.where(open_, 0, value))),
+                     lists(np.ascontiguousarray(uniq[1]).view(np.int64), ends, pa.int64()), lists(times.astype(np.int32), ends, pa.int32()), lists(low_times.astype(np.int32), ends, pa.int32()),
+                     none.cast(pa.int64()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.float64()))], names=_NAMES)
+                wide = 2 * depth + 1
+                for at in np.array_split(np.flatnonzero(open_), max(1, int(open_.sum()) // _CHUNK)):
+                    if not len(at):
+                        continue
+                    k = len(at)
+                    ask = np.stack([keys[j][at].view(np.int64) for j in range(wide)], axis=1).reshape(-1)
+                    mask = np.stack([~waits[j][at] for j in range(wide)], axis=1).reshape(-1)
+                    have = np.stack([x[at] for x in (*left, *probs)], axis=1).reshape(-1)
+                    ends = pa.array(np.arange(k + 1) * wide, pa.int32())
+                    blank = lambda t: pa.nulls(k, t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row[at])), blank(batch.column(1).type), blank(pa.bool_()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64()),
+                         blank(pa.list_(pa.int64())), blank(pa.list_(pa.int32())), blank(pa.list_(pa.int32())),
+                         pa.array(at), pa.ListArray.from_arrays(ends, pa.array(ask, mask=mask)), pa.ListArray.from_arrays(ends, pa.array(have, from_pandas=True))], names=_NAMES)
+
+    return apply
+
+
+def _word_log(count: Column, scale: float) -> Column:
+    return F.log10((F.coalesce(count, F.lit(0)) + 1) / F.lit(scale))
+
+
+def _looked_up(places: DataFrame, tree: SuffixTree) -> DataFrame:
+    """(row, more_value): sums over the places that asked, once their nodes and words are joined to them."""
+    depth, wide = tree.depth, 2 * tree.depth + 1
+    parts = places.select("row", "at", F.posexplode(F.arrays_zip("ask", "have")).alias("k", "v")).select("row", "at", "k", "v.ask", "v.have")
+    value = F.when(F.col("k") < depth, F.col("esc")).otherwise(F.col("lp")).cast("double")
+    nodes = parts.where(f"ask is not null and k <> {depth}").join(tree.cold.withColumnRenamed("key", "ask"), "ask").select("row", "at", "k", value.alias("have"))
+    words = parts.where(f"ask is not null and k = {depth}").join(tree.words.withColumnRenamed("key", "ask"), "ask", "left").select("row", "at", "k", _word_log(F.col("n"), tree.scale).alias("have"))
+    known = parts.where("ask is null").select("row", "at", "k", "have")
+    whole = (nodes.unionByName(words).unionByName(known).groupBy("row", "at")
+             .agg(*(F.max(F.when(F.col("k") == k, F.col("have"))).alias(f"v{k}") for k in range(wide))))
+    whole = whole.withColumn("s0", F.col(f"v{depth}"))
+    for level in range(1, depth + 1):
+        esc, lp, lower = F.col(f"v{level - 1}"), F.col(f"v{depth + level}"), F.col(f"s{level - 1}")
+        whole = whole.withColumn(f"s{level}", F.when(esc.isNull(), lower).otherwise(F.coalesce(lp, esc + lower)))
+    return whole.groupBy("row").agg(F.sum(f"s{depth}").alias("more_value"))
 
 
 def score(docs: DataFrame, tree: SuffixTree, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     text_batches(docs.sparkSession, 256)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(False) if held is None else held).alias("held_out"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.lit(False) if held is None else held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    hot = written(
-        rows.mapInArrow(_score(tree.model), f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, value double, cold array<bigint>, times array<int>, low_times array<int>")
-        .withColumn("row", F.monotonically_increasing_id()), "scored")
-    total = float(tree.model.value["total"] + tree.model.value["distinct"] + 1)
-    count = F.coalesce("n", F.lit(0))
-    part = F.log10((count + 1) / F.lit(total))
-    cold = (hot.select("row", F.inline(F.arrays_zip("cold", "times", "low_times")))
-            .join(tree.words.withColumnRenamed("key", "cold"), "cold", "left")
-            .groupBy("row").agg(F.sum(F.col("times") * part).alias("cold_base"), F.sum(F.col("low_times") * part).alias("cold_value"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("cold_known")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return hot.select("row", "id", "held_out", "n_tokens", "known", "base", "value").join(cold, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + zero("cold_known")).cast("bigint").alias("n_known"), F.lit(tree.total).cast("bigint").alias("train_tokens"),
-        F.round(F.col("base") + zero("cold_base"), 6).alias("base_score"), F.round(F.col("value") + zero("cold_value"), 6).alias("score"))
+    found = written(rows.mapInArrow(_score(tree.hot, tree.depth, tree.scale),
+                                    f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, value double, cold array<bigint>, times array<int>, low_times array<int>, "
+                                    "at bigint, ask array<bigint>, have array<double>"), "scored")
+    scored = found.where("at is null").select("row", "id", "held_out", "n_tokens", "known", "base", "value")
+    part, zero = _word_log(F.col("n"), tree.scale), F.lit(0)
+    cold = (found.where("at is null").select("row", F.inline(F.arrays_zip("cold", "times", "low_times"))).join(tree.words.withColumnRenamed("key", "cold"), "cold", "left").groupBy("row")
+            .agg(F.sum(F.col("times") * part).alias("cold_base"), F.sum(F.col("low_times") * part).alias("cold_value"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("cold_known")))
+    scored = scored.join(cold, "row", "left").withColumns({f"{c}": F.col(c) + F.coalesce(f"cold_{c}", zero) for c in ("known", "base", "value")})
+    if tree.cold is not None:
+        more = _looked_up(found.where("at is not null").select("row", "at", "ask", "have"), tree)
+        scored = scored.join(more, "row", "left").withColumn("value", F.col("value") + F.coalesce("more_value", zero))
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").cast("bigint").alias("n_known"), F.lit(tree.total).cast("bigint").alias("train_tokens"),
+        F.round("base", 6).alias("base_score"), F.round("value", 6).alias("score"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
