@@ -2,14 +2,19 @@
 
 Texts become sets of hashed five-word shingles; equal sets are one *text* from then on. A text's
 set is embedded as ``COORDINATES`` MinHash values, two texts agreeing in a coordinate with their
-Jaccard similarity. A run of the join walks a random tree: each node picks coordinates with
-probability 1/(t * coordinates) each, t being the threshold, and a text goes on into the child
-named by its value there, so a text's paths are its own to compute and only texts that share
-values meet. Texts at the same node after ``DEPTH`` choices form a bucket; larger buckets than
-``BUCKET`` are split further, by joining just their members with their MinHash values again.
-Buckets are then brute-forced on four-bit MinHash sketches. Runs are repeated until a pair at the
-threshold has met with probability ``RECALL``; as deeper walks lose more, the texts of split
-buckets walk further runs, as many as the deepest level requires.
+Jaccard similarity. A run of the join begins at a coordinate of its own, at which texts of equal
+value meet, and walks a random tree from there: each node picks coordinates with probability
+1/(t * coordinates) each, t being the threshold, and a text goes on into the child named by its
+value there, so a text's paths are its own to compute and only texts that share values meet.
+Texts at the same node after ``DEPTH`` choices form a bucket, which is brute-forced on four-bit
+MinHash sketches. Runs are repeated until a pair at the threshold has met with probability
+``RECALL``.
+
+Buckets of more than ``BUCKET`` texts are first compared with their smallest text. What is then
+known to be in one likely group needs no further comparison in that bucket; if few others are in
+it, they are compared with all of it, dealt out in blocks; else the bucket is split further, by
+joining its members with their MinHash values again. As deeper walks lose more, the texts of
+buckets that are split walk further runs, as many as the deepest level requires.
 
 Bucket results leave as stars (text, smallest text of its likely group), never as all pairs. Their
 connected components, which only collect what might be similar, are then decided exactly:
@@ -18,18 +23,21 @@ intersections and sends back link counts per text and a star of exact links. Con
 of the exact links are the classes.
 
 Texts without words are alone, unless the whole text is the same, not blank and not null. Repeated
-rows are copies of each other.
+rows are copies of each other. Rows with a null id take no part: their class is null and they have
+no links. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import groups, lists, text_batches, written
 from .tokens import LETTERS, hash_words, mix, raw_bytes, shingles
@@ -50,13 +58,15 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 def runs_needed(recall: float = RECALL, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
     """Runs until a pair at the threshold has shared a path of ``depth`` with the given probability.
 
-    Such a pair has one common child per node on average, Poisson distributed; more or fewer where it
-    agrees in more or fewer coordinates than expected, which all runs share."""
+    A run's first choice is a coordinate in which the pair agrees or not. At every later node such a pair has
+    one common child on average, Poisson distributed; more or fewer where it agrees in more or fewer
+    coordinates than expected, which all runs share."""
     agree = np.arange(COORDINATES + 1)
     weight = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in agree])
     p = np.ones(COORDINATES + 1)
-    for _ in range(depth):
+    for _ in range(depth - 1):
         p = 1 - np.exp(-p * agree / (COORDINATES * threshold))
+    p *= agree / COORDINATES
     runs = 1
     while runs < 1000 and (weight * (1 - p) ** runs).sum() > 1 - recall:
         runs += 1
@@ -149,8 +159,9 @@ def _step(path: np.ndarray, who: np.ndarray, marks: np.ndarray, threshold: float
         chance *= mean / k
     at = np.repeat(np.arange(len(path)), count)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    pick = (mix(path[at] + (nth.astype(np.uint64) + np.uint64(1)) * _GOLD) % np.uint64(COORDINATES)).astype(np.int64)
-    child = mix(path[at] * np.uint64(31) + (pick.astype(np.uint64) + np.uint64(1)) * _GOLD) ^ mix(marks[who[at], pick])
+    # the nth choice is a node of its own, even of a coordinate that was chosen before
+    choice = mix(path[at] + (nth.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    child = choice ^ mix(marks[who[at], (choice % np.uint64(COORDINATES)).astype(np.int64)])
     return mix(child), who[at]
 
 
@@ -177,9 +188,10 @@ def _walk(start: int, runs: int, depth: int, threshold: float):
             for batch in batches:
                 marks = _marks(batch)
                 n = len(marks)
-                path = np.repeat(mix(np.arange(start + 1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED270B)), n)
+                number = np.repeat(np.arange(start, runs), n)
                 who = np.tile(np.arange(n), runs - start)
-                for _ in range(depth):
+                path = mix((number + 1).astype(np.uint64) * np.uint64(0x51ED270B)) ^ mix(marks[who, number % COORDINATES])
+                for _ in range(depth - 1):
                     path, who = _step(path, who, marks, threshold)
                 # a text that meets a node twice is there once
                 pairs = np.unique(np.stack([path, who.astype(np.uint64)]), axis=1) if len(path) else np.empty((2, 0), np.uint64)
@@ -253,6 +265,33 @@ def _likely(least: float, threshold: float):
     return apply
 
 
+def _near_first(least: float, threshold: float):
+    """Edges of texts to the first of their bucket, where ``_likely`` would have them."""
+
+    def sketches(col: pa.Array) -> np.ndarray:
+        packed = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, COORDINATES // 2)
+        return np.concatenate([packed >> 4, packed & 15], axis=1)
+
+    def apply(batches):
+        for batch in batches:
+            ids, n, sketch, first, first_n, first_sketch = batch.columns
+            a, b = n.to_numpy().astype(np.float64), first_n.to_numpy().astype(np.float64)
+            near = np.count_nonzero(sketches(sketch) == sketches(first_sketch), axis=1) >= least * COORDINATES
+            near &= (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (ids.to_numpy() != first.to_numpy())
+            at = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([ids.take(at), first.take(at)], names=["a", "b"])
+
+    return apply
+
+
+def _against_all(rows: DataFrame, size: int) -> DataFrame:
+    """Buckets of the few others of a large one with each block of its main group (rows with bucket, text_id, n, sketch, root, main, size)."""
+    blocks = F.ceil(F.col("size") / size).cast("int")
+    own = F.array(F.pmod(F.xxhash64("text_id"), blocks).cast("int"))
+    block = F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("block")
+    return rows.select("bucket", "text_id", "n", "sketch", block).select(F.xxhash64("bucket", "block").alias("bucket"), "text_id", "n", "sketch")
+
+
 # ---- components -------------------------------------------------------------------------------
 
 
@@ -263,9 +302,10 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # tables on both sides of the joins let Spark split a hot one
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         new = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         # a forest of stars has no root that is itself a leaf
@@ -346,9 +386,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``class_id``: smallest id of the connected component. ``n_links``: other documents at the threshold or
     more, copies counted. ``n_text_links``: different texts among them. ``n_copies``: rows with the same
-    set, this one included. Ids are integers; rows with a null id are left out.
+    set, this one included. Ids must be of an integer type. Rows with a null id have a null class, no links
+    and one copy, and are nobody's copy.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, and is {kind.simpleString()}")
     text_batches(spark, 256)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     described = written(rows.mapInArrow(_described, "id bigint, low bigint, high bigint, n int, mark array<int>"), "described")
@@ -362,7 +406,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = marks.mapInArrow(_walk(0, runs, DEPTH, threshold), _BUCKETS)
     agree = threshold + (1 - threshold) / 16  # four bits also agree by chance
     least = agree - 3 * math.sqrt(agree * (1 - agree) / COORDINATES)
-    met, stars = None, None
+    met, known, roots = None, [], None
     for depth in range(DEPTH, DEEPEST + 1):
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("text_id").alias("first"))
         large = written(sizes.where(F.col("size") > bucket).select("bucket", "first"), "large")
@@ -370,20 +414,31 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = small if met is None else met.unionByName(small)
         if large.isEmpty():
             break
-        rest = buckets.join(large, "bucket")
+        rest = written(buckets.join(large, "bucket"), "rest")
+        if roots is None:
+            pivots = rest.where("text_id = first").dropDuplicates(["bucket"]).select("bucket", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
+            known.append(written(rest.join(pivots, "bucket").select("text_id", "n", "sketch", "first", "first_n", "first_sketch").mapInArrow(_near_first(least, threshold), "a bigint, b bigint"), "pivots"))
+            roots = written(connected_components(known[0]), "roots")
+        placed = written(rest.join(roots, rest.text_id == roots.node, "left").select("bucket", "text_id", "n", "sketch", "first", F.coalesce("root", "text_id").alias("root")), "placed")
+        per = placed.groupBy("bucket", "root").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main"))
+        mixed = written(per.select("bucket", "main.root", F.col("main.size").alias("size"), (F.col("size") - F.col("main.size")).alias("others")).where("others > 0"), "mixed")
+        mine = placed.join(mixed.withColumnRenamed("root", "main"), "bucket")
+        met = met.unionByName(_against_all(mine.where(F.col("others") <= bucket), bucket))
+        rest = written(mine.where(F.col("others") > bucket).select("bucket", "text_id", "first"), "rest")
+        if rest.isEmpty():
+            break
         if depth == DEEPEST:
             # Alike in so many values that they count as likely; the exact comparison decides.
-            stars = rest.select(F.col("text_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+            known.append(rest.select(F.col("text_id").alias("a"), F.col("first").alias("b")).where("a <> b"))
         else:
-            split = rest.select("bucket", "text_id").join(marks, "text_id").select("bucket", "text_id", "n", "mark")
-            below = split.mapInArrow(_split(threshold), _BUCKETS)
+            below = rest.join(marks, "text_id").select("bucket", "text_id", "n", "mark").mapInArrow(_split(threshold), _BUCKETS)
             if depth == DEPTH:
                 # Their texts may go down to the deepest level, so they walk the runs that level requires.
                 crowded = marks.join(rest.select("text_id").distinct(), "text_id", "left_semi")
                 below = below.unionByName(crowded.mapInArrow(_walk(runs, runs_needed(recall, DEEPEST, threshold), DEPTH + 1, threshold), _BUCKETS))
             buckets = written(below, "buckets")
     likely = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_likely(least, threshold), "a bigint, b bigint")
-    near = written(connected_components(likely if stars is None else likely.unionByName(stars)), "near")
+    near = written(connected_components(reduce(DataFrame.unionByName, known, likely)), "near")
 
     # Members of a component are dealt out in blocks; every two blocks meet in one group.
     ranked = near.join(texts, near.node == texts.text_id).select("root", "text_id", "copies")
@@ -410,9 +465,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts.join(degree, "text_id", "left").join(classes.withColumnRenamed("node", "text_id"), "text_id", "left")
         .select("low", "high", "copies", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")), "classes")
     copies = F.coalesce("copies", F.lit(1))
-    return described.join(known, ["low", "high"], "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n_docs", F.lit(0)) + copies - 1).alias("n_links"),
+    out = described.join(known, ["low", "high"], "left").select(
+        "id", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n_docs", F.lit(0)) + copies - 1).alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).alias("n_text_links"), copies.alias("n_copies"))
+    none, number = F.lit(None).cast("bigint"), lambda n: F.lit(n).cast("bigint")
+    nameless = docs.where(F.col(id_col).isNull()).select(none.alias("id"), none.alias("class_id"), number(0).alias("n_links"), number(0).alias("n_text_links"), number(1).alias("n_copies"))
+    return out.unionByName(nameless).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
