@@ -102,6 +102,18 @@ def compare_and_set(rows: DataFrame, state: str, moves: dict[str, str], where: C
     return rows.withColumn("affected", F.coalesce(expected, F.lit(False))).withColumn(state, F.when(F.col("affected"), to).otherwise(F.col(state)))
 
 
+def patch(current: DataFrame, changes: DataFrame, key: str, columns: list[str], payload: str = "payload") -> DataFrame:
+    """Set the columns that a row's change (key, payload as JSON) names, to null where it says null; what it doesn't name stays."""
+    joined = current.join(changes.select(key, F.col(payload).alias("__p")), key, "left")
+    named = lambda c: F.coalesce(F.array_contains(F.json_object_keys("__p"), c), F.lit(False))
+    new = {c: F.when(named(c), F.get_json_object("__p", f"$.{c}").cast(current.schema[c].dataType)).otherwise(F.col(c)) for c in columns}
+    return joined.withColumns(new).select(*current.columns)
+
+
+def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return current.join(gone.select(key), key, "left_anti").select(*current.columns)
+
+
 def coalesce_upsert(current: DataFrame, batch: DataFrame, key: list[str], sticky: list[str]) -> DataFrame:
     """Upsert in which a null of the batch never erases a known value of ``sticky`` columns."""
     b, c = batch.alias("b"), current.alias("c")

@@ -128,7 +128,7 @@ def oldest_first_queue(spark, d):
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20 OFFSET 40")
 def list_page(spark, d):
-    """SRT-04, SRC-19, DML-18: a plain page, ordered by key."""
+    """SRT-04, SRC-19: a plain page, ordered by key."""
     return table(spark, d, "part").orderBy("p_partkey").offset(40).limit(20).select("p_partkey", "p_name")
 
 

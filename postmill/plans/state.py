@@ -99,6 +99,16 @@ def seed_boards(spark, d):
     return known.unionByName(M.insert_absent(known, seeds, ["ats_type", "ats_slug"])).select("ats_type", "ats_slug", "name")
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN s_name END AS s_name, CASE WHEN s_suppkey % 3 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(s_acctbal AS DOUBLE) END AS s_acctbal FROM supplier WHERE s_suppkey % 5 <> 0")
+def crud_patch_delete(spark, d):
+    """DML-18: only what a change names is set, a named null too; then rows are deleted by key."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    third = F.col("s_suppkey") % 3
+    payload = F.when(third == 0, F.concat(F.lit('{"s_name": "new '), F.col("s_suppkey").cast("string"), F.lit('", "s_acctbal": -1}'))).otherwise('{"s_name": null}')
+    changes = s.where("s_suppkey % 3 <> 1").select("s_suppkey", payload.alias("payload"))
+    return M.delete(M.patch(s, changes, "s_suppkey", ["s_name", "s_acctbal"]), s.where("s_suppkey % 5 = 0"), "s_suppkey")
+
+
 @query("SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), '0') AS BIGINT) % 2 AS k, event_type AS kind, user_id AS added FROM events")
 def json_shallow_merge(spark, d):
     """JSN-04: the right object's values replace the left's, whole; the rest stays."""

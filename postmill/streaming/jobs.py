@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_path
 
@@ -16,6 +17,11 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str) -> StreamingQuery:
+    """Process what has come at every interval, such as "6 hours", until the query is stopped; it can go on from its checkpoint."""
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 #: Parts of a snapshot, by hash of its key; fixed for its life. A batch rewrites the parts that it has keys of.
 PARTS = 64
 

@@ -83,6 +83,19 @@ def test_a_new_object_goes_on_from_the_folder(spark, tmp_path):
     assert run() == ([], rows)
 
 
+def test_a_periodic_run_takes_what_has_come(spark, tmp_path):
+    data = str(tmp_path / "in")
+    _arrivals(spark, data, [0, 1], 1)
+    stream = spark.readStream.schema(STATE).parquet(data)
+    snap = jobs.Snapshot(spark, str(tmp_path / "state"), stream.schema, ["user"], parts=4)
+    run = jobs.run_every(stream, jobs.merge_latest(snap, ["at"]), str(tmp_path / "offsets"), "1 second")
+    run.processAllAvailable()
+    _arrivals(spark, data, [1], 2)
+    run.processAllAvailable()
+    run.stop()
+    assert sorted((r["user"], r["v"]) for r in snap.read().collect()) == [(0, 1), (1, 2)]
+
+
 def test_a_replayed_batch_changes_nothing_and_others_parts_stay(spark, tmp_path):
     schema = spark.createDataFrame([], STATE).schema
     snap = jobs.Snapshot(spark, str(tmp_path / "state"), schema, ["user"], parts=16)
