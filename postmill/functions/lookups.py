@@ -109,14 +109,16 @@ def work_auth(text: Column) -> Column:
 
 def regions_named(text: Column) -> Column:
     """Sorted codes of the regions that a text names as whole words; US cities and states count for US."""
-    codes = []
-    for code, words in REGIONS.items():
-        hit = names(text, words)
-        if code == "US":
-            low = F.lower(text)
-            hit = hit | reduce(lambda a, b: a | b, [low.contains(c) for c in US_CITIES]) | text.rlike(r"(?i),\s*(" + "|".join(US_STATES) + r")([^\p{L}\p{N}_]|$)")
-        codes.append(F.when(hit, F.lit(code)))
-    return F.array_sort(F.array_compact(F.array(*codes)))
+    def codes(low: Column) -> Column:
+        found = []
+        for code, words in REGIONS.items():
+            hit = reduce(lambda a, b: a | b, [low.contains(w.lower()) for w in words]) & text.rlike(whole_word(words))
+            if code == "US":
+                hit = hit | reduce(lambda a, b: a | b, [low.contains(c) for c in US_CITIES]) | text.rlike(r"(?i),\s*(" + "|".join(US_STATES) + r")([^\p{L}\p{N}_]|$)")
+            found.append(F.when(hit, F.lit(code)))
+        return F.array_sort(F.array_compact(F.array(*found)))
+
+    return F.get(F.transform(F.array(F.lower(text)), codes), F.lit(0))
 
 
 def open_to_world(text: Column, named: Column) -> Column:

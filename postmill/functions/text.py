@@ -65,6 +65,11 @@ def dedupe_key(company: Column, title: Column, place: Column) -> Column:
     return F.when((c != "") & (t != ""), F.concat_ws("|", c, t, normalize_location(place)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slugify(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
 
@@ -82,8 +87,7 @@ def any_word(text: Column, terms: list[str]) -> Column:
     terms = [t.strip() for t in terms if t.strip()]
     if not terms:
         return F.lit(False)
-    low = F.lower(text)
-    there = reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in terms])
+    there = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in terms]))
     return F.coalesce(there & text.rlike("(?i)" + "|".join(f"({word_pattern(t)[4:]})" for t in terms)), F.lit(False))
 
 

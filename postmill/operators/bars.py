@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions.text import let
 
 # Demands and evidence.
 LANGUAGES = [("Mandarin", r"bilingual [^.]{0,30}mandarin|mandarin (?:is )?required", ["mandarin", "chinese"]),
@@ -31,10 +32,13 @@ def _any(text: Column, words: list[str]) -> Column:
 def country_bar(places: Column, authorised: Column) -> Column:
     """Places that name regions which the authorised ones don't reach. A null authorisation is unknown, an empty one is not."""
     joined = F.array_join(places, " ")
-    wanted = L.regions_named(joined)
-    barred = authorised.isNotNull() & (F.size(places) > 0) & (F.size(wanted) > 0) & ~L.open_to_world(joined, wanted) & ~L.covers(authorised, wanted)
     home = F.coalesce(F.nullif(F.array_join(F.array_sort(authorised), "/"), F.lit("")), F.lit("nowhere stated"))
-    return F.when(barred, F.concat(F.lit("role is based in "), F.array_join(wanted, "/"), F.lit("; profile is authorised to work in "), home))
+
+    def bar(wanted: Column) -> Column:
+        barred = authorised.isNotNull() & (F.size(places) > 0) & (F.size(wanted) > 0) & ~L.open_to_world(joined, wanted) & ~L.covers(authorised, wanted)
+        return F.when(barred, F.concat(F.lit("role is based in "), F.array_join(wanted, "/"), F.lit("; profile is authorised to work in "), home))
+
+    return let(L.regions_named(joined), bar)
 
 
 def _first(rules: list[Column]) -> Column:

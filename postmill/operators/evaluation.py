@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lookups import covers, open_to_world, regions_named
-from ..functions.text import any_word
+from ..functions.text import any_word, let
 
 
 def sweep(judged: DataFrame, score: str, relevant: str, top: int = 100, step: int = 5) -> DataFrame:
@@ -68,8 +68,7 @@ def on_craft(jobs: DataFrame, skills: list[str], key: str = "id", least: int = 2
 def reachable(places: Column, authorised: Column) -> Column:
     """Is a place one that the authorised regions are known to reach; without any authorised, every one is. Unlike a bar, unknown is no."""
     joined = F.array_join(places, " ")
-    wanted = regions_named(joined)
-    known = open_to_world(joined, wanted) | ((F.size(wanted) > 0) & covers(authorised, wanted))
+    known = let(regions_named(joined), lambda wanted: open_to_world(joined, wanted) | ((F.size(wanted) > 0) & covers(authorised, wanted)))
     return (F.coalesce(F.size(authorised), F.lit(0)) <= 0) | F.coalesce(known, F.lit(False))
 
 
