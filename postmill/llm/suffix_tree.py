@@ -218,25 +218,43 @@ def _level(texts: DataFrame, shorter: DataFrame, level: int, least_count: int, l
 
 
 class _Hot:
-    """Rows of a table by their key, which is sorted; a bit set spares most searches."""
-
-    def __init__(self, rows: pa.Table, names: list[str]):
-        self.keys = rows["key"].to_numpy().view(np.uint64)
-        order = np.argsort(self.keys)
-        self.keys, self.columns, self.bits = self.keys[order], [rows[n].to_numpy()[order] for n in names], None
+    """Rows by their key. Keys are hashes, so that their first bits tell about where a key stands: a search looks at one or two."""
+
+    def __init__(self, rows: DataFrame, names: list[str]):
+        # sorted as unsigned numbers, by Spark, to spare the driver a copy
+        found = rows.select("key", *names).orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).toArrow()
+        self.keys, self.columns, self.begins = found["key"].to_numpy().view(np.uint64), [found[n].to_numpy() for n in names], None
+
+    def _prepare(self) -> None:
+        self.shift = np.uint64(64 - max(1, int(np.log2(max(2, len(self.keys))))))
+        heads = (self.keys >> self.shift).astype(np.int64)
+        self.begins = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.begins).max(initial=0))
+        bits = np.zeros(SET_BITS, bool)
+        bits[_slot(self.keys)] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Positions of the keys that are there, and the columns' values for them."""
-        if self.bits is None:
-            bits = np.zeros(SET_BITS, bool)
-            bits[_slot(self.keys)] = True
-            self.bits = np.packbits(bits, bitorder="little")
-        maybe = np.flatnonzero(_in(self.bits, keys))
-        if not len(maybe) or not len(self.keys):
+        if self.begins is None:
+            self._prepare()
+        left = np.flatnonzero(_in(self.bits, keys))
+        head = (keys[left] >> self.shift).astype(np.int64)
+        at, end = self.begins[head], self.begins[head + 1]
+        hits, places = [], []
+        for _ in range(self.most):
+            some = at < end
+            left, at, end = left[some], at[some], end[some]
+            if not len(left):
+                break
+            hit = self.keys[at] == keys[left]
+            hits.append(left[hit])
+            places.append(at[hit])
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        if not hits:
             return np.empty(0, np.int64), [c[:0] for c in self.columns]
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == keys[maybe]
-        return maybe[hit], [c[at[hit]] for c in self.columns]
+        places = np.concatenate(places)
+        return np.concatenate(hits), [c[places] for c in self.columns]
 
 
 def _most_frequent(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -277,7 +295,7 @@ def fit(training: DataFrame, text_col: str = "text", depth: int = DEPTH, least_c
         nodes = both if nodes is None else nodes.unionByName(both)
     nodes = written(nodes.groupBy("key").agg(F.max("n").alias("n"), F.max("lp").cast("float").alias("lp"), F.max("esc").cast("float").alias("esc")), "nodes")
     hot, cold = _most_frequent(nodes, hot_nodes)
-    model = {"words": _Hot(_most_frequent(words, hot_words)[0].toArrow(), ["n"]), "nodes": _Hot(hot.select("key", "lp", "esc").toArrow(), ["lp", "esc"]),
+    model = {"words": _Hot(_most_frequent(words, hot_words)[0], ["n"]), "nodes": _Hot(hot, ["lp", "esc"]),
              "cold": None if cold is None else _bit_set(cold.select("key"), PROBES)}
     return SuffixTree(spark.sparkContext.broadcast(model), words, None if cold is None else cold.select("key", "lp", "esc"), depth, total, distinct)
 
@@ -310,10 +328,11 @@ def _score(hot: Broadcast, depth: int, scale: float):
                 words, offsets = _tokens(batch.column(3))
                 n, rows = len(words), len(offsets) - 1
                 row = np.repeat(np.arange(rows), np.diff(offsets))
-                heard = np.zeros(n, bool)
-                base = np.zeros(n)
-                found, (counts,) = m["words"].get(words)
-                heard[found], base[found] = True, np.log10((counts + 1) / scale)
+                different, where = np.unique(words, return_inverse=True)
+                found, (counts,) = m["words"].get(different)
+                known, log = np.zeros(len(different), bool), np.zeros(len(different))
+                known[found], log[found] = True, np.log10((counts + 1) / scale)
+                heard, base = known[where], log[where]
                 left, probs, keys, waits = [], [np.where(heard, base, np.nan)], {depth: words}, {depth: ~heard}
                 value, low, open_ = base.copy(), np.ones(n, bool), np.zeros(n, bool)
                 for level, context, _, run, there in _runs(words, offsets, depth):
