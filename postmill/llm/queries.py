@@ -8,6 +8,7 @@ from .fingerprint import op2_fingerprints
 from .langid import op1_language
 from .licences import OP4_SQL, op4_licences
 from .pii import op7_pii
+from .repeats import OP11_SQL, op11_substring_dedup
 from .secret_scan import op8_secrets
 from .soft_mixing import op10_soft_mixing
 from .suffix_tree import op3_lm_scores
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 #: Where SQL cannot express a query, tests/llm hold it against a brute-force version.
@@ -31,4 +33,5 @@ ORACLES = {
     "op4_licences": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_warc": OP9_SQL,
+    "op11_substring_dedup": OP11_SQL,
 }

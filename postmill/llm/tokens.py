@@ -43,27 +43,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Alphabet:
-    """Which bytes belong to words, and what each counts as; A-Z count as a-z."""
+    """Which bytes belong to words, and what each counts as; A-Z count as a-z unless ``fold`` is off."""
 
-    def __init__(self, is_word: np.ndarray):
+    def __init__(self, is_word: np.ndarray, fold: bool = True):
         self.is_word = is_word
-        fold = np.arange(256)
-        fold[65:91] += 32
-        self.value = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[fold]
+        as_what = np.arange(256)
+        as_what[65:91] += 32 * fold
+        self.value = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[as_what]
 
 
-def _alphabet(separators: list[tuple[int, int]]) -> Alphabet:
+def _alphabet(separators: list[tuple[int, int]], fold: bool = True) -> Alphabet:
     is_word = np.ones(256, bool)
     for a, b in separators:
         is_word[a : b + 1] = False
     is_word[65:91] = is_word[97:123]
-    return Alphabet(is_word)
+    return Alphabet(is_word, fold)
 
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower-cased.
 LETTERS = _alphabet([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 #: Words [^\x20\x09-\x0D]+ once A-Z are lower-cased.
 BLANKS = _alphabet([(0x20, 0x20), (0x09, 0x0D)])
+#: The same words as they stand.
+EXACT = _alphabet([(0x20, 0x20), (0x09, 0x0D)], fold=False)
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
