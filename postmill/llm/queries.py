@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chosen_path import op6_jaccard_join
+from .conversation_trie import OP13_SQL, op13_prefix_trie
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .fingerprint import op2_fingerprints
 from .langid import op1_language
@@ -11,6 +12,7 @@ from .pii import op7_pii
 from .repeats import OP11_SQL, op11_substring_dedup
 from .secret_scan import op8_secrets
 from .soft_mixing import op10_soft_mixing
+from .spelling import OP12_SQL, op12_spelling_variants
 from .suffix_tree import op3_lm_scores
 from .zip_warc import OP9_SQL, op9_warc
 
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_soft_mixing": op10_soft_mixing,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Where SQL cannot express a query, tests/llm hold it against a brute-force version.
@@ -34,4 +38,6 @@ ORACLES = {
     "op5_decontaminate": OP5_SQL,
     "op9_warc": OP9_SQL,
     "op11_substring_dedup": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
