@@ -39,8 +39,8 @@ from .tokens import _BASE, EXACT, hash_words, mix
 WINDOW = 35
 #: Lengths of prefixes that divide suffixes into groups; after the last that is shorter than a window comes the window itself.
 PREFIXES = (4, 8, 16, 32)
-#: Windows of one task's tree.
-CHUNK = 1 << 21
+#: Windows of one task's tree, and those whose hashes are worked out in one go.
+CHUNK, SLICE = 1 << 21, 1 << 18
 #: Suffixes of a group, about, up to ``MOST_GROUPS`` of them; beyond that groups grow.
 GROUP, MOST_GROUPS = 1 << 18, 1 << 18
 #: A prefix of more suffixes than this, and than a share of 1/MOST_GROUPS of all, is made longer: at most MOST_GROUPS of a length are broadcast.
@@ -70,37 +70,36 @@ def _prefixes(window: int) -> list[int]:
     return [p for p in PREFIXES if p < window]
 
 
-def _chunks(batches, window: int, size: int):
-    """Yield (pieces, paths, prefixes) for up to ``size`` windows of Arrow batches (key, text). A piece is a text's key, the word it
-    begins with and its windows; paths has one hash for each window, prefixes maps the lengths to one for each."""
-    lengths, held, pieces, n = _prefixes(window), [], [], 0
-
-    def gathered():
-        return pieces, *(np.concatenate([h[k] for h in held]) for k in range(2))
-
+def _chunks(batches, window: int, size: int, kept):
+    """Yield (pieces, arrays) for up to ``size`` windows of Arrow batches (key, text). A piece is a text's key, the word it begins with and
+    its windows; ``kept`` makes of the hashes of some windows, by length, the arrays that are held for each. They are used again after a chunk."""
+    held, pieces, n = [], [], 0
     for batch in batches:
         words, rows = hash_words(batch.column(1), EXACT)
         counts = np.maximum(np.diff(rows) - window + 1, 0)
         ends = np.cumsum(counts)
         begins, a = ends - counts, 0
         while len(ends) and a < ends[-1]:
-            b = int(min(ends[-1], a + size - n))
+            b = int(min(ends[-1], a + size - n, a + SLICE))
             some = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(begins, b))
             some = some[counts[some] > 0]
             first, last = np.maximum(begins[some], a), np.minimum(ends[some], b)
             at = np.repeat(rows[some] - begins[some], last - first) + np.arange(a, b)
             found = _paths(words[at[0] : at[-1] + window], window)
             at -= at[0]
-            held.append((mix(found[window][at]), np.stack([found[p][at] for p in lengths], 1) if lengths else np.empty((len(at), 0), np.uint64)))
+            made = kept({p: h[at] for p, h in found.items() if p == window or p in PREFIXES}, window)
+            held = held or [np.empty(size, m.dtype) for m in made]
+            for whole, m in zip(held, made):
+                whole[n : n + b - a] = m
             keys = batch.column(0).take(pa.array(some)).to_pylist()
             pieces += zip(keys, (first - begins[some]).tolist(), (last - first).tolist())
             n += b - a
             a = b
             if n >= size:
-                yield gathered()
-                held, pieces, n = [], [], 0
+                yield pieces, [h[:n] for h in held]
+                pieces, n = [], 0
     if n:
-        yield gathered()
+        yield pieces, [h[:n] for h in held]
 
 
 def _runs(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,16 +113,21 @@ def _runs(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count_prefixes(window: int, size: int, share: int):
     """(length, prefix, n): prefixes that at least a ``share``-th part of a chunk's different windows have; length 0 counts all."""
 
+    def kept(hashes, window):
+        return [hashes[window], *(hashes[p] for p in _prefixes(window))]
+
     def apply(batches):
-        for _, paths, prefixes in _chunks(batches, window, size):
+        for _, (paths, *prefixes) in _chunks(batches, window, size, kept):
             order, begins, _ = _runs(paths)
-            left = prefixes[np.minimum.reduceat(order, begins)]
+            left = order[begins]
+            del order
             out = [(0, np.zeros(1, np.uint64), np.array([len(begins)]))]
             least = max(2, len(begins) // share)
-            for k, length in enumerate(_prefixes(window)):
-                found, back, n = np.unique(left[:, k], return_inverse=True, return_counts=True)
-                out.append((length, found[n >= least], n[n >= least]))
-                left = left[(n >= least)[back]]
+            for length, values in zip(_prefixes(window), prefixes):
+                found, n = np.unique(values[left], return_counts=True)
+                found, n = found[n >= least], n[n >= least]
+                out.append((length, found, n))
+                left = left[np.isin(values[left], found)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int32()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)),
                  pa.array(np.concatenate([o[2] for o in out]), pa.int64())], names=["length", "prefix", "n"])
@@ -131,15 +135,20 @@ def _count_prefixes(window: int, size: int, share: int):
     return apply
 
 
-def _group(paths: np.ndarray, prefixes: np.ndarray, lengths: list[int], large: dict[int, np.ndarray], n_groups: int) -> np.ndarray:
-    """The group of each suffix: that of its shortest prefix that isn't too common, or of its whole window."""
-    by, left = paths.copy(), np.arange(len(paths))
-    for k, length in enumerate(lengths):
-        common = np.isin(prefixes[left, k], large[length]) if len(large[length]) else np.zeros(len(left), bool)
-        fine = left[~common]
-        by[fine] = prefixes[fine, k] + np.uint64(length)
-        left = left[common]
-    return (mix(by) % np.uint64(n_groups)).astype(np.int64)
+def _grouped(large: dict[int, np.ndarray], n_groups: int):
+    """Path and group of each suffix: the group is that of its shortest prefix that isn't too common, or of its whole window."""
+
+    def kept(hashes, window):
+        paths = mix(hashes[window])
+        by, left = paths.copy(), np.arange(len(paths))
+        for length in _prefixes(window):
+            prefixes = hashes[length][left]
+            common = np.isin(prefixes, large[length])
+            by[left[~common]] = prefixes[~common] + np.uint64(length)
+            left = left[common]
+        return paths, (mix(by) % np.uint64(n_groups)).astype(np.int32)
+
+    return kept
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -172,8 +181,7 @@ def _suffixes(window: int, size: int, large: Broadcast, n_groups: int):
     """A chunk's own repeats, and for each group what it sends there: one suffix of each different window, with its place."""
 
     def apply(batches):
-        lengths = _prefixes(window)
-        for pieces, paths, prefixes in _chunks(batches, window, size):
+        for pieces, (paths, group) in _chunks(batches, window, size, _grouped(large.value, n_groups)):
             order, begins, leaves = _runs(paths)
             first = np.minimum.reduceat(order, begins)
             known = np.zeros(len(paths), bool)
@@ -181,9 +189,8 @@ def _suffixes(window: int, size: int, large: Broadcast, n_groups: int):
             directory = _directory(pieces)
             chunk = int.from_bytes(hashlib.blake2b(directory, digest_size=8).digest(), "little", signed=True)
             out = [(chunk % n_groups, chunk, _DIRECTORY, directory), (chunk % n_groups, chunk, _KNOWN, np.packbits(known).tobytes())]
-            group = _group(paths[first], prefixes[first], lengths, large.value, n_groups)
-            by = np.argsort(group << 32 | first)
-            group, first = group[by], first[by]
+            by = np.sort(group[first].astype(np.int64) << 32 | first)
+            group, first = by >> 32, by & 0xFFFFFFFF
             sent, asks = paths[first], known[first]
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
