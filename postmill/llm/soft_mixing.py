@@ -8,10 +8,11 @@ domain, rate * tokens * posterior summed over documents, match the targets.
 A document's rate is that of its cell: documents whose posteriors are equal on a grid, whose number
 has a bound that the corpus does not move. A cell carries the expected tokens per domain of its
 documents by their posteriors as they are, not rounded, so totals are matched exactly. Each
-gradient step is one aggregation over the cells, of which one number per domain comes back, and
-the steps together give a cell's rate as an expression of the grid's posteriors: nothing is joined
-back. Steps end when every domain's share is within ``CLOSE`` of its target, or after ``STEPS``; the
-largest miss is returned as a column, and a warning is given where it is not within ``CLOSE``.
+gradient step is one aggregation over the cells, of which one number per domain comes back. Steps end when
+every domain's share is within ``CLOSE`` of its target, or after ``STEPS``; the largest miss is returned as
+a column, and a warning is given where it is not within ``CLOSE``. Posteriors are worked out once and written with
+what is carried, and rates are rows of a table of cells, joined on the cell: a filter on the result's columns
+reaches a stored column, and repeats no expression.
 
 Null texts count as empty: no words, and a rate like other documents of such posteriors. Without
 labelled rows all domains are equally likely. Labels of one id are taken once, the least domain in
@@ -21,6 +22,7 @@ Columns of the documents that are named like one of the result's are kept, with
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 from functools import reduce
@@ -36,6 +38,8 @@ TRAINING_ROWS = 20_000
 FEATURES = 256
 #: Parts of one on the grid that makes cells of posteriors.
 GRID = 32
+#: Cells that are broadcast at most (some 50 bytes each).
+MOST_CELLS = 1 << 16
 STEPS = 60
 CLOSE = 1e-4
 #: Naive likelihoods of one text are not independent; their logarithm is scaled.
@@ -146,12 +150,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
 
 def _rate(cell: Column, pulls: list[list[float]], domains: int) -> Column:
     """Rate after the given steps from 1: each lowers it by the domains' pulls, weighted by posteriors, and keeps it nonnegative."""
-    one = F.lit(1.0)
-    if not pulls:
-        return one
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in p)) for p in pulls))
+    # as one literal, so that the steps' plans have the same compiled code
+    steps = F.from_json(F.lit(json.dumps(pulls)), "array<array<double>>")
     along = lambda p: reduce(lambda a, b: a + b, [p[k] * cell[k] for k in range(domains)]) / GRID
-    return F.aggregate(steps, one, lambda r, p: F.greatest(F.lit(0.0), r - along(p)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, p: F.greatest(F.lit(0.0), r - along(p)))
 
 
 def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], float]:
@@ -183,7 +185,7 @@ def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, close:
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
                    domain_col: str = "domain", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` of ``docs`` (all by default) with n_tokens, p_<domain>, rate and target_miss; targets are taken as
-    shares of their sum, of the corpus's tokens. Posteriors are worked out once where the text isn't carried, else once more at the end."""
+    shares of their sum, of the corpus's tokens. What is carried is written once."""
     domains, total = list(targets), sum(targets.values())
     model = fit_classifier(docs, labels, domains, id_col, text_col, domain_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -198,18 +200,18 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     tokens = F.size(F.array_remove(_words(text), "")).cast("bigint")
     kept = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in mine), text.alias("__text"), tokens.alias("n_tokens"))
     scored = model.with_posteriors(kept, F.col("__text")).drop("__text")
-    # written before it is summed: one stage with all these expressions would be too large to compile
-    if text_col in mine:
-        parts = written(scored.select("n_tokens", "__p", "__cell"), "posteriors")
-    else:
-        parts = scored = written(scored, "posteriors")
+    scored = written(scored, "posteriors")
     expected = F.array(*(F.sum(F.col("n_tokens") * F.col("__p")[k]) for k in range(len(domains))))
-    cells = written(parts.groupBy(F.col("__cell").alias("cell")).agg(expected.alias("expected")), "cells")
+    cells = written(scored.groupBy(F.col("__cell").alias("cell")).agg(expected.alias("expected")), "cells")
     pulls, miss = fit_rates(cells, [t / total for t in targets.values()])
     if miss >= CLOSE:
         warnings.warn(f"expected shares of tokens miss their targets by up to {miss:.2g}", stacklevel=2)
-    return scored.select(*(F.col(f"`{names[c]}`") for c in mine), "n_tokens", *(F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(domains)),
-                         F.round(_rate(F.col("__cell"), pulls, len(domains)), 6).alias("rate"), F.lit(float(miss)).alias("target_miss"))
+    rates = written(cells.select(F.col("cell").alias("__cell"), F.round(_rate(F.col("cell"), pulls, len(domains)), 6).alias("__rate")), "rates")
+    # cells are ways to deal GRID parts to the domains: 561 for three of them; sent everywhere only where that is few
+    if math.comb(GRID + len(domains) - 1, GRID) <= MOST_CELLS:
+        rates = F.broadcast(rates)
+    return scored.join(rates, "__cell").select(*(F.col(f"`{names[c]}`") for c in mine), "n_tokens", *(F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(domains)),
+                                               F.col("__rate").alias("rate"), F.lit(float(miss)).alias("target_miss"))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
