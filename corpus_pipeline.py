@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns;
 the last one adds tokens, domain posteriors and rates. Decisions are taken per doc_id: rows that
-share an id go together. Rows with a null doc_id can't be named and stay.
+share an id go together, but for near duplicates, where the texts under one id are judged one by one and repeated
+rows become one. Rows with a null doc_id can't be named and stay.
 """
 
 from __future__ import annotations
@@ -31,14 +32,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, found.where("rejected"), "rejected")
 
 
+def _by_text(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, an integer for each different (doc_id, text): the id itself for the least text of an id by digest, and numbers
+    above all ids for its other texts. Of rows of equal id and text, the one whose columns come first as JSON stays."""
+    texts = docs.withColumn("__digest", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    several = texts.join(repeated, "doc_id", "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = several.groupBy("doc_id", "__digest").agg(F.min_by(whole, F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("__whole"))
+    one = written(one.withColumn("__more", F.monotonically_increasing_id()), "one-of-each")
+    least = one.groupBy("doc_id").agg(F.min("__digest").alias("__least"))
+    above = docs.agg(F.max("doc_id")).first()[0] + 1
+    row = F.when(F.col("__digest") == F.col("__least"), F.col("doc_id")).otherwise(F.col("__more") + F.lit(above))
+    ours = one.join(least, "doc_id").select(*(F.col("__whole")[c].alias(c) for c in docs.columns), row.alias("__row"))
+    return docs.join(repeated, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns), F.col("doc_id").alias("__row")).unionByName(ours)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies."""
-    found = jaccard_classes(docs)
-    kept = _without(docs, found.where("class_id <> doc_id"), "copies")
+    """One document, that of the smallest id, of each class of near copies; different texts under one id go by the class of each."""
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*(f"`{c}`" for c in docs.columns))
+        return _without(docs, jaccard_classes(docs).where("class_id <> doc_id"), "copies")
+    rows = written(_by_text(docs, repeated), "rows")
+    found = jaccard_classes(rows, "__row").where("class_id <> __row").select("__row")
+    return rows.join(written(found, "copies"), "__row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
