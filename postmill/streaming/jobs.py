@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_path
+from .store import Store, Table
 
 
 def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -22,58 +23,32 @@ def run_every(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-#: Parts of a snapshot, by hash of its key; fixed for its life. A batch rewrites the parts that it has keys of.
-PARTS = 64
-
-
 class Snapshot:
-    """A keyed table in a shared folder, in parts by hash of the key.
+    """One keyed table of a store: parts are rewritten where a batch has keys of them, and split as they grow; ``parts``, a power of two, is where it begins.
 
-    A version has the parts that its batch touched, and a small list that says for every part which version
-    holds it; the list is written last, and a version without it doesn't count. Everything is in the folder: a new
-    object over it goes on where the last one ended. A batch that comes again starts from the versions
-    before it, and so gives what it gave."""
+    A batch that comes again after its version was done changes nothing."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema, key: list[str], parts: int = PARTS):
-        self.spark, self.folder, self.schema, self.key, self.parts = spark, folder.rstrip("/"), schema, key, parts
+    def __init__(self, spark: SparkSession, folder: str, schema, key: list[str], parts: int = 1, rows: int = 1 << 20):
+        self.spark, self.schema, self.key = spark, schema, key
+        self.store = Store(spark, folder, {"rows": Table(schema, tuple(key), parts, rows)})
 
     def versions(self) -> list[int]:
         """Numbers of the complete versions, in order."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/lists")
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        there = [s.getPath() for s in files.listStatus(root)]
-        done = [p.getName() for p in there if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(name) for name in done)
-
-    def holders(self, before: int | None = None) -> dict[int, int]:
-        """For each part there is the version that holds it, as of the last version (before a given one)."""
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
-            return {}
-        rows = self.spark.read.schema("part int, version bigint").parquet(f"{self.folder}/lists/{known[-1]}").collect()
-        return {r["part"]: r["version"] for r in rows}
-
-    def _rows(self, holders: dict[int, int]) -> DataFrame:
-        if not holders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/rows/{v}/part={p}" for p, v in sorted(holders.items())))
+        return self.store.versions()
+
+    def holders(self) -> dict[int, int]:
+        """For each part that has rows, by its first hash value, there is the version that wrote it."""
+        return {p.start: p.version for p in self.store.parts("rows") if p.path}
 
     def read(self) -> DataFrame:
-        return self._rows(self.holders())
+        return self.store.read("rows")
 
     def replace(self, batch: DataFrame, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Write the version that ``merge`` (old rows, new rows) gives for the parts that the batch has keys of."""
-        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
-        rows = batch.select(*self.schema.fieldNames())
-        touched = sorted(r["part"] for r in rows.select(part.alias("part")).distinct().collect())
-        holders = self.holders(before=version)
-        if touched:
-            merged = merge(self._rows({p: v for p, v in holders.items() if p in touched}), rows)
-            merged.withColumn("part", part).repartition(len(touched), "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/rows/{version}")
-        lists = {**holders, **dict.fromkeys(touched, version)}
-        self.spark.createDataFrame(sorted(lists.items()), "part int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
+        new = self.store.begin(version)
+        if new is not None:
+            self.store.merge(new, "rows", batch.select(*self.schema.fieldNames()), merge)
+            self.store.commit(new)
 
 
 def merge_latest(snapshot: Snapshot, order: list[str]) -> Callable[[DataFrame, int], None]:
