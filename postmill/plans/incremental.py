@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators.readmodel import append_events, read_events
 from ..session import shared_path, table
 from ..streaming import jobs as J
-from .base import query
+from ..streaming.ingest import Ingest
+from .base import RUN, query
 
 
 def _stream(spark, d):
@@ -90,3 +91,74 @@ def audit_append(spark, d):
     for run in (0, 1):
         append_events(e.where(F.col("event_id") % 2 == run), path)
     return read_events(spark, path).groupBy("user_id", "type").agg(F.count("*").alias("n"), F.max(F.get_json_object("payload_json", "$.event_id").cast("bigint")).alias("last"))
+
+
+# ---- feeds into state: three runs over orders as postings, of which each misses some ----
+
+_POSTING = "source string, external_id string, price double, raw_json string"
+
+
+def _run(spark, d, r):
+    """What run ``r`` delivers: a seventh of the orders is missing; of the lowest priority nearly all is, in run 1; some have changed."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    there = (k % 7 != r) & ((F.col("o_orderpriority") != "5-LOW") | (k % 10 == 0) if r == 1 else F.lit(True))
+    value = F.when((k % 5 == r) & (F.lit(r) > 0), r).otherwise(0)
+    return o.where(there).select(F.col("o_orderpriority").alias("source"), k.cast("string").alias("external_id"), (F.col("o_totalprice") + value).alias("price"),
+                                 F.to_json(F.struct(value.alias("v"))).alias("raw_json"), (F.lit(RUN) + F.expr(f"INTERVAL {r} DAYS")).alias("fetched_at"))
+
+
+def _ingested(spark, d):
+    """The state after three runs, each of which a stream takes up as it comes."""
+    folder = shared_path(spark, "ingest")
+    ingest = Ingest(spark, f"{folder}/state", _POSTING, rows=1 << 18)
+    for r in range(3):
+        _run(spark, d, r).write.mode("append").parquet(f"{folder}/in")
+        ingest.run(spark.readStream.schema(f"{_POSTING}, fetched_at timestamp").parquet(f"{folder}/in"), f"{folder}/offsets")
+    return ingest
+
+
+def _ingest_sql() -> str:
+    """What is delivered, whether it may close, and the state, run by run."""
+    steps = []
+    for r in range(3):
+        there = f"o_orderkey % 7 <> {r}" + (" AND (o_orderpriority <> '5-LOW' OR o_orderkey % 10 = 0)" if r == 1 else "")
+        steps.append(f"i{r} AS (SELECT o_orderkey AS k, o_orderpriority AS source, CASE WHEN o_orderkey % 5 = {r} AND {r} > 0 THEN {r} ELSE 0 END AS v, o_totalprice AS p FROM orders WHERE {there})")
+        before = f"LEFT JOIN g{r - 1} AS b ON b.source = a.source" if r else ""
+        steps.append(f"g{r} AS (SELECT a.source, a.n, {'coalesce(a.n >= b.n * 0.5, true)' if r else 'true'} AS may FROM (SELECT source, count(*) AS n FROM i{r} GROUP BY 1) AS a {before})")
+        if not r:
+            steps.append("s0 AS (SELECT k, source, v, p + v AS price, 0 AS created, 0 AS updated, NULL::INT AS closed, 'insert' AS op FROM i0)")
+            continue
+        op = "CASE WHEN s.k IS NULL THEN 'insert' WHEN i.k IS NULL AND s.closed IS NULL AND g.may THEN 'close' WHEN i.k IS NOT NULL AND (i.v <> s.v OR s.closed IS NOT NULL) THEN 'update' ELSE 'unchanged' END"
+        steps.append(f"j{r} AS (SELECT coalesce(s.k, i.k) AS k, coalesce(s.source, i.source) AS source, s.v AS v0, s.price AS price0, s.created AS created0, s.updated AS updated0, s.closed AS closed0, i.v AS v1, i.p + i.v AS price1, {op} AS op "
+                     f"FROM s{r - 1} AS s FULL JOIN i{r} AS i ON i.k = s.k LEFT JOIN g{r} AS g ON g.source = coalesce(s.source, i.source))")
+        new = "op IN ('insert', 'update')"
+        steps.append(f"s{r} AS (SELECT k, source, CASE WHEN {new} THEN v1 ELSE v0 END AS v, CASE WHEN {new} THEN price1 ELSE price0 END AS price, coalesce(created0, {r}) AS created, CASE WHEN {new} THEN {r} ELSE updated0 END AS updated, "
+                     f"CASE WHEN op = 'close' THEN {r} WHEN {new} THEN NULL ELSE closed0 END AS closed, op FROM j{r})")
+    return "WITH " + ",\n".join(steps)
+
+
+_DAYS = lambda c: F.datediff(c, F.lit(RUN))
+
+
+@query(f"{_ingest_sql()} SELECT k, source, round(price, 2) AS price, created, updated, closed FROM s2")
+def stream_ingest_state(spark, d):
+    """STM-02, DML-01, DML-02, DML-04, STM-05, FLT-19: diffs and closings of three runs of a stream; a source that delivers much less closes nothing."""
+    return _ingested(spark, d).read().select(F.col("external_id").cast("bigint").alias("k"), "source", F.round("price", 2).alias("price"),
+                                             _DAYS("created_at").alias("created"), _DAYS("updated_at").alias("updated"), _DAYS("closed_at").alias("closed"))
+
+
+@query(_ingest_sql() + " " + " UNION ALL ".join(
+    f"SELECT {r} AS run, g.source, g.n AS fetched, g.may AS may_close, count(*) FILTER (WHERE s.op = 'insert') AS inserted, count(*) FILTER (WHERE s.op = 'update') AS updated, count(*) FILTER (WHERE s.op = 'close') AS closed FROM g{r} AS g JOIN s{r} AS s ON s.source = g.source GROUP BY ALL" for r in range(3)))
+def stream_ingest_audit(spark, d):
+    """SNK-01, STM-07, STM-08: one audit row a run and source, of the same versions as the state."""
+    counts = "fetched bigint, may_close boolean, inserted bigint, updated bigint, closed bigint"
+    events = _ingested(spark, d).read("audit").select(_DAYS("created_at").alias("run"), F.from_json("payload_json", f"source string, {counts}").alias("p"))
+    return events.select("run", "p.source", "p.fetched", "p.may_close", "p.inserted", "p.updated", "p.closed")
+
+
+@query(_ingest_sql() + """ SELECT s2.k, CASE WHEN s0.k IS NULL THEN 'insert' WHEN s0.closed IS NULL AND s2.closed IS NOT NULL THEN 'close' ELSE 'update' END AS change
+FROM s2 LEFT JOIN s0 USING (k) WHERE s0.k IS NULL OR s0.updated <> s2.updated OR s0.closed IS DISTINCT FROM s2.closed""")
+def stream_change_feed(spark, d):
+    """STM-12: what became of the postings from the first version to the last, from the parts that differ."""
+    ingest = _ingested(spark, d)
+    return ingest.changes(ingest.store.versions()[0]).select(F.col("external_id").cast("bigint").alias("k"), F.col("_change").alias("change"))

@@ -196,16 +196,16 @@ class Store:
 
     # ---- what changed, and what can go ----
 
-    def changes(self, table: str, before: int | None, after: int | None = None, closed: str | None = None) -> DataFrame:
+    def changes(self, table: str, before: int | None, after: int | None = None, closed: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
         """What a keyed table's rows became from one version (none: from nothing) to another: the columns of the later row, the earlier one of those
-        deleted, and ``_change``: insert, update, delete, and with ``closed``, a column that is null of open rows, close and reopen.
+        deleted, and ``_change``: insert, update, delete, and with ``closed``, a column that is null of open rows, close and reopen. Columns of ``ignore`` may differ.
 
         Only parts whose files differ are read."""
         t = self.tables[table]
         old = [] if before is None else self.parts(table, before)
         new = self.parts(table, after)
         same = {p.path for p in old} & {p.path for p in new}
-        o, n = (self.rows(table, [p for p in ps if p.path not in same]).select(F.struct("*").alias(side), *(F.col(k).alias(f"__{k}") for k in t.key)) for ps, side in ((old, "o"), (new, "n")))
+        o, n = (self.rows(table, [p for p in ps if p.path not in same]).drop(*ignore).select(F.struct("*").alias(side), *(F.col(k).alias(f"__{k}") for k in t.key)) for ps, side in ((old, "o"), (new, "n")))
         # null keys are keys as well
         both = o.join(n.withColumnsRenamed({f"__{k}": f"__n_{k}" for k in t.key}), [F.col(f"__{k}").eqNullSafe(F.col(f"__n_{k}")) for k in t.key], "full_outer")
         kind = F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull(), "delete")
