@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.readmodel import append_events, read_events
 from ..session import shared_path, table
 from ..streaming import jobs as J
+from ..streaming.ageing import ageing
 from ..streaming.ingest import Ingest
 from .base import RUN, query
 
@@ -40,6 +41,17 @@ def volume_floor_gate(spark, d):
     return J.gate_runs(runs, "event_type", "day", "fetched").select("event_type", "day", "fetched", "previous", "may_close")
 
 
+@query("""WITH e AS (SELECT user_id, epoch_ms(ts) AS t, event_type FROM events), w AS (SELECT max(t) - 86400000 AS w FROM e),
+a AS (SELECT user_id, max(t) AS seen, CASE WHEN arg_max(event_type, t) = 'purchase' THEN max(t) ELSE min(t) END AS posted FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN posted + 864000000 < seen THEN seen WHEN posted + 864000000 <= w THEN posted + 864000000 END AS closed_ms FROM a, w""")
+def stream_ageing(spark, d):
+    """DML-05, STM-04, STM-05: what was posted over ten days ago closes by a timer, and opens when it is seen; a purchase says anew when it was posted."""
+    stream = _stream(spark, d).select("user_id", F.col("ts").alias("seen"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("posted"))
+    log = ageing(stream, "user_id", "seen", "posted", days=10)
+    state = J.latest_of_stream(log, ["user_id"], ["at", "step"], "ageing")
+    return state.select("user_id", F.when(F.col("change") == "close", F.unix_millis("at")).alias("closed_ms"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || ' in full' ELSE o_orderstatus END AS description, CASE WHEN o_orderkey % 8 = 0 THEN 'https://x.example/' || o_custkey ELSE 'https://x.example/list' END AS url FROM orders")
 def changed_detail(spark, d):
     """STM-12, SRC-05: details are merged for changed rows only."""
