@@ -4,7 +4,8 @@ Plain identifiers are found in the text as it stands. Where a text carries disgu
 transducers rewrites it: look-alike characters to ASCII, "at"/"dot" disguises to their signs,
 spelled digits to digits. Each keeps, for every output character, the source characters it came
 from, so identifiers found in the rewritten text are mapped back to code points of the source.
-Found spans that touch a plain one of the same kind are left out; plain ones always stay.
+Found spans that touch a plain one of the same kind are left out, but for addresses that have all of a plain one
+in them (its first letter may be a look-alike): these are given beside it. Plain ones always stay.
 
 Null texts count as empty. Repeated rows are answered one by one. Other columns are not read.
 """
@@ -87,11 +88,11 @@ _D = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _ITEM = rf"(?:(?<![A-Za-z]){_D}(?![A-Za-z])|[0-9]+)"
 _SPELLED = re.compile(rf"(?:\bplus[\x20,-]+)?{_ITEM}(?:(?:[\x20,-]+(?:(?:dot|point)[\x20,-]+)?|\.){_ITEM})*(?![A-Za-z])", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_D}|dot|point|\.|[0-9]+", re.I)
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*|\s+dot\s+|\.)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 #: Pieces of a text, each tried once at its place: signs in brackets, parts of names, blanks, and plain signs.
-_PIECE = re.compile(r"(?P<sign>[\[({<]\s*(?:(?P<at>at)|dot|punkt|point)\s*[\])}>])|(?P<part>[A-Za-z0-9-]+)|(?P<other>[_%+]+)|(?P<blank>\s+)|(?P<mark>[@.])", re.I)
+_PIECE = re.compile(r"(?P<sign>[\[({<]\s*(?:(?P<at>at|@)|dot|punkt|point|\.)\s*[\])}>])|(?P<part>[A-Za-z0-9-]+)|(?P<other>[_%+]+)|(?P<blank>\s+)|(?P<mark>[@.])", re.I)
 _LABEL = re.compile(r"[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|punkt|point)\s*[\])}>]", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|punkt|point|[@.])\s*[\])}>]", re.I)
 _TOP = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk ca au nz ie de at ch fr be nl lu it es pt se no dk fi pl cz ru ua jp cn in br mx eu".split())
 _DOTS = re.compile(_DOT, re.I)
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -241,7 +242,7 @@ def hints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def disguised(text: str, found: list[tuple[str, int, int]], spelled: bool = True, dotted: bool = True) -> list[tuple[str, int, int]]:
-    """Identifiers that only the rewritten text shows, in source code points; none touches ``found`` of its kind.
+    """Identifiers that only the rewritten text shows, in source code points; none touches ``found`` of its kind, unless it is an address around it.
 
     ``spelled`` and ``dotted`` tell what ``hints`` saw; without look-alikes the text is left at once where neither holds.
     """
@@ -259,9 +260,13 @@ def disguised(text: str, found: list[tuple[str, int, int]], spelled: bool = True
         if not any(m.changed[a:b]):
             continue
         start, end = min(m.first[a:b]), max(m.last[a:b])
-        near = bisect_left(held[kind], (end,))  # spans of a kind are disjoint: the last that begins before the end tells
-        if not near or held[kind][near - 1][1] <= start:
-            held[kind].insert(near, (start, end))
+        near = bisect_left(held[kind], (end,))  # spans of a kind are disjoint: those that begin before the end, from the last on
+        first = near
+        while first and held[kind][first - 1][1] > start:
+            first -= 1
+        touched = held[kind][first:near]
+        if not touched or kind == "email" and (start, end) not in touched and start <= touched[0][0] and touched[-1][1] <= end:
+            held[kind][first:near] = [(start, end)]
             out.append((kind, start, end))
     return out
 

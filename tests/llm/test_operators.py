@@ -562,6 +562,7 @@ def test_disguises_are_mapped_back(text, kind, found):
 
 @pytest.mark.parametrize("text, kind, found", [
     ("ip one dot two dot three dot four", "ip", "one dot two dot three dot four"), ("ip 192 dot 168 dot one dot 20", "ip", "192 dot 168 dot one dot 20"), ("call +1 five five five 867 5309 now", "phone", "+1 five five five 867 5309"),
+    ("to jane@example[.]com now", "email", "jane@example[.]com"), ("to jane[@]mail(.)example [.] com", "email", "jane[@]mail(.)example [.] com"), ("ip 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
     ("to jane at mail.example dot com", "email", "jane at mail.example dot com"), ("to jane at example dot xyz", "email", "jane at example dot xyz"), ("to 𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦 ok", "email", "𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦")])
 def test_partly_spelled_disguises_are_found(spark, text, kind, found):
     at = text.index(found)
@@ -569,8 +570,15 @@ def test_partly_spelled_disguises_are_found(spark, text, kind, found):
     assert row["spans"] == f"{kind}:{at}:{at + len(found)}"
 
 
+@pytest.mark.parametrize("text, base, whole", [("to jаne@example.com ok", "ne@example.com", "jаne@example.com"), ("to jane@example.com [dot] au", "jane@example.com", "jane@example.com [dot] au")])
+def test_an_address_around_a_plain_one_is_given_beside_it(spark, text, base, whole):
+    spans = [f"email:{text.index(x)}:{text.index(x) + len(x)}" for x in (base, whole)]
+    (row,) = pii.find_personal_data(docs(spark, [text])).collect()
+    assert row["base_spans"] == spans[0] and sorted(row["spans"].split(",")) == sorted(spans) and row["n_email"] == row["n_disguised"] == 1
+
+
 def test_prose_is_no_disguise():
-    for t in ["we met at home.Then dot the i", "one two three four cats", "look at this at noon dot", "он сказал", "plus one", prose(1, 200)]:
+    for t in ["we met at home.Then dot the i", "one two three four cats", "look at this at noon dot", "a (@) b [.] c(.)", "array[.]size", "call +1 555 867 5309 one two", "он сказал", "plus one", prose(1, 200)]:
         assert pii.disguised(t, pii.plain(t)) == []
 
 
@@ -579,7 +587,7 @@ def _disguise(r):
     label = lambda: "".join(r.choices("bcdfgklmnprst", k=r.randrange(4, 9)))
     kind = r.choice(["email", "lookalike", "ip", "card", "phone"])
     if kind == "email":
-        at, dot = r.choice([(" at ", " dot "), (" [at] ", "[dot]"), ("(AT)", " (dot) "), ("@", " DOT "), (" {at} ", ".")])
+        at, dot = r.choice([(" at ", " dot "), (" [at] ", "[dot]"), ("(AT)", " (dot) "), ("@", " DOT "), (" {at} ", "."), ("@", "[.]"), ("[@]", "(.)")])
         return "email", label() + r.choice(["", ".x", "_y"]) + at + label() + dot + r.choice(["com", "xyz", "museum"])
     if kind == "lookalike":
         return "email", f"{label()}а@{label()}е.{label()}"
