@@ -119,11 +119,11 @@ def roles_newest_first(spark, d):
     return C.newest_first(table(spark, d, "orders"), "o_custkey", start, end).select("o_orderkey", F.col("place").cast("bigint").alias("place"))
 
 
-_SKILLS = ["data", "model", "Water", "time", "energy"]
+_SKILLS = ["thre", "Thth", "erst", "thnd", "anea"]
 _HITS = " + ".join(rf"CAST(regexp_matches(h, '(?i)(^|[^\p{{L}}\p{{N}}_]){s.lower()}([^\p{{L}}\p{{N}}_]|$)') AS INT)" for s in _SKILLS)
 
 
-@query(f"WITH {POSTINGS_SQL}, s AS (SELECT id, company, lower(trim(title)) AS role, {_HITS} AS hits FROM (SELECT *, concat_ws(' ', title, left(coalesce(description, ''), 4000)) AS h FROM postings)), r AS (SELECT *, row_number() OVER (PARTITION BY company, role ORDER BY hits DESC, CAST(id AS VARCHAR)) AS r FROM s WHERE hits >= 1) SELECT id, CAST(hits AS BIGINT) AS hits FROM r WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY company ORDER BY hits DESC, CAST(id AS VARCHAR)) <= 2")
+@query(f"WITH {POSTINGS_SQL}, s AS (SELECT id, company, lower(trim(title)) AS role, {_HITS} AS hits FROM (SELECT *, concat_ws(' ', title, left(coalesce(description, ''), 4000)) AS h FROM postings)), r AS (SELECT *, row_number() OVER (PARTITION BY company, role ORDER BY hits DESC, CAST(id AS VARCHAR)) AS r FROM s WHERE hits >= 2) SELECT id, CAST(hits AS BIGINT) AS hits FROM r WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY company ORDER BY hits DESC, CAST(id AS VARCHAR)) <= 2")
 def on_craft(spark, d):
-    """FLT-21, AGG-21, WIN-08: different skills named by a posting; the best of a role, two of an employer."""
-    return E.on_craft(postings(spark, d), _SKILLS, least=1).select("id", F.col("hits").cast("bigint").alias("hits"))
+    """FLT-21, AGG-21, WIN-08: postings that name two different skills or more; the best of a role, two of an employer."""
+    return E.on_craft(postings(spark, d), _SKILLS).select("id", F.col("hits").cast("bigint").alias("hits"))
