@@ -7,8 +7,8 @@ what is broadcast does not grow; a false positive of the set only stores a posti
 
 Queries start from the rarest word of each window: its posting list, shifted by the word's offset
 in the item, gives candidate alignments (document, item, shift). Each alignment is then
-intersected with the shifted lists of all other words of the item, and runs of consecutive
-matches at least a window long are the exact phrase matches. Proximity matches relax the equal
+intersected with the shifted lists of the other words of the windows that it is the rarest of, and
+runs of consecutive matches at least a window long are the exact phrase matches. Proximity matches relax the equal
 shift to shifts within a band, for the words of an item that the corpus has least of: they find
 passages into which words were put, or in which some were changed.
 
@@ -110,13 +110,13 @@ def _known_counts(packed: bytes, bits: int):
 
 
 def rare_words(docs: DataFrame, items: DataFrame, text_col: str = "text", most: int = RARE_WORDS) -> DataFrame:
-    """(item, place, term): each item's ``most`` different words that the documents have least often, then that come first, with all their places."""
+    """(item, place, term): each item's ``most`` different words that the documents have, but least often, then that come first, with all their places."""
     text_batches(docs.sparkSession)
     known = np.packbits(vocabulary(items)).tobytes()
     lengths = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_known_counts(known, VOCAB_BITS), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("length"))
     places = _places(items).select("item", "place", "term")
-    first = places.groupBy("item", "term").agg(F.min("place").alias("first")).join(lengths, "term", "left")
-    rank = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("length", F.lit(0)), "first"))
+    first = places.groupBy("item", "term").agg(F.min("place").alias("first")).join(lengths, "term")
+    rank = F.row_number().over(W.partitionBy("item").orderBy("length", "first"))
     return written(places.join(first.withColumn("rank", rank).where(F.col("rank") <= most).select("item", "term"), ["item", "term"]), "rare")
 
 
@@ -149,26 +149,37 @@ def _exploded(index: DataFrame) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, item, first, last): maximal runs of consecutive words, a window or longer, that item and document share."""
+    """(doc, item, first, last): maximal runs of consecutive words, a window or longer, that item and document share.
+
+    An anchor is the rarest word of one or several windows, which follow one another. Where a posting of it stands, only
+    the words of these windows are looked up about it, less than two windows of them, however long the item is."""
     postings = _exploded(index)
     places = _places(items)
     lengths = postings.groupBy("term").agg(F.count("*").alias("length"))
     span = W.partitionBy("item").orderBy("place").rowsBetween(0, window - 1)
-    anchors = (places.join(lengths, "term", "left")
-               .withColumn("rarest", F.min(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "place", "term")).over(span))
-               .where(F.col("place") <= F.greatest(F.col("n") - window, F.lit(0)))
-               .where("rarest.length > 0").select("item", "rarest.place", "rarest.term").distinct())
-    seeds = (postings.join(anchors, "term")
-             .select("doc", "item", (F.col("position") - F.col("place")).alias("shift")).distinct())
-    aligned = (seeds.join(items.select("item", F.size("terms").alias("n"), "terms"), "item")
-               .select("doc", "item", "shift", "n", F.posexplode("terms").alias("place", "term"))
-               .withColumn("position", F.col("shift") + F.col("place"))
+    rarest = (places.join(lengths, "term", "left")
+              .withColumn("rarest", F.min(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "place", "term")).over(span))
+              .where(F.col("place") <= F.greatest(F.col("n") - window, F.lit(0)))
+              .where("rarest.length > 0")
+              .groupBy("item", F.col("rarest.place").alias("anchor"), F.col("rarest.term").alias("term")).agg(F.min("place").alias("low"), F.max("place").alias("high")))
+    needed = F.least(F.lit(window), F.size("terms"))
+    about = F.slice("terms", F.col("low") + 1, F.col("high") - F.col("low") + needed)
+    anchors = written(rarest.join(items, "item").select("item", "anchor", "term", "low", needed.alias("needed"), about.alias("about")), "anchors")
+    aligned = (postings.join(anchors, "term")
+               .select("doc", "item", "needed", "low", (F.col("position") - F.col("anchor")).alias("shift"), F.posexplode("about").alias("at", "term"))
+               .select("doc", "item", "needed", "low", "shift", (F.col("shift") + F.col("low") + F.col("at")).alias("position"), "term")
                .join(postings, ["doc", "position", "term"]))
-    line = W.partitionBy("doc", "item", "shift").orderBy("place")
-    return (aligned.withColumn("island", F.col("place") - F.row_number().over(line))
-            .groupBy("doc", "item", "shift", "island")
-            .agg(F.min("position").alias("first"), F.max("position").alias("last"), F.min("n").alias("n"))
-            .where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(window), F.col("n")))
+    line = W.partitionBy("doc", "item", "shift", "low").orderBy("position")
+    found = (aligned.withColumn("island", F.col("position") - F.row_number().over(line))
+             .groupBy("doc", "item", "shift", "low", "island")
+             .agg(F.min("position").alias("first"), F.max("position").alias("last"), F.min("needed").alias("needed"))
+             .where(F.col("last") - F.col("first") + 1 >= F.col("needed")))
+    # what the anchors of one alignment found overlaps where it belongs together
+    before = W.partitionBy("doc", "item", "shift").orderBy("first", "last")
+    reach = F.max("last").over(before.rowsBetween(W.unboundedPreceding, -1))
+    new = F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(before)
+    return (found.withColumn("reach", reach).withColumn("run", new)
+            .groupBy("doc", "item", "shift", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
             .select("doc", "item", "first", "last"))
 
 
@@ -185,11 +196,12 @@ def proximity_matches(index: DataFrame, rare: DataFrame, band: int = BAND, terms
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near: bool = False) -> DataFrame:
+                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near: bool = False,
+                  rarest: int = RARE_WORDS, together: int = NEAR_WORDS, band: int = BAND) -> DataFrame:
     """One row per document: (id, n_words, n_hit, n_items, items_sha256, contaminated), and with ``near`` n_near, the items
-    (by id) that have a proximity match; these don't make a document contaminated."""
+    (by id) that have a proximity match: ``together`` of their ``rarest`` words, within a ``band`` of shifts; these don't make a document contaminated."""
     items = item_words(items, item_id, item_text)
-    rare = rare_words(docs, items, doc_text) if near else None
+    rare = rare_words(docs, items, doc_text, rarest) if near else None
     index = build_index(docs, items, doc_id, doc_text, window, rare)
     runs = written(phrase_matches(index, items, window), "runs")
     before = W.partitionBy("doc").orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
@@ -203,7 +215,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     rows, more = index.select("doc", "id", "n_words").join(found, "doc", "left"), []
     if near:
-        close = proximity_matches(index, rare).join(items.select("item", "item_id"), "item").groupBy("doc").agg(F.countDistinct("item_id").alias("n_near"))
+        close = proximity_matches(index, rare, band, together).join(items.select("item", "item_id"), "item").groupBy("doc").agg(F.countDistinct("item_id").alias("n_near"))
         rows, more = rows.join(close, "doc", "left"), [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")]
     return (rows.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
                     F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more))
@@ -230,7 +242,7 @@ e AS (SELECT dense_rank() OVER (ORDER BY item_id, w) AS item, item_id, w FROM (S
 q AS (SELECT item, item_id, unnest(w) AS g, unnest(range(0, len(w))) AS place FROM e),
 dp AS (SELECT r, unnest(w) AS g, unnest(range(0, len(w))) AS position FROM d),
 c AS (SELECT g, count(*) AS length FROM dp GROUP BY g),
-rare AS (SELECT item, item_id, g, place FROM q JOIN (SELECT item, g FROM (SELECT item, g, min(place) AS first FROM q GROUP BY 1, 2) LEFT JOIN c USING (g) QUALIFY row_number() OVER (PARTITION BY item ORDER BY coalesce(length, 0), first) <= {RARE_WORDS}) USING (item, g)),
+rare AS (SELECT item, item_id, g, place FROM q JOIN (SELECT item, g FROM (SELECT item, g, min(place) AS first FROM q GROUP BY 1, 2) JOIN c USING (g) QUALIFY row_number() OVER (PARTITION BY item ORDER BY length, first) <= {RARE_WORDS}) USING (item, g)),
 need AS (SELECT item, least({NEAR_WORDS}, count(DISTINCT g)) AS needed FROM rare GROUP BY item),
 near AS (SELECT r, item, item_id, g, unnest([CAST(floor((position - place) / {BAND}) AS BIGINT), CAST(floor((position - place) / {BAND}) AS BIGINT) + 1]) AS band FROM dp JOIN rare USING (g)),
 n AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT r, item, item_id, band, count(DISTINCT g) AS k FROM near GROUP BY 1, 2, 3, 4) JOIN need USING (item) WHERE k >= needed GROUP BY r)

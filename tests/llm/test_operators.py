@@ -384,6 +384,28 @@ def test_contamination_is_exact(spark):
     assert {g["doc_id"]: tuple(g)[1:] for g in got} == _brute(texts, items)
 
 
+def test_runs_of_a_book_long_item_are_maximal_and_alignments_bounded(spark):
+    """An item of 20,000 words, one of which stands everywhere in it: runs are found whole, and no alignment looks at the whole item."""
+    r = random.Random(8)
+    item = ["often" if k % 4 == 0 else f"w{r.randrange(4000)}" for k in range(20_000)]
+    text = lambda a, b: " ".join(item[a:b])
+    texts = [f"x often {text(100, 400)} often y {text(19_000, 19_030)}", text(5, 15), "often " * 50, text(5, 14), f"{text(700, 712)} {text(712, 740)}", text(0, 20_000), f"{text(50, 62)} z {text(62, 75)}"]
+    items = decontaminate.item_words(spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string"))
+    found = decontaminate.phrase_matches(decontaminate.build_index(docs(spark, texts), items), items)
+    got = sorted((x["doc"], x["first"], x["last"]) for x in found.join(decontaminate.build_index(docs(spark, texts), items).select(F.col("doc").alias("d"), "id"), F.col("doc") == F.col("d")).select(F.col("id").alias("doc"), "first", "last").collect())
+    assert got == [(0, 2, 302), (0, 304, 333), (1, 0, 9), (4, 0, 39), (5, 0, 19_999), (6, 0, 11), (6, 13, 25)]
+    hits = {0: 331, 1: 10, 2: 0, 3: 0, 4: 40, 5: 20_000, 6: 25}
+    rows = decontaminate.contamination(docs(spark, texts), spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in rows} == hits
+
+
+def test_rare_words_are_those_that_have_postings(spark):
+    """Of an item, five of whose rare words the documents don't have at all, the rest is found."""
+    item = " ".join(f"none{k}" for k in range(5)) + " a1 a2 a3 a4 a5"
+    found = decontaminate.contamination(docs(spark, ["x a1 y a2 z a3 v a4 w a5", "nothing here"]), spark.createDataFrame([(1, item)], "item_id bigint, text string"), near=True).collect()
+    assert {r["doc_id"]: r["n_near"] for r in found} == {0: 1, 1: 0}
+
+
 def test_proximity_matches_survive_insertions(spark):
     # changed or inserted words at every eighth place: no window of ten is left
     items = [(k, prose(300 + k, 40)) for k in range(6)]
