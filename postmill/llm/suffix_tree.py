@@ -3,7 +3,7 @@
 Contexts of one word up to ``DEPTH`` are counted level by level over all training documents. A
 run of words is counted only where the runs it is made of were frequent enough: its context (all
 but the last word) ``LEAST_CONTEXT`` times, its suffix (all but the first) ``LEAST_COUNT`` times.
-Both are known from the level before and reach the counting pass as bit sets of fixed size; a
+Both are known from the level before and reach the counting pass as bit sets, sized by their keys; a
 false positive of a set only counts a run too many, which the exact joins after it drop.
 
 A context is retained where its next-word distribution diverges from that of its suffix: the
@@ -43,8 +43,11 @@ LEAST_CONTEXT = 16
 DIGITS = 1.0
 #: Words (16 bytes each) and nodes of the tree (16 bytes each) that are broadcast.
 HOT_WORDS, HOT_NODES = 1 << 20, 1 << 22
-#: Bits of a broadcast set of keys: 8 MB, whatever the corpus; and how many of them a key of a Bloom filter has.
-SET_BITS, PROBES = 1 << 26, 4
+#: Bits of a broadcast set of keys for each key, and of a whole one at least and at most (128 MB, which is enough for 2^26 keys; with more
+#: of them, more of what is no key is let through); and how many bits a key of a Bloom filter has.
+KEY_BITS, LEAST_BITS, MOST_BITS, PROBES = 16, 1 << 20, 1 << 30, 4
+#: Bits of the set of broadcast nodes' or words' keys.
+HOT_BITS = 1 << 26
 _HELD = 1 << 21
 _CHUNK = 1 << 18
 
@@ -90,12 +93,12 @@ def _runs(words: np.ndarray, offsets: np.ndarray, depth: int):
         yield level, context, suffix, run, place >= level
 
 
-def _slot(keys: np.ndarray, probe: int = 0) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15 + 2 * probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(38)  # the upper 26 bits
+def _slot(keys: np.ndarray, bits: int, probe: int = 0) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15 + 2 * probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(65 - bits.bit_length())  # the upper bits
 
 
 def _in(packed: np.ndarray, keys: np.ndarray, probe: int = 0) -> np.ndarray:
-    slot = _slot(keys, probe)
+    slot = _slot(keys, 8 * len(packed), probe)
     return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
@@ -108,19 +111,20 @@ def _in_all(packed: np.ndarray, keys: np.ndarray, probes: int = PROBES) -> np.nd
 
 
 def _bit_set(keys: DataFrame, probes: int = 1) -> np.ndarray:
-    """Bits of the keys' slots; at most SET_BITS / 64 rows reach the driver, whatever the number of keys."""
+    """Bits of the keys' slots, as many as the keys need; at most MOST_BITS / 64 rows reach the driver, whatever their number."""
+    bits = min(max(1 << (KEY_BITS * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def slots(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for probe in range(probes):
-                    yield pa.RecordBatch.from_arrays([pa.array(_slot(found, probe).astype(np.int64))], names=["slot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_slot(found, bits, probe).astype(np.int64))], names=["slot"])
 
     rows = (keys.mapInArrow(slots, "slot bigint")
             .select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bit"))).toArrow()
-    words = np.zeros(SET_BITS // 64, np.uint64)
+    words = np.zeros(bits // 64, np.uint64)
     words[rows["at"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
     return words.view(np.uint8)
 
@@ -230,8 +234,8 @@ class _Hot:
         heads = (self.keys >> self.shift).astype(np.int64)
         self.begins = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
         self.most = int(np.diff(self.begins).max(initial=0))
-        bits = np.zeros(SET_BITS, bool)
-        bits[_slot(self.keys)] = True
+        bits = np.zeros(HOT_BITS, bool)
+        bits[_slot(self.keys, HOT_BITS)] = True
         self.bits = np.packbits(bits, bitorder="little")
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
