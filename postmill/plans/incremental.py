@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from ..operators.asking import ask_all
 from ..operators.readmodel import append_events, read_events
 from ..session import shared_path, table
 from ..streaming import jobs as J
@@ -174,3 +177,27 @@ def stream_change_feed(spark, d):
     """STM-12: what became of the postings from the first version to the last, from the parts that differ."""
     ingest = _ingested(spark, d)
     return ingest.changes(ingest.store.versions()[0]).select(F.col("external_id").cast("bigint").alias("k"), F.col("_change").alias("change"))
+
+
+def _provider(prompts: list[str], attempt: int) -> list[tuple[str, int]]:
+    """Stands for a model: what it meets and misses of a prompt ``key:status:priority``."""
+    out = []
+    for p in prompts:
+        key, status, priority = p.split(":")
+        met = [] if int(key) % 3 == 0 and (attempt == 0 or int(key) % 5 == 0) else [status]
+        out.append((json.dumps({"met": met, "missing": [priority] if int(key) % 2 == 0 else []}), len(p)))
+    return out
+
+
+def _met_nothing(answer: str) -> bool:
+    found = json.loads(answer)
+    return not found["met"] and bool(found["missing"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 5 = 0) THEN NULL ELSE o_orderstatus END AS met, CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS attempts,
+(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + length(o_orderpriority) + 2) * CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS tokens FROM orders""")
+def asked_with_ledger(spark, d):
+    """SRC-21, STM-09, STM-11, VAL-08, AGG-05: a provider is asked once for each key, and once more where it met nothing; the ledger keeps what was paid for."""
+    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("prompt"))
+    found = ask_all(prompts, _provider, shared_path(spark, "ledger"), _met_nothing, buckets=16, call=256)
+    return found.select(F.col("key").cast("bigint").alias("o_orderkey"), F.get(F.from_json("answer", "met array<string>")["met"], F.lit(0)).alias("met"), "attempts", "tokens")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -9,6 +10,7 @@ from ..functions.text import detect_board, html_to_text
 from ..operators.registry import looks_like_postings, resolve
 from ..sources.providers import PROVIDERS, normalize, normalize_rss
 from ..session import shared_path, table
+from ..sources.paged import read_pages
 from ..sources.payloads import elements, pages, write_frozen
 from .base import query
 
@@ -167,3 +169,26 @@ def frozen_worksheet(spark, d):
     path = shared_path(spark, "worksheet")
     write_frozen(table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")), path)
     return spark.read.schema("source string, lang string, n bigint").json(path)
+
+
+# ---- customers of a nation as a listing of pages of four, some of which are empty, missing or beyond the stated total ----
+
+_SIZE, _MOST = 4, 36
+
+
+@query(f"""WITH c AS (SELECT c_nationkey AS k, CAST(floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) / {_SIZE}) AS INT) AS page, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+p AS (SELECT k, page, any_value(n) AS n, count(*) AS records FROM c GROUP BY k, page)
+SELECT CAST(k AS VARCHAR) AS source, page, records FROM p WHERE page < CAST(ceil({_MOST} / {_SIZE}) AS INT) AND NOT (k % 5 = 1 AND page >= 3) AND NOT (k % 5 = 2 AND page >= 1) AND NOT (k % 5 = 3 AND page * {_SIZE} >= greatest(n - 5, 1))""")
+def paged_source(spark, d):
+    """SRC-05, SRC-16: listings read page by page until one is empty, missing or the last by the stated total, or there are too many."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey", "c_name")
+    one = W.partitionBy("k")
+    rows = c.withColumns({"page": F.floor((F.row_number().over(one.orderBy("c_custkey")) - 1) / _SIZE).cast("int"), "n": F.count("*").over(one)})
+    total = F.when(F.col("k") % 5 == 3, F.greatest(F.col("n") - 5, F.lit(1))).otherwise(F.col("n") + 50)
+    records = F.collect_list(F.struct("c_custkey", "c_name"))
+    pages = rows.groupBy("k", "page").agg(F.max(total).alias("t"), records.alias("content")).where((F.col("k") % 5 != 2) | (F.col("page") != 1))
+    content = F.when((F.col("k") % 5 == 1) & (F.col("page") == 3), F.slice("content", 1, 0)).otherwise(F.col("content"))
+    folder = shared_path(spark, "pages")
+    pages.select(F.col("k").cast("string").alias("source"), "page", F.to_json(F.struct(F.col("t").alias("totalFound"), content.alias("content"))).alias("value")).write.partitionBy("source", "page").text(folder)
+    found = read_pages(spark, folder, "content", "totalFound", size=_SIZE, most=_MOST)
+    return found.select("source", "page", F.size(elements(F.col("payload"), "content")).cast("bigint").alias("records"))
