@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postmill import schemas
 from postmill.operators import dedupe, merge, readmodel, registry
-from postmill.session import shared_path
+from postmill.session import remove_leftovers, shared_path
 from postmill.sources import payloads, providers
 from postmill.streaming import jobs
 
@@ -175,6 +175,16 @@ def test_a_cluster_needs_a_shared_folder():
         shared_path(Session(), "t")
 
 
+def test_leftovers_go_when_they_are_old(spark):
+    path = shared_path(spark, "left")
+    spark.range(3).write.parquet(path)
+    remove_leftovers(spark, hours=1)
+    assert spark.read.parquet(path).count() == 3
+    assert remove_leftovers(spark, hours=-1) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_late_rows_are_dropped_by_the_watermark(spark):
     frame = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 5),), (dt.datetime(2024, 1, 1, 0, 55),)], "ts timestamp")
     assert [r["n"] for r in jobs.windowed_counts(frame, "ts", "1 hour").collect()] == [2]
