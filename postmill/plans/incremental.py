@@ -30,6 +30,20 @@ def stream_foreachbatch_merge(spark, d):
     return J.latest_of_stream(stream, ["user_id"], ["event_id"], "latest")
 
 
+@query(_LATEST)
+def stream_periodic(spark, d):
+    """STM-01: a query that looks for what has come at every interval, until it is stopped."""
+    folder = shared_path(spark, "periodic")
+    stream = _stream(spark, d).select("user_id", "event_id", "event_type")
+    snapshot = J.Snapshot(spark, f"{folder}/state", stream.schema, ["user_id"])
+    run = J.run_every(stream, J.merge_latest(snapshot, ["event_id"]), f"{folder}/offsets", "1 second")
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return snapshot.read()
+
+
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
 def stream_audit_latest(spark, d):
     """STM-06: state read back from an append-only log by a JSON key."""

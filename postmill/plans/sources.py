@@ -11,7 +11,7 @@ from ..operators.registry import looks_like_postings, resolve
 from ..sources.providers import PROVIDERS, normalize, normalize_rss
 from ..session import shared_path, table
 from ..sources.paged import read_pages
-from ..sources.payloads import elements, pages, write_frozen
+from ..sources.payloads import elements, pages, read_resumes, write_frozen
 from .base import query
 
 _HEAD_SQL = r"regexp_replace(text, '\s+', ' ', 'g')"
@@ -111,15 +111,23 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.sha2(t.cast("binary"), 256).alias("digest"))
 
 
-_BOARDS = ["see https://boards.greenhouse.io/acme{}/jobs/1", "https://jobs.lever.co/api and https://jobs.lever.co/zeta{}", "https://boards.greenhouse.io/embed/job_board?for=widgets{}", "no board {}", "https://acme.recruitee.com/o/x https://jobs.ashbyhq.com/Acme.Co{}/1"]
-_BOARD_SQL = "['greenhouse:acme', 'lever:zeta', 'greenhouse:widgets', NULL, 'ashby:Acme.Co'][1 + page_id % 5] || page_id"
+#: What stands after a page, and the board that is to be found there: each of the address patterns, paths that are no slugs, and which of two goes first.
+_BOARDS = [
+    ("see https://boards.greenhouse.io/acme{}/jobs/1", "greenhouse:acme{}"), ("https://jobs.lever.co/api and https://jobs.lever.co/zeta{}", "lever:zeta{}"),
+    ("https://boards.greenhouse.io/embed/job_board?for=widgets{}", "greenhouse:widgets{}"), ("no board {}", None), ("https://acme.recruitee.com/o/x https://jobs.ashbyhq.com/Acme.Co{}/1", "ashby:Acme.Co{}"),
+    ("https://boards-api.greenhouse.io/v1/boards/feed{}/jobs", "greenhouse:feed{}"), ("https://api.eu.lever.co/v0/postings/post{}?mode=json", "lever:post{}"), ("https://api.ashbyhq.com/posting-api/job-board/Dot.Co{}", "ashby:Dot.Co{}"),
+    ("https://apply.workable.com/api/v1/widget/accounts/acct{}", "workable:acct{}"), ("https://api.smartrecruiters.com/v1/companies/Corp{}/postings", "smartrecruiters:Corp{}"), ("https://apply.workable.com/work{}/j/AB", "workable:work{}"),
+    ("https://careers.smartrecruiters.com/Smart{}", "smartrecruiters:Smart{}"), ("https://team{}.recruitee.com/o/dev", "recruitee:team{}"), ("https://job-boards.eu.greenhouse.io/eu{}", "greenhouse:eu{}"),
+    ("https://team.recruitee.com and https://api.smartrecruiters.com/v1/companies/First{}", "smartrecruiters:First{}"),
+]
+_BOARD_SQL = f"replace([{', '.join(repr(b) if b else 'NULL' for _, b in _BOARDS)}][1 + page_id % {len(_BOARDS)}], '{{}}', CAST(page_id AS VARCHAR))"
 
 
 @query(f"SELECT page_id, {_BOARD_SQL} AS board, coalesce({_BOARD_SQL}, CASE WHEN page_id % 2 = 0 THEN 'lever:probed' || page_id END) AS resolved FROM pages")
 def detect_board_url(spark, d):
     """STR-08, SRC-24, JSN-05: whole pages with an address after them; the first pattern in order with a real slug; then the page, then a probe unless it was a URL."""
     k = F.col("page_id").cast("string")
-    said = F.element_at(F.array(*(F.replace(F.lit(b), F.lit("{}"), k) for b in _BOARDS)), (F.col("page_id") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*(F.replace(F.lit(b), F.lit("{}"), k) for b, _ in _BOARDS)), (F.col("page_id") % len(_BOARDS) + 1).cast("int"))
     text = F.concat_ws("\n", "html", said)
     where = F.when(F.col("page_id") % 2 == 0, "Acme").otherwise(F.col("url"))
     name = lambda b: F.when(b.isNotNull(), F.concat_ws(":", b["ats"], b["slug"]))
@@ -127,6 +135,16 @@ def detect_board_url(spark, d):
     return table(spark, d, "pages").select("page_id", name(detect_board(text)).alias("board"), name(resolve(where, text, probed)).alias("resolved"))
 
 
+@query("SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents WHERE lang IS NOT NULL AND trim(text) <> '' GROUP BY lang")
+def resume_texts(spark, d):
+    """SRC-17: text files read whole, and told by their paths."""
+    folder = shared_path(spark, "resumes")
+    rows = table(spark, d, "documents").where("lang IS NOT NULL AND trim(text) <> ''").select("lang", F.col("text").alias("value"))
+    rows.write.partitionBy("lang").text(folder)
+    found = read_resumes(spark, folder)
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE event_type = 'purchase' END AS trusted FROM events")
 def payload_sanity(spark, d):
     """FLT-17: a list whose first element has a title."""
