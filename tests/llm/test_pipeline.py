@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,56 @@ def test_stages_equal_brute_force(spark):
     assert kept(corpus_pipeline.secrets) == [k for k, t in zip(ids, texts) if not secret(t or "")]
 
 
+def _brute_rates(rows, targets):
+    """Rates of rows (tokens, posteriors) by projected gradient on cells of the grid, in plain numbers."""
+    cells = {}
+    for n, p in rows:
+        ends = [int(np.floor(sum(p[: k + 1]) * soft_mixing.GRID + 0.5)) for k in range(len(p))]
+        cell = tuple(b - a for a, b in zip([0, *ends], ends))
+        cells.setdefault(cell, np.zeros(len(p)))
+        cells[cell] += n * np.array(p)
+    keys = list(cells)
+    grid, expected = np.array(keys) / soft_mixing.GRID, np.array([cells[k] for k in keys])
+    sizes = expected.sum(axis=0)
+    whole, rate, step, before = sizes.sum(), np.ones(len(keys)), 1.0, np.inf
+    for _ in range(soft_mixing.STEPS):
+        off = (rate[:, None] * expected).sum(axis=0) / whole - targets
+        miss = abs(off).max()
+        if miss < soft_mixing.CLOSE:
+            break
+        step = min(step * 1.5, 16.0) if miss < before else 1.0
+        before = miss
+        pull = np.array([step * o * whole / s if s else 0.0 for o, s in zip(off, sizes)])
+        rate = np.maximum(0.0, rate - grid @ pull)
+    of = dict(zip(keys, rate))
+    out = []
+    for _, p in rows:
+        ends = [int(np.floor(sum(p[: k + 1]) * soft_mixing.GRID + 0.5)) for k in range(len(p))]
+        out.append(of[tuple(b - a for a, b in zip([0, *ends], ends))])
+    return out
+
+
+def test_the_whole_run_equals_brute_force(spark):
+    """Ids by the stages' brute-force versions, one after the other, and rates by gradient steps in plain numbers."""
+    left = [r.asDict() for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    judged = _brute_languages([{"text": r["text"], "declared": r["lang"], "suffix": None, "host": r["source"], "domain": None} for r in left], [(r["text"] or "", r["lang"]) for r in left if r["lang"]])
+    left = [r for r, (_, _, rejected) in zip(left, judged) if not rejected]
+    left = [r for n, (r, (c, _)) in enumerate(zip(left, _brute_classes([r["text"] for r in left]))) if c == n]
+    hits = _brute([r["text"] for r in left], [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()])
+    left = [r for n, r in enumerate(left) if not hits[n][4]]
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encode = secret_scan._encoder(f.read())
+    plain = lambda t: [m for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + re.findall("AKIA[A-Z0-9]{12,}", t) + re.findall("[0-9a-f]{32,}", t)
+    left = [r for r in left if not plain(r["text"] or "") and not secret_scan.random_strings(r["text"] or "", encode, [])]
+    got = sorted(corpus_pipeline.run(spark, SMALL).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["text"]) for r in got] == [(r["doc_id"], r["text"]) for r in left] and 0 < len(got) < 200
+    shares = np.array(list(soft_mixing.TARGETS.values())) / sum(soft_mixing.TARGETS.values())
+    rates = _brute_rates([(r["n_tokens"], [r[f"p_{d}"] for d in soft_mixing.TARGETS]) for r in got], shares)
+    assert np.allclose([r["rate"] for r in got], rates, atol=2e-6) and len({round(x, 3) for x in rates}) > 3
+    words = lambda t: [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", t.lower()) if w]
+    assert [r["n_tokens"] for r in got] == [len(words(r["text"] or "")) for r in got]
+
+
 def test_near_duplicates_leave_one_of_each_class(spark, awkward):
     kept = sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, awkward, SMALL).collect())
     assert kept == [0, 1, 4, 5, 6, 7, 8, 9, 11]
