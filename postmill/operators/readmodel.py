@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,17 @@ def page(rows: DataFrame, score: str, created: str, tie: str, limit: int, offset
     return rows.orderBy(F.desc_nulls_last(score), F.desc(created), tie).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, score: str, created: str, tie: str, limit: int, last: Row | None = None) -> DataFrame:
+    """The page after the row ``last`` of the page before (none: the first one), in the order of ``page``: earlier pages are filtered out
+    as they are read, not sorted and skipped. ``created`` and ``tie`` are never null, and ``tie`` is unique."""
+    if last is not None:
+        s, c, t = (F.lit(last[k]) for k in (score, created, tie))
+        later = (F.col(created) < c) | ((F.col(created) == c) & (F.col(tie) > t))
+        unjudged = F.col(score).isNull()
+        rows = rows.where(unjudged & later if last[score] is None else unjudged | (F.col(score) < s) | ((F.col(score) == s) & later))
+    return rows.orderBy(F.desc_nulls_last(score), F.desc(created), tie).limit(limit)
+
+
 def latest_by(events: DataFrame, key: Column, order: list[str], keep: list[str]) -> DataFrame:
     """The last row of each key that has one; earlier ones are replaced whole, not merged."""
     last = F.max_by(F.struct(*keep), F.struct(*order))

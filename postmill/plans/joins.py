@@ -32,6 +32,18 @@ def pipeline_page(spark, d):
     return R.page(rows, "score", "o_orderdate", "o_orderkey", 50, 25).select("o_orderkey", "c_mktsegment", "score")
 
 
+@query(f"SELECT o_orderkey, score, 1 + CAST(floor((r - 1) / 40) AS INT) AS page FROM (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, o_orderdate DESC, o_orderkey) AS r FROM (SELECT *, {_SCORE} AS score FROM orders)) WHERE r <= 120")
+def pipeline_cursor(spark, d):
+    """SRT-02: three pages, one after the other, each from the last row of the one before."""
+    rows, last, out = _matches(spark, d).select("o_orderkey", "score", "o_orderdate"), None, None
+    for number in (1, 2, 3):
+        page = R.page_after(rows, "score", "o_orderdate", "o_orderkey", 40, last)
+        last = page.tail(1)[0]
+        named = page.select("o_orderkey", "score", F.lit(number).alias("page"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query("SELECT o_orderstatus, count(*) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
 def pipeline_total(spark, d):
     """AGG-03: totals of the same rows as the pages."""

@@ -142,6 +142,16 @@ def test_the_audit_log_only_grows(spark, tmp_path):
     assert log.count() == 4 and log.columns == rows.columns
 
 
+def test_a_cursor_walks_the_same_pages_as_offsets(spark):
+    """Ties of all kinds, and unjudged rows at the end."""
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else k % 2, k % 4) for k in range(40)], "id int, score int, created int")
+    last, walked = None, []
+    while page := readmodel.page_after(rows, "score", "created", "id", 7, last).collect():
+        walked += [r["id"] for r in page]
+        last = page[-1]
+    assert walked == [r["id"] for r in readmodel.page(rows, "score", "created", "id", 100).collect()] and len(walked) == 40
+
+
 def test_a_frozen_worksheet_is_never_overwritten(spark, tmp_path):
     rows = spark.range(2)
     payloads.write_frozen(rows, str(tmp_path / "w"))
