@@ -153,22 +153,24 @@ def detect_board(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-class _Text(HTMLParser):
-    BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: Elements that begin and end lines.
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
 
+class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.skipping = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.skipping += tag in ("script", "style")
-        if tag in self.BLOCKS:
+        if tag in BLOCKS:
             self.out.append("\n")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skipping = max(0, self.skipping - 1)
-        elif tag in self.BLOCKS:
+        elif tag in BLOCKS:
             self.out.append("\n")
 
     def handle_data(self, data):

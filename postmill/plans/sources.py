@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions.text import detect_board, html_to_text
+from ..functions.text import BLOCKS, detect_board, html_to_text
 from ..operators.registry import looks_like_postings, resolve
 from ..sources.providers import PROVIDERS, normalize, normalize_rss
 from ..session import shared_path, table
@@ -104,7 +104,16 @@ def source_weworkremotely(spark, d):
     return normalize_rss(table(spark, d, "documents").select(xml.alias("payload"))).select("external_id", "company", "title", "location", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
 
 
-@query()
+#: Pages in SQL: what is no text goes, then blocks end lines, other tags go, and the references that pages have are read, the sign that they begin with last.
+_NO_TEXT = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<![a-z][^>]*>"
+_BLOCK_TAGS = rf"(?i)</?({'|'.join(sorted(BLOCKS))})(\s[^>]*)?/?>"
+_BARE_SQL = f"regexp_replace(regexp_replace(regexp_replace(html, '{_NO_TEXT}', '', 'g'), '{_BLOCK_TAGS}', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+for _name, _sign in (("copy", 169), ("middot", 183), ("nbsp", 160), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+    _BARE_SQL = f"regexp_replace({_BARE_SQL}, '&{_name};?', chr({_sign}), 'g')"
+_PAGE_SQL = f"SELECT page_id, {_CLEAN_SQL} AS t FROM (SELECT page_id, {_BARE_SQL} AS text FROM pages)"
+
+
+@query(f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS digest FROM ({_PAGE_SQL})")
 def html_text(spark, d):
     """STR-07: text of raw pages."""
     t = html_to_text(F.col("html"))
