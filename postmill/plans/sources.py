@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates as D
 from ..functions.text import BLOCKS, detect_board, html_to_text
 from ..operators.registry import looks_like_postings, resolve
 from ..sources.providers import PROVIDERS, normalize, normalize_rss
 from ..session import shared_path, table
+from ..sources.office import docx_to_markdown
 from ..sources.paged import read_pages
 from ..sources.payloads import elements, pages, read_resumes, write_frozen
 from .base import query
@@ -154,6 +161,40 @@ def resume_texts(spark, d):
     return found.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
+def _docx(text: str, kind: int) -> bytes:
+    """A word-processor file with a paragraph for each line: kind 0 has a heading first, 1 is a list, 2 a table of one column."""
+    styled = lambda mark, line: f'<w:p><w:pPr>{mark}</w:pPr><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>'
+    item, head = '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>', '<w:pStyle w:val="Heading1"/>'
+    parts = [styled(item if kind == 1 else head if kind == 0 and n == 0 else "", line) for n, line in enumerate(text.split("\n"))]
+    if kind == 2:
+        parts = ["<w:tbl>", *(f"<w:tr><w:tc>{p}</w:tc></w:tr>" for p in parts), "</w:tbl>"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(parts)}<w:sectPr/></w:body></w:document>')
+    return out.getvalue()
+
+
+@F.arrow_udf(T.BinaryType())
+def _as_docx(text: pa.Array, kind: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _docx(t, k) for t, k in zip(text.to_pylist(), kind.to_pylist())], pa.binary())
+
+
+_LINE_SQL = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+_LINES_SQL = f"[{_LINE_SQL} for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')]"
+_ROWS_SQL = rf"['| ' || replace(regexp_replace({_LINE_SQL}, '\s+', ' ', 'g'), '|', '\|') || ' |' for x in string_split(text, chr(10))]"
+
+
+@query(f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS digest FROM (SELECT doc_id, CASE doc_id % 3
+WHEN 0 THEN CASE WHEN regexp_matches(string_split(text, chr(10))[1], '\\S') THEN '# ' ELSE '' END || array_to_string({_LINES_SQL}, chr(10) || chr(10))
+WHEN 1 THEN array_to_string(['- ' || l for l in {_LINES_SQL}], chr(10))
+ELSE array_to_string(list_concat(list_concat(({_ROWS_SQL})[1:1], ['| --- |']), ({_ROWS_SQL})[2:]), chr(10)) END AS t FROM documents)""")
+def office_texts(spark, d):
+    """SRC-17: word-processor files to Markdown; whole documents as files with headings, lists and tables."""
+    made = _as_docx("text", (F.col("doc_id") % 3).cast("int"))
+    t = docx_to_markdown(made)["text"]
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE event_type = 'purchase' END AS trusted FROM events")
 def payload_sanity(spark, d):
     """FLT-17: a list whose first element has a title."""

@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .office import docx_to_markdown
+
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(path, payload): one row per file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
+def resume_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, problem) of the text, Markdown and .docx files under a path; files of other kinds are not opened.
+
+    Text is Markdown. What can't be read or has no text has a problem instead, so that one bad file doesn't end a run over many."""
+    plain = spark.read.option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").text(path, wholetext=True)
+    plain = plain.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.lit(None).cast("string").alias("problem"))
+    office = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path)
+    office = office.select(F.col("_metadata.file_path").alias("path"), docx_to_markdown("content").alias("r")).select("path", "r.*")
+    rows = plain.unionByName(office)
+    problem = F.coalesce("problem", F.when(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"), "empty résumé"))
+    return rows.select("path", F.when(problem.isNull(), F.col("text")).alias("text"), problem.alias("problem"))
+
+
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of plain-text and Markdown résumés; an empty one is an error, raised when it is read."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    rows = rows.where(F.lower("path").rlike(r"\.(txt|md)$"))
-    return rows.withColumn("text", F.when(F.trim("text") == "", F.raise_error(F.concat(F.lit("empty résumé: "), "path"))).otherwise(F.col("text")))
+    """(path, text) of ``resume_files``; a problem is an error, raised when it is read."""
+    refused = F.raise_error(F.concat_ws(": ", "problem", "path"))
+    return resume_files(spark, path).select("path", F.when(F.col("problem").isNull(), F.col("text")).otherwise(refused).alias("text"))
 
 
 def elements(payload: Column, envelope: str | None) -> Column:

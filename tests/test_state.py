@@ -1,7 +1,9 @@
 """Merges, duplicates and streams: idempotent, and exact about what changes."""
 
 import datetime as dt
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from postmill import schemas
 from postmill.operators import dedupe, merge, readmodel, registry
 from postmill.session import remove_leftovers, shared_path
-from postmill.sources import payloads, providers
+from postmill.sources import office, payloads, providers
 from postmill.streaming import jobs
 
 RUN = dt.datetime(2024, 6, 1)
@@ -168,6 +170,41 @@ def test_resumes_are_read_and_empty_ones_refused(spark, tmp_path):
         payloads.read_resumes(spark, str(tmp_path)).collect()
 
 
+def _office_file(body):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<w:p><w:pPr><w:pStyle w:val='Title'/></w:pPr><w:r><w:t>Jane</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>One </w:t></w:r><w:hyperlink><w:r><w:t>two</w:t></w:r></w:hyperlink><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p>", "# Jane\n\nOne two"),
+    ("<w:p><w:pPr><w:outlineLvl w:val='2'/></w:pPr><w:r><w:t>Work</w:t></w:r></w:p>", "### Work"),
+    ("<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t></w:r></w:p>", "a\tb\nc"),
+    ("".join(f"<w:p><w:pPr><w:numPr><w:ilvl w:val='{n}'/><w:numId w:val='3'/></w:numPr></w:pPr><w:r><w:t>i{n}</w:t></w:r></w:p>" for n in (0, 1)) + "<w:p><w:r><w:t>end</w:t></w:r></w:p>", "- i0\n  - i1\n\nend"),
+    ("<w:sdt><w:sdtContent><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p><w:p><w:r><w:t>d</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:sdtContent></w:sdt>", "| a\\|b |  |\n| --- | --- |\n| c d |  |"),
+    ("<w:p><mc:AlternateContent><mc:Choice><w:r><w:t>once</w:t></w:r></mc:Choice><mc:Fallback><w:r><w:t>once</w:t></w:r></mc:Fallback></mc:AlternateContent></w:p>", "once"),
+])
+def test_office_files_become_markdown(body, text):
+    assert office._markdown(_office_file(body)) == text
+
+
+def test_a_file_that_cannot_be_read_leaves_the_others(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.DOCX").write_bytes(_office_file("<w:p><w:r><w:t>Jane</w:t></w:r></w:p>"))
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    (tmp_path / "c.docx").write_bytes(_office_file("<w:p>"))
+    (tmp_path / "d.docx").write_bytes(_office_file(""))
+    (tmp_path / "e.md").write_text("\n \n")
+    (tmp_path / "f.txt").write_text("John")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["text"], r["problem"]) for r in payloads.resume_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.DOCX": ("Jane", None), "b.docx": (None, "unreadable résumé (BadZipFile)"), "c.docx": (None, "unreadable résumé (ParseError)"), "d.docx": (None, "empty résumé"), "e.md": (None, "empty résumé"), "f.txt": ("John", None)}
+    with pytest.raises(Exception, match="unreadable résumé"):
+        payloads.read_resumes(spark, f"{tmp_path}/b.docx").collect()
+    monkeypatch.setattr(office, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        office._markdown(_office_file("<w:p/>"))
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, _):
