@@ -75,11 +75,12 @@ class _Ages(StatefulProcessor):
 def ageing(sightings: DataFrame, key: str, seen: str, posted: str, days: float = 45, late: str = "1 day") -> DataFrame:
     """A stream of (key, change, at) for a stream of sightings: ``seen`` when, and ``posted`` when (null: not said). ``change`` is open, reopen or close.
 
-    A posting closes when the watermark passes ``days`` after it was posted, or else first seen; sightings later than ``late`` are left out. State is as
-    large as the keys are many; it needs the RocksDB state store, which is set for the session."""
+    A posting closes when the watermark passes ``days`` after it was posted, or else first seen; sightings later than ``late`` are left out. Times are rounded to the
+    nearest millisecond. State is as large as the keys are many; it needs the RocksDB state store, which is set for the session."""
     sightings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     kind = sightings.schema[key].dataType.simpleString()
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    rows = sightings.where(F.col(key).isNotNull() & F.col(seen).isNotNull()).select(F.col(key), F.col(seen).cast("timestamp").alias("at"), ms(posted).alias("posted"), ms(seen).alias("seen")).withWatermark("at", late)
+    # the nearest millisecond, of the watermark as well
+    ms = lambda c: F.unix_millis(F.timestamp_micros(F.round(F.unix_micros(F.col(c).cast("timestamp")), -3)))
+    rows = sightings.where(F.col(key).isNotNull() & F.col(seen).isNotNull()).select(F.col(key), F.timestamp_millis(ms(seen)).alias("at"), ms(posted).alias("posted"), ms(seen).alias("seen")).withWatermark("at", late)
     out = rows.groupBy(key).transformWithStateInPandas(_Ages(round(days * 86_400_000), key), f"{key} {kind}, change int, at bigint", "Append", "EventTime")
     return out.select(key, F.get(F.array(*map(F.lit, CHANGES)), "change").alias("change"), F.timestamp_millis("at").alias("at"), F.col("change").alias("step"))

@@ -34,3 +34,16 @@ def test_timers_close_what_a_daily_run_closes(spark, tmp_path):
         got = jobs.latest_of_stream(out, ["k"], ["at", "step"], "t", str(tmp_path / "run"))
     closed = {x["k"]: x["change"] == "close" for x in got.collect()}
     assert closed.pop(-1) is False and closed == {k: v[2] is not None for k, v in state.items()} and 0 < sum(closed.values()) < len(closed)
+
+
+def test_times_are_rounded_to_the_nearest_millisecond(spark, tmp_path):
+    """Closings at a sighting, by a timer at the very watermark, and just after it, where parts of a millisecond count."""
+    end = T0 + DAY * 4
+    us = lambda n: dt.timedelta(microseconds=n)
+    rows = [(1, T0 + us(775_927), T0 - DAY * 9), (2, T0 + us(1_400), None), (3, T0 + us(1_500), None), (4, T0 + us(1_499), T0 - DAY * 9), (-1, end + us(1_400), end + us(1_400))]
+    spark.createDataFrame(rows, "k bigint, seen timestamp, posted timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k bigint, seen timestamp, posted timestamp").parquet(f"{tmp_path}/in")
+    out = A.ageing(stream, "k", "seen", "posted", days=3, late="1 day")
+    got = jobs.latest_of_stream(out, ["k"], ["at", "step"], "t", str(tmp_path / "run"))
+    at = {x["k"]: x["at"] for x in got.where("change = 'close'").select("k", (F.unix_micros("at") - F.unix_micros(F.lit(T0))).alias("at")).collect()}
+    assert at == {1: 776_000, 2: 3 * 86_400_000_000 + 1_000, 4: 1_000}
