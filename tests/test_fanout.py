@@ -53,6 +53,21 @@ def test_no_profiles_and_no_postings(spark):
     assert profiles.candidates(none, jobs).count() == 0 and profiles.candidates(one, jobs.limit(0)).count() == 0 and profiles.candidates(one, jobs).count() == 5
 
 
+def test_blocks_and_chunks_of_any_size_give_the_same(spark, monkeypatch):
+    """Small blocks, ids that are no numbers, and no row for a profile and a posting before it has passed."""
+    r = random.Random(8)
+    jobs = spark.createDataFrame(_postings(r, 90), POSTING).withColumn("id", F.concat(F.lit("p"), "id"))
+    table = spark.createDataFrame(_profiles(r, 11), PROFILE)
+    matches = spark.createDataFrame([(p, f"p{j}", 1) for p in range(11) for j in range(0, 99, 9)], "profile_id bigint, id string, score int")
+    whole, counts = profiles.candidates(table, jobs, matches).collect(), profiles.funnels(table, jobs, matches).collect()
+    monkeypatch.setattr(profiles, "BLOCK", 13)
+    monkeypatch.setattr(profiles, "CHUNK", 3)
+    monkeypatch.setattr(profiles, "BATCH", 5)
+    got = profiles.candidates(table, jobs, matches)
+    assert sorted(got.collect()) == sorted(whole) and len(whole) > 50
+    assert sorted(profiles.funnels(table, jobs, matches).collect()) == sorted(counts) and all(sum(row[2:]) == row["pool"] == 90 for row in counts)
+
+
 def _brute_nearest(queries, vectors, k, cap):
     out = []
     for q, a in queries:
