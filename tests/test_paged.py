@@ -69,6 +69,46 @@ def test_a_stream_goes_on_from_its_offsets(spark, tmp_path):
     assert run() == []
 
 
+def test_pages_in_bundles(spark, tmp_path):
+    """Stops within a bundle and between two, pages after a stop that can't be parsed, and a stream that takes what a bundle grew by."""
+    def lines(source, k, *pages):
+        os.makedirs(where := f"{tmp_path}/in/source={source}/pages={k}", exist_ok=True)
+        with open(f"{where}/{len(os.listdir(where))}.txt", "w") as f:
+            f.writelines(f"{n}\t{p if isinstance(p, str) else json.dumps({'content': p, 'totalFound': 99})}\n" for n, p in pages)
+
+    lines("a", 0, (1, [1, 2]), (2, [3, 4]), (0, [0]))
+    lines("a", 1, (3, [5]), (4, []), (5, "broken{"))
+    lines("b", 0, (0, [1, 2]), (2, "broken{"))
+    read = lambda **more: paged.read_pages(spark, f"{tmp_path}/in", "content", "totalFound", size=2, bundle=3, **more)
+    assert _got(read()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)] and _got(read(most=4)) == [("a", 0), ("a", 1), ("b", 0)]
+    assert _got(read(totals={"a": 7}, range_pages=2)) == [("a", n) for n in range(4)]
+    seen = []
+    lines("c", 0, (0, [1]))
+    for want in ([("c", 0)], [("c", 1), ("c", 2), ("c", 3)]):
+        seen.clear()
+        jobs.run_available(read(stream=True, totals={"c": None}), lambda batch, number: seen.extend(_got(batch)), f"{tmp_path}/offsets")
+        assert sorted(seen) == want
+        lines("c", 0, (1, [2]), (2, [3]))
+        lines("c", 1, (3, [4]))
+
+
+def test_files_of_the_query_are_bundles(spark):
+    """Not a file for each four customers."""
+    from pyspark.sql import DataFrameWriter
+
+    from postmill.plans import QUERIES
+
+    from .conftest import SMALL
+
+    written, real = [], DataFrameWriter.text
+    try:
+        DataFrameWriter.text = lambda self, path, *more, **options: (written.append(path.removeprefix("file:").replace("//", "/")), real(self, path, *more, **options))[1]
+        QUERIES["paged_source"](spark, SMALL)
+    finally:
+        DataFrameWriter.text = real
+    assert sum(n.endswith(".txt") for _, _, names in os.walk(written[0]) for n in names) <= 25
+
+
 def test_no_listing(spark, tmp_path):
     got = paged.read_pages(spark, str(tmp_path), totals={"none": None})
     assert got.count() == 0 and got.select(F.col("page")).schema.simpleString() == "struct<page:int>"
