@@ -21,17 +21,33 @@ LEDGER = "key string, attempt int, answer string, tokens bigint"
 CALL = 16
 
 
-def _known(folder: str) -> dict[str, list[dict]]:
-    """Attempts of each key, from the files of a bucket that are complete."""
+def _rows(path: str) -> dict[str, list[dict]]:
     out: dict[str, list[dict]] = {}
-    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-        if name.endswith(".json") and name[0] not in "._":
-            with open(os.path.join(folder, name), encoding="utf-8") as f:
-                for row in map(json.loads, f):
-                    out.setdefault(row["key"], []).append(row)
+    with open(path, encoding="utf-8") as f:
+        for row in map(json.loads, f):
+            out.setdefault(row["key"], []).append(row)
     return out
 
 
+class _Known:
+    """Attempts of a bucket's keys, which are asked for in order: of the files that are complete, only those whose first and last keys are about one are held."""
+
+    def __init__(self, folder: str):
+        self.files, self.held = [], []
+        for name in os.listdir(folder) if os.path.isdir(folder) else []:
+            if name.endswith(".json") and name[0] not in "._" and (keys := _rows(path := os.path.join(folder, name)).keys()):
+                self.files.append((min(keys), max(keys), path))
+        self.files.sort(reverse=True)
+
+    def at(self, key: str) -> list[dict]:
+        self.held = [(last, rows) for last, rows in self.held if last >= key]
+        while self.files and self.files[-1][0] <= key:
+            _, last, path = self.files.pop()
+            if last >= key:
+                self.held.append((last, _rows(path)))
+        return sorted((r for _, rows in self.held for r in rows.get(key, [])), key=lambda r: r["attempt"])
+
+
 def _keep(folder: str, rows: list[dict]) -> None:
     """A new file of the ledger, which is there whole or not at all."""
     os.makedirs(folder, exist_ok=True)
@@ -48,20 +64,20 @@ def _asked(ask, again, folder: str, call: int):
         return bool(attempts) and (len(attempts) > 1 or not (again and again(attempts[0]["answer"])))
 
     def apply(batches):
-        bucket, known, waiting, seen = None, {}, [], set()
+        bucket, known, last, waiting, n = None, None, None, [], 0
 
         def called() -> None:
             for attempt in (0, 1):
-                left = [(k, p) for k, p in waiting if not settled(known.get(k, [])) and len(known.get(k, [])) == attempt]
+                left = [w for w in waiting if not settled(w[2]) and len(w[2]) == attempt]
                 if not left:
                     continue
-                answers = ask([p for _, p in left], attempt)
+                answers = ask([p for _, p, _ in left], attempt)
                 if len(answers) != len(left):
                     raise ValueError(f"{len(answers)} answers to {len(left)} prompts")
-                rows = [{"key": k, "attempt": attempt, "answer": a, "tokens": int(t)} for (k, _), (a, t) in zip(left, answers)]
+                rows = [{"key": k, "attempt": attempt, "answer": a, "tokens": int(t)} for (k, _, _), (a, t) in zip(left, answers)]
                 _keep(f"{folder}/bucket={bucket}", rows)
-                for r in rows:
-                    known.setdefault(r["key"], []).append(r)
+                for (_, _, attempts), r in zip(left, rows):
+                    attempts.append(r)
             waiting.clear()
 
         for batch in batches:
@@ -69,15 +85,20 @@ def _asked(ask, again, folder: str, call: int):
                 if b != bucket:
                     if waiting:
                         called()
-                    bucket, known, seen = b, _known(f"{folder}/bucket={b}"), set()
-                if key not in seen and not settled(known.get(key, [])):
-                    seen.add(key)
-                    waiting.append((key, prompt))
+                    bucket, known, last = b, _Known(f"{folder}/bucket={b}"), None
+                # rows of one key follow each other
+                if key == last:
+                    continue
+                last = key
+                attempts = known.at(key)
+                if not settled(attempts):
+                    n += 1
+                    waiting.append((key, prompt, attempts))
                     if len(waiting) == call:
                         called()
         if waiting:
             called()
-        yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return apply
 

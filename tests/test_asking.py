@@ -1,6 +1,7 @@
 """A ledger of answers: nothing is asked twice, whatever dies."""
 
 import os
+import random
 
 import pytest
 
@@ -54,3 +55,20 @@ def test_answers_are_counted(spark, tmp_path):
     with pytest.raises(Exception, match="0 answers to 1 prompts"):
         asking.ask_all(df, lambda prompts, attempt: [], str(tmp_path)).collect()
     assert asking.read_ledger(spark, str(tmp_path)).count() == 0
+
+
+def test_no_task_holds_a_ledger(spark, tmp_path, monkeypatch):
+    """Files are held about the key that is asked for, and each attempt is found, whatever the order of the files."""
+    r = random.Random(3)
+    keys = sorted(str(k) for k in range(300))
+    for at in range(0, 300, 7):
+        asking._keep(f"{tmp_path}/b", [{"key": k, "attempt": 0, "answer": "x", "tokens": 1} for k in keys[at : at + 7]])
+        asking._keep(f"{tmp_path}/b", [{"key": k, "attempt": 1, "answer": "y", "tokens": 1} for k in keys[at : at + 7 : 3]])
+    asking._keep(f"{tmp_path}/b", [{"key": k, "attempt": 1, "answer": "z", "tokens": 1} for k in ("é", "zz")])
+    known, most = asking._Known(f"{tmp_path}/b"), 0
+    for n, k in enumerate([*keys, "zz", "é"]):
+        if r.random() < 0.8:
+            want = [1] if n >= 300 else [0, 1] if n % 7 % 3 == 0 else [0]
+            assert [a["attempt"] for a in known.at(k)] == want
+            most = max(most, len(known.held))
+    assert most <= 3
