@@ -145,3 +145,32 @@ def test_skills_are_whole_members(spark):
 def test_boards(spark, url, got):
     b = one(spark, text.detect_board, url)
     assert (b and (b["ats"], b["slug"])) == got
+
+
+def test_few_texts_of_a_batch_are_strings_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from postmill.functions import text
+
+    class Batch:
+        """A batch of which slices alone can be taken out."""
+
+        rows = pa.array(["<p>a</p>", None, "", "b<br>c"] * 5)
+        __len__ = lambda self: len(self.rows)
+
+        def slice(self, at, n):
+            assert n <= 3
+            return self.rows.slice(at, n)
+
+    monkeypatch.setattr(text, "TEXTS", 3, raising=False)
+    assert text.html_to_text.func(Batch()).to_pylist() == ["a", None, None, "b\nc"] * 5
+    assert text.html_to_text.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_forms_of_stored_skills_are_worked_out_once(spark):
+    from postmill.operators.validate import fabricated_skills
+
+    df = spark.createDataFrame([(["Postgre", "PostgreSQL", "k8s"], ["Stores: Postgres / Kafka", "k8s"]), (["x"], [])], "w array<string>, s array<string>")
+    got = df.select(fabricated_skills(F.col("w"), F.col("s")).alias("bad"))
+    assert [r["bad"] for r in got.collect()] == [["Postgre"], ["x"]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
