@@ -47,6 +47,19 @@ def test_a_table_of_profiles_equals_the_loop_over_profiles(spark):
         assert {b: n for b, n in row.asDict().items() if n and b not in ("profile_id", "pool")} == want and sum(want.values()) == row["pool"] == 120
 
 
+def test_texts_are_not_searched_for_one_term_after_another(spark, monkeypatch):
+    """Terms of a few tokens are found by a text's runs of tokens alone, and as their patterns find them; only others are looked for."""
+    looked, search = [], profiles._looked_for
+    monkeypatch.setattr(profiles, "_looked_for", lambda postings, terms: looked.extend(r["term"] for r in terms.collect()) or search(postings, terms))
+    texts = ["Go. C++, a_x", "\U0001d400b go.x", "node.js nodexjs (sql).", "_x !! é. go  x", "machine learning machine  learning", "x.go. a b c d", "", "GO\nsql"]
+    terms = ["go", "go.", "c++", "node.js", "b", "\U0001d400b", "!!", "é.", "machine learning", ".", "x.go", "_x", "a b c d", "go\nsql"]
+    postings, table = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = postings.crossJoin(table).where(F.rlike("text", profiles.pattern_of(F.col("term")))).select("id", "term").collect()
+    got = profiles.term_index(postings, table).select("id", F.explode("terms")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 20
+    assert sorted(looked) == ["_x", "a b c d"]
+
+
 def test_no_profiles_and_no_postings(spark):
     jobs, none = spark.createDataFrame(_postings(random.Random(1), 5), POSTING), spark.createDataFrame([], PROFILE)
     one = spark.createDataFrame([(1, None, None, None, None, None, None)], PROFILE)
