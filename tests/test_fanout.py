@@ -115,6 +115,25 @@ def test_overlaps_equal_the_nested_loop(spark, salts):
     assert sorted((x["l"]["k"], x["r"]["k"]) for x in got.collect()) == want
 
 
+def test_rows_of_keys_with_few_others_are_joined_once_and_without_bins(spark, monkeypatch):
+    """One side has few rows of most keys; only crowded keys go by bins, and none where there are none."""
+    r = random.Random(5)
+    rows = lambda n, keys: [(k, r.choice(keys), a := r.randrange(300), a + r.choice([0, 3, 900])) for k in range(n)]
+    left, right = rows(300, ["a", "b", "c", None]), rows(12, ["a", "c", "d", None]) + [(20 + k, "b", k, k + 5) for k in range(90)]
+    schema = "k bigint, g string, lo bigint, hi bigint"
+    ours, theirs = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] is not None and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    seen, bins = [], intervals._by_bins
+    monkeypatch.setattr(intervals, "_by_bins", lambda a, b, *more: seen.append({x["__l0"] for x in a.collect()}) or bins(a, b, *more))
+    for few, binned in ((4, [{"a", "b", "c"}]), (40, [{"b"}]), (100, [])):
+        monkeypatch.setattr(intervals, "FEW", few)
+        seen.clear()
+        got = intervals.overlaps(ours, theirs, "lo", "hi", 7, ("g",))
+        assert sorted((x["l"]["k"], x["r"]["k"]) for x in got.collect()) == want and len(seen) == len(binned)
+        assert all(found <= keys for found, keys in zip(seen, binned))
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _write(spark, tmp_path):
     n = iter(range(1000))
 
