@@ -40,7 +40,9 @@ def diff_upsert(current: DataFrame, batch: DataFrame, key: list[str], mutable: l
     on = [F.col(f"b.{k}") == F.col(f"c.{k}") for k in key]
     joined = c.join(b, on, "full_outer")
     seen, known = F.col(f"b.{key[0]}").isNotNull(), F.col(f"c.{key[0]}").isNotNull()
-    differs = ~canonical_json(F.col(f"b.{compare}")).eqNullSafe(canonical_json(F.col(f"c.{compare}"))) | F.col(f"c.{closed}").isNotNull()
+    ours, theirs = F.col(f"c.{compare}"), F.col(f"b.{compare}")
+    # most rows have the very text that they had, which is not parsed then
+    differs = F.when(theirs.eqNullSafe(ours), False).otherwise(~canonical_json(theirs).eqNullSafe(canonical_json(ours))) | F.col(f"c.{closed}").isNotNull()
     op = F.when(~known, "insert").when(seen & differs, "update").otherwise("unchanged")
     joined = joined.withColumn("_op", op)
     taken = F.col("_op") != "unchanged"

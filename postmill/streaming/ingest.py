@@ -62,18 +62,18 @@ class Ingest:
             seen.unpersist()
             return
         judged = self._judged(seen).persist()
-        # only keys of open rows are read of the state, and only of sources that may close
-        open_keys = self.store.read("postings").where("closed_at IS NULL").select(*self.key)
-        gone = open_keys.join(judged.where("may_close").select("source"), "source", "left_semi").join(seen.select(*self.key), list(self.key), "left_anti")
-        changes = seen.select(*self.posting, F.lit(False).alias("__gone")).unionByName(gone.withColumn("__gone", F.lit(True)), allowMissingColumns=True)
+        # a part without a key of the batch has something to close if it has any open row of a source that may close
+        closing = judged.where("may_close").select("source", F.col("may_close").alias("__may"))
+        open_rows = self.store.read("postings").where("closed_at IS NULL").join(closing, "source", "left_semi")
 
         def merged(old: DataFrame, new: DataFrame) -> DataFrame:
             mutable = [c for c in self.posting if c not in self.key]
-            out = diff_upsert(old.drop("op"), new.where("NOT __gone").drop("__gone"), list(self.key), mutable, self.compare, now, reset=())
-            out = out.join(new.where("__gone").select(*self.key, "__gone"), list(self.key), "left")
-            return out.withColumns({"closed_at": F.when(F.col("__gone"), F.lit(now)).otherwise(F.col("closed_at")), "op": F.when(F.col("__gone"), "close").otherwise(F.col("_op"))})
+            current = old.drop("op").withColumn("__seen", F.lit(None).cast("boolean"))
+            out = diff_upsert(current, new.withColumn("__seen", F.lit(True)), list(self.key), mutable, self.compare, now, reset=()).join(closing, "source", "left")
+            gone = F.col("__seen").isNull() & F.col("closed_at").isNull() & F.col("__may").isNotNull()
+            return out.withColumns({"closed_at": F.when(gone, F.lit(now)).otherwise(F.col("closed_at")), "op": F.when(gone, "close").otherwise(F.col("_op"))})
 
-        new = self.store.merge(version, "postings", changes, merged)
+        new = self.store.merge(version, "postings", seen.select(*self.posting), merged, open_rows)
         named = {"insert": "inserted", "update": "updated", "close": "closed"}
         done = new.where("op <> 'unchanged'").groupBy("source").agg(*(F.count_if(F.col("op") == op).alias(n) for op, n in named.items()))
         done = judged.join(done, "source", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in named.values()})

@@ -155,12 +155,15 @@ class Store:
         last = self._list()
         return Version(number, {name: last.get(name) or self._first(name) for name in self.tables})
 
-    def merge(self, version: Version, table: str, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    def merge(self, version: Version, table: str, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], also: DataFrame | None = None) -> DataFrame:
         """Write anew the parts that ``changes`` has keys of, as ``apply(old rows, changes)`` gives them, and return what was written. ``changes`` is
-        read twice. ``apply`` may drop rows, and must give rows with keys of ``changes`` or of the old rows only."""
+        read twice. ``apply`` may drop rows, and must give rows with keys of ``changes`` or of the old rows only. Parts of the keys of ``also``, which is
+        read if there are parts without changes, are written anew as well."""
         t, parts = self.tables[table], version.parts[table]
         where = _start_of(_hash(t.key), parts)
         come = {r["part"]: r["n"] for r in changes.groupBy(where.alias("part")).agg(F.count("*").alias("n")).collect()}
+        if also is not None and any(p.path and p.start not in come for p in parts):
+            come = {r["part"]: 0 for r in also.select(where.alias("part")).distinct().collect()} | come
         touched = [p for p in parts if p.start in come]
         if not touched:
             return self.rows(table, [])

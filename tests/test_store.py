@@ -156,3 +156,28 @@ def test_only_complete_sources_with_volume_close(spark, tmp_path):
     _fetch(spark, tmp_path, 1, [("a", "0", 0), ("part", "2", 0)])
     got = _take(spark, tmp_path, I.Ingest, complete=F.col("source") != "part")
     assert all(closed is None for *_, closed in _state(got)) and ("a", 1, 0, 0, 0, False) in _audit(got) and ("part", 1, 1, 0, 0, False) in _audit(got)
+
+
+def test_a_batch_reads_the_state_in_one_join_and_closes_in_parts_it_has_no_key_of(spark, tmp_path, monkeypatch):
+    """The state meets the batch once, for changes and closings alike; parts without a key of the batch are written anew only if they have rows to close."""
+    merges, merge = [], Store.merge
+
+    def noted(self, version, table, changes, apply, also=None):
+        def applied(old, new):
+            out = apply(old, new)
+            merges.append((table, out._jdf.queryExecution().optimizedPlan().toString().count("FullOuter"), changes.columns))
+            return out
+
+        return merge(self, version, table, changes, applied, also)
+
+    monkeypatch.setattr(Store, "merge", noted)
+    _fetch(spark, tmp_path, 0, [("a", str(k), 0) for k in range(40)] + [("b", str(k), 0) for k in range(40)])
+    first = _take(spark, tmp_path, I.Ingest, parts=16, floor=0.0)
+    _fetch(spark, tmp_path, 1, [("a", "1", 0), ("a", "2", 7)])
+    _take(spark, tmp_path, I.Ingest, parts=16, floor=0.0)
+    _fetch(spark, tmp_path, 2, [("a", "1", 0)])
+    got = _take(spark, tmp_path, I.Ingest, parts=16, floor=0.0)
+    want = [("a", str(k), "t7" if k == 2 else "t0", 1, 2 if k == 2 else 1, None if k == 1 else 3 if k == 2 else 2) for k in range(40)] + [("b", str(k), "t0", 1, 1, None) for k in range(40)]
+    assert _state(got) == sorted(want) and len(first.store.parts("postings")) == 16
+    assert sum(p.version == 2 for p in got.store.parts("postings")) <= 2  # those of a/1 and a/2
+    assert all(joins == 1 and "__gone" not in columns for table, joins, columns in merges if table == "postings")
