@@ -12,7 +12,7 @@ from .test_queries import canon
 TEXTS = ["", None, " ", "\n", "\t \n\n\n", "\x0b", "a\x0bb", " a ", "a b"]
 
 
-@pytest.mark.parametrize("name", ["source_aggregator"])
+@pytest.mark.parametrize("name", ["source_ashby", "source_aggregator"])
 def test_documents_of_blanks_equal_the_sql(spark, tmp_path, name):
     rows = [(10 * at + k, t, "en", "src1") for at, t in enumerate(TEXTS) for k in (0, 1, 2, 5)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
