@@ -16,8 +16,11 @@ retained suffix at each place.
 Neither the tree nor the words have a bound. The ``HOT_WORDS`` most frequent words and the
 ``HOT_NODES`` most frequent nodes are broadcast (a node is a run of words, with its probability as
 an entry and what it leaves to its suffix as a context). Counts of other words are looked up by a
-join. A Bloom filter of the other nodes tells which places may need one; those have their nodes
-looked up by a join, too, so that scores do not depend on what is broadcast.
+join. What the other nodes say are the cold facts, one each for an entry and a context. A Bloom
+filter of them is broadcast, and what it lets through of the texts to be scored, though there is no
+such fact, is told apart by a join before. So a place's terms are known for sure, and a text asks
+for its sum of terms by the different facts in it, not place by place; scores do not depend on what
+is broadcast.
 
 Runs are told apart by 64-bit hashes. Null texts count as empty (an end only). Repeated rows are
 scored, and counted in training, one by one. Rows with a null id are training rows. With no
@@ -36,6 +39,7 @@ from .shared import lists, text_batches, written
 from .tokens import BLANKS, hash_words, mix
 
 END = np.uint64(0x5851F42D4C957F2D)
+_LEAVES = np.uint64(0xD1B54A32D192ED03)
 DEPTH = 2
 DISCOUNT = 0.75
 LEAST_COUNT = 4
@@ -46,6 +50,8 @@ HOT_WORDS, HOT_NODES = 1 << 20, 1 << 22
 #: Bits of a broadcast set of keys for each key, and of a whole one at least and at most (128 MB, which is enough for 2^26 keys; with more
 #: of them, more of what is no key is let through); and how many bits a key of a Bloom filter has.
 KEY_BITS, LEAST_BITS, MOST_BITS, PROBES = 16, 1 << 20, 1 << 30, 4
+#: What a Bloom filter lets through in vain is listed up to so many keys (8 bytes each), and beyond that by a filter of its own.
+MOST_LISTED = 1 << 22
 #: Bits of the set of broadcast nodes' or words' keys.
 HOT_BITS = 1 << 26
 _HELD = 1 << 21
@@ -129,6 +135,40 @@ def _bit_set(keys: DataFrame, probes: int = 1) -> np.ndarray:
     return words.view(np.uint8)
 
 
+class _Apart:
+    """Which of the keys that a Bloom filter lets through are none: by filters that each hold what the one before lets through in vain, and a list at the end."""
+
+    def __init__(self, tried: DataFrame, most: int):
+        """``tried``: each key let through once, and whether it is ``there``."""
+        wrong, right = tried.where("not there").select("key"), tried.where("there").select("key")
+        self.filters, n, before = [], wrong.count(), None
+        while n > most and (before is None or n < before):
+            self.filters.append(_bit_set(wrong, PROBES))
+            wrong, right, before = right.mapInArrow(_let_through(self.filters[-1]), "key bigint"), wrong, n
+            n = wrong.count()
+        self.last = np.sort(wrong.toArrow()["key"].to_numpy().view(np.uint64))
+
+    def there(self, keys: np.ndarray) -> np.ndarray:
+        out, at, yes = np.ones(len(keys), bool), np.arange(len(keys)), True
+        for packed in self.filters:
+            at, yes = at[_in_all(packed, keys[at])], not yes
+            out[at] = yes
+        if len(self.last):
+            near = self.last[np.minimum(np.searchsorted(self.last, keys[at]), len(self.last) - 1)]
+            out[at[near == keys[at]]] = not yes
+        return out
+
+
+def _let_through(packed: np.ndarray):
+    def apply(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[_in_all(packed, keys)].view(np.int64))], names=["key"])
+
+    return apply
+
+
 # ---- counts -----------------------------------------------------------------------------------
 
 
@@ -274,8 +314,24 @@ def _most_frequent(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | N
     return (rows.limit(0), rows) if cut is None else (rows.where(F.col("n") >= cut), rows.where(F.col("n") < cut))
 
 
+def _leaves(keys: np.ndarray) -> np.ndarray:
+    """Keys of the facts what contexts leave; an entry's fact has the key of its run."""
+    return mix(keys + _LEAVES)
+
+
+def _facts(batches):
+    """(key, fact) of nodes (key, lp, esc): one for each that is not null."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for column, of in ((1, lambda k: k), (2, _leaves)):
+                there = batch.column(column).is_valid()
+                found = of(keys[there.to_numpy(zero_copy_only=False)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(column).filter(there)], names=["key", "fact"])
+
+
 class SuffixTree:
-    """A fitted tree: hot words and nodes as one broadcast, all words as a table (key, n), the other nodes as a table (key, lp, esc) or None."""
+    """A fitted tree: hot words and nodes as one broadcast, all words as a table (key, n), what the other nodes say as a table (key, fact) or None."""
 
     def __init__(self, hot: Broadcast, words: DataFrame, cold: DataFrame | None, depth: int, total: int, distinct: int):
         self.hot, self.words, self.cold, self.depth, self.total = hot, words, cold, depth, total
@@ -299,93 +355,125 @@ def fit(training: DataFrame, text_col: str = "text", depth: int = DEPTH, least_c
         nodes = both if nodes is None else nodes.unionByName(both)
     nodes = written(nodes.groupBy("key").agg(F.max("n").alias("n"), F.max("lp").cast("float").alias("lp"), F.max("esc").cast("float").alias("esc")), "nodes")
     hot, cold = _most_frequent(nodes, hot_nodes)
+    if cold is not None:
+        cold = written(cold.select("key", "lp", "esc").mapInArrow(_facts, "key bigint, fact float"), "facts")
     model = {"words": _Hot(_most_frequent(words, hot_words)[0], ["n"]), "nodes": _Hot(hot, ["lp", "esc"]),
              "cold": None if cold is None else _bit_set(cold.select("key"), PROBES)}
-    return SuffixTree(spark.sparkContext.broadcast(model), words, None if cold is None else cold.select("key", "lp", "esc"), depth, total, distinct)
+    return SuffixTree(spark.sparkContext.broadcast(model), words, cold, depth, total, distinct)
 
 
 # ---- scores -----------------------------------------------------------------------------------
 
 
-_NAMES = ["row", "id", "held_out", "n_tokens", "known", "base", "value", "cold", "times", "low_times", "at", "ask", "have"]
+_NAMES = ["row", "id", "held_out", "n_tokens", "known", "base", "value", "cold", "times", "low_times", "asks", "ask_times"]
+
+
+def _terms(m: dict, apart: _Apart | None, words: np.ndarray, offsets: np.ndarray, depth: int, base: np.ndarray):
+    """Of each place: the sum of its known terms, whether the word's own is among its terms, and keys of its terms that are cold facts (0: none), a row for each
+    kind of term; then keys of all facts that some place may need. Without ``apart`` the filter alone tells which facts there are."""
+
+    def cold(keys: np.ndarray, of: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The keys where there is a cold fact of them."""
+        hit = _in_all(m["cold"], keys)
+        if apart is not None:
+            some = np.flatnonzero(hit)
+            hit[some] = apart.there(keys[some])
+        out[of[hit]] = keys[hit]
+        needed.append(keys[hit])
+        return out
+
+    n, needed = len(words), []
+    none = lambda: np.zeros(n, np.uint64)
+    value, low, terms = base.copy(), np.ones(n, bool), [none()]
+    esc, left = np.full(n, np.nan), none()
+    for level, _, _, run, there in _runs(words, offsets, depth):
+        own, ask = _before(esc, np.nan), _before(left, 0)
+        own[~there], ask[~there] = np.nan, 0
+        kept = ~np.isnan(own) | (ask > 0) if level else there
+        at = np.flatnonzero(there if level < depth else kept)  # a run is looked up where its context is there, or as a context itself
+        lp, esc = np.full(n, np.nan), np.full(n, np.nan)
+        found, (a, b) = m["nodes"].get(run[at])
+        lp[at[found]], esc[at[found]] = a, b
+        said, left = none(), none()
+        if m["cold"] is not None:
+            other = np.ones(len(at), bool)
+            other[found] = False
+            at = at[other]
+            if level < depth:
+                left = cold(_leaves(run[at]), at, left)
+            if level:
+                at = at[kept[at]]
+                said = cold(run[at], at, said)
+        if level:
+            hit = kept & (~np.isnan(lp) | (said > 0))
+            value = np.where(hit, np.nan_to_num(lp), np.where(kept, np.nan_to_num(own) + value, value))
+            low &= ~hit
+            for x in terms:
+                x[hit] = 0
+            terms[0][hit] = said[hit]
+            terms.append(np.where(kept & ~hit, ask, np.uint64(0)))
+    return value, low, np.stack(terms), needed
+
+
+def _needed(hot: Broadcast, depth: int):
+    """Keys of cold facts that the filter lets through, each once in so many words."""
+
+    def told(held):
+        keys = np.unique(np.concatenate(held))
+        for k in range(0, len(keys), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + _CHUNK].view(np.int64))], names=["key"])
+
+    def apply(batches):
+        held, size = [], 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                words, offsets = _tokens(batch.column(0))
+                held += _terms(hot.value, None, words, offsets, depth, np.zeros(len(words)))[3]
+                size += len(words)
+                if size >= _HELD:
+                    yield from told(held)
+                    held, size = [], 0
+            if held:
+                yield from told(held)
+
+    return apply
 
 
-def _score(hot: Broadcast, depth: int, scale: float):
-    """One row per text with the sums of what is known and its other words, and one per place that may need other nodes: the keys it asks for.
+def _in_rows(row: np.ndarray, keys: np.ndarray, rows: int, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different keys of each row, where each row's begin, and their sums of weights."""
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
+    sums = [np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights]
+    return keys[first], np.searchsorted(row[first], np.arange(rows + 1)), sums
 
-    Values of a place, in order: what the contexts of 1 … depth words leave, then probabilities of its runs of 1 … depth + 1 words."""
 
-    def node(m: dict, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """lp and esc of nodes, not a number where there is none, and whether it may be one of the others."""
-        lp, esc, asked = np.full(len(keys), np.nan), np.full(len(keys), np.nan), np.zeros(len(keys), bool)
-        found, (a, b) = m["nodes"].get(keys[at])
-        lp[at[found]], esc[at[found]] = a, b
-        if m["cold"] is not None:
-            asked[at] = _in_all(m["cold"], keys[at])
-            asked[at[found]] = False
-        return lp, esc, asked
+def _score(hot: Broadcast, apart: Broadcast | None, depth: int, scale: float):
+    """One row per text: the sums of what is known, its other words and the cold facts that it asks for."""
 
     def apply(batches):
-        m = hot.value
+        m, sure = hot.value, None if apart is None else apart.value
         for batch in batches:
             with np.errstate(over="ignore"):
                 words, offsets = _tokens(batch.column(3))
-                n, rows = len(words), len(offsets) - 1
+                rows = len(offsets) - 1
                 row = np.repeat(np.arange(rows), np.diff(offsets))
                 different, where = np.unique(words, return_inverse=True)
                 found, (counts,) = m["words"].get(different)
                 known, log = np.zeros(len(different), bool), np.zeros(len(different))
                 known[found], log[found] = True, np.log10((counts + 1) / scale)
                 heard, base = known[where], log[where]
-                left, probs, keys, waits = [], [np.where(heard, base, np.nan)], {depth: words}, {depth: ~heard}
-                value, low, open_ = base.copy(), np.ones(n, bool), np.zeros(n, bool)
-                for level, context, _, run, there in _runs(words, offsets, depth):
-                    at = np.flatnonzero(there)
-                    if level:
-                        esc, asked = _before(esc, np.nan), _before(asked, False)
-                        esc[~there], asked[~there] = np.nan, False
-                        left.append(esc)
-                        keys[level - 1], waits[level - 1] = context, asked
-                        open_ |= asked
-                        own, after = esc, asked
-                        if level == depth:  # a run is looked up where its context may be there, or as a context itself
-                            at = np.flatnonzero(~np.isnan(own) | after)
-                    lp, esc, asked = node(m, run, at)
-                    if level:
-                        lp[np.isnan(own) & ~after] = np.nan
-                        probs.append(lp)
-                        waits[depth + level] = asked & (~np.isnan(own) | after)
-                        keys[depth + level] = run
-                        open_ |= waits[depth + level]
-                        kept, hit = ~np.isnan(own), ~np.isnan(lp)
-                        value = np.where(kept, np.where(hit, lp, own + value), value)
-                        low &= ~(kept & hit)
+                value, low, terms, _ = _terms(m, sure, words, offsets, depth, base)
                 per = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
                 # what is left of the words: distinct ones of each text, all their times and those that count for the score
                 cold = np.flatnonzero(~heard)
-                pair = np.stack([row[cold].astype(np.uint64), words[cold]])
-                uniq, where = np.unique(pair, axis=1, return_inverse=True) if len(cold) else (pair, np.empty(0, np.int64))
-                times, low_times = np.bincount(where, minlength=uniq.shape[1]), np.bincount(where, weights=(low & ~open_)[cold], minlength=uniq.shape[1])
-                ends = np.searchsorted(uniq[0], np.arange(rows + 1, dtype=np.uint64))
-                none = pa.nulls(rows)
+                others, others_end, (times, low_times) = _in_rows(row[cold], words[cold], rows, np.ones(len(cold), np.int32), low[cold].astype(np.int32))
+                _, place = np.nonzero(terms)
+                asks, asks_end, (ask_times,) = _in_rows(row[place], terms[terms > 0], rows, np.ones(len(place), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets)), pa.array(per(heard).astype(np.int64)), pa.array(per(base)), pa.array(per(np.where(open_, 0, value))),
-                     lists(np.ascontiguousarray(uniq[1]).view(np.int64), ends, pa.int64()), lists(times.astype(np.int32), ends, pa.int32()), lists(low_times.astype(np.int32), ends, pa.int32()),
-                     none.cast(pa.int64()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.float64()))], names=_NAMES)
-                wide = 2 * depth + 1
-                for at in np.array_split(np.flatnonzero(open_), max(1, int(open_.sum()) // _CHUNK)):
-                    if not len(at):
-                        continue
-                    k = len(at)
-                    ask = np.stack([keys[j][at].view(np.int64) for j in range(wide)], axis=1).reshape(-1)
-                    mask = np.stack([~waits[j][at] for j in range(wide)], axis=1).reshape(-1)
-                    have = np.stack([x[at] for x in (*left, *probs)], axis=1).reshape(-1)
-                    ends = pa.array(np.arange(k + 1) * wide, pa.int32())
-                    blank = lambda t: pa.nulls(k, t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row[at])), blank(batch.column(1).type), blank(pa.bool_()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64()),
-                         blank(pa.list_(pa.int64())), blank(pa.list_(pa.int32())), blank(pa.list_(pa.int32())),
-                         pa.array(at), pa.ListArray.from_arrays(ends, pa.array(ask, mask=mask)), pa.ListArray.from_arrays(ends, pa.array(have, from_pandas=True))], names=_NAMES)
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets)), pa.array(per(heard).astype(np.int64)), pa.array(per(base)), pa.array(per(value)),
+                     lists(others.view(np.int64), others_end, pa.int64()), lists(times, others_end, pa.int32()), lists(low_times, others_end, pa.int32()),
+                     lists(asks.view(np.int64), asks_end, pa.int64()), lists(ask_times, asks_end, pa.int32())], names=_NAMES)
 
     return apply
 
@@ -394,21 +482,12 @@ def _word_log(count: Column, scale: float) -> Column:
     return F.log10((F.coalesce(count, F.lit(0)) + 1) / F.lit(scale))
 
 
-def _looked_up(places: DataFrame, tree: SuffixTree) -> DataFrame:
-    """(row, more_value): sums over the places that asked, once their nodes and words are joined to them."""
-    depth, wide = tree.depth, 2 * tree.depth + 1
-    parts = places.select("row", "at", F.posexplode(F.arrays_zip("ask", "have")).alias("k", "v")).select("row", "at", "k", "v.ask", "v.have")
-    value = F.when(F.col("k") < depth, F.col("esc")).otherwise(F.col("lp")).cast("double")
-    nodes = parts.where(f"ask is not null and k <> {depth}").join(tree.cold.withColumnRenamed("key", "ask"), "ask").select("row", "at", "k", value.alias("have"))
-    words = parts.where(f"ask is not null and k = {depth}").join(tree.words.withColumnRenamed("key", "ask"), "ask", "left").select("row", "at", "k", _word_log(F.col("n"), tree.scale).alias("have"))
-    known = parts.where("ask is null").select("row", "at", "k", "have")
-    whole = (nodes.unionByName(words).unionByName(known).groupBy("row", "at")
-             .agg(*(F.max(F.when(F.col("k") == k, F.col("have"))).alias(f"v{k}") for k in range(wide))))
-    whole = whole.withColumn("s0", F.col(f"v{depth}"))
-    for level in range(1, depth + 1):
-        esc, lp, lower = F.col(f"v{level - 1}"), F.col(f"v{depth + level}"), F.col(f"s{level - 1}")
-        whole = whole.withColumn(f"s{level}", F.when(esc.isNull(), lower).otherwise(F.coalesce(lp, esc + lower)))
-    return whole.groupBy("row").agg(F.sum(f"s{depth}").alias("more_value"))
+def _told_apart(texts: DataFrame, tree: SuffixTree) -> Broadcast:
+    """Which of the cold facts that the texts may need there are."""
+    there = tree.cold.select("key", F.lit(True).alias("there"))
+    asked = texts.mapInArrow(_needed(tree.hot, tree.depth), "key bigint").distinct()
+    tried = written(asked.join(there, "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("there")), "tried")
+    return texts.sparkSession.sparkContext.broadcast(_Apart(tried, MOST_LISTED))
 
 
 def score(docs: DataFrame, tree: SuffixTree, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
@@ -416,16 +495,20 @@ def score(docs: DataFrame, tree: SuffixTree, id_col: str = "doc_id", text_col: s
     text_batches(docs.sparkSession, 256)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.lit(False) if held is None else held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = written(rows.mapInArrow(_score(tree.hot, tree.depth, tree.scale),
+    apart = None if tree.cold is None else _told_apart(rows.select("text"), tree)
+    found = written(rows.mapInArrow(_score(tree.hot, apart, tree.depth, tree.scale),
                                     f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, value double, cold array<bigint>, times array<int>, low_times array<int>, "
-                                    "at bigint, ask array<bigint>, have array<double>"), "scored")
-    scored = found.where("at is null").select("row", "id", "held_out", "n_tokens", "known", "base", "value")
+                                    "asks array<bigint>, ask_times array<int>"), "scored")
+    scored = found.select("row", "id", "held_out", "n_tokens", "known", "base", "value")
     part, zero = _word_log(F.col("n"), tree.scale), F.lit(0)
-    cold = (found.where("at is null").select("row", F.inline(F.arrays_zip("cold", "times", "low_times"))).join(tree.words.withColumnRenamed("key", "cold"), "cold", "left").groupBy("row")
+    cold = (found.select("row", F.inline(F.arrays_zip("cold", "times", "low_times"))).join(tree.words.withColumnRenamed("key", "cold"), "cold", "left").groupBy("row")
             .agg(F.sum(F.col("times") * part).alias("cold_base"), F.sum(F.col("low_times") * part).alias("cold_value"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("cold_known")))
     scored = scored.join(cold, "row", "left").withColumns({f"{c}": F.col(c) + F.coalesce(f"cold_{c}", zero) for c in ("known", "base", "value")})
     if tree.cold is not None:
-        more = _looked_up(found.where("at is not null").select("row", "at", "ask", "have"), tree)
+        # a fact that was there when texts were searched for what they need is there now; else a text has changed meanwhile
+        fact = F.coalesce(F.col("fact").cast("double"), F.raise_error(F.lit("a text asks for a node that there is not")).cast("double"))
+        asks = found.select("row", F.inline(F.arrays_zip("asks", "ask_times"))).join(tree.cold.withColumnRenamed("key", "asks"), "asks", "left")
+        more = asks.groupBy("row").agg(F.sum(F.col("ask_times") * fact).alias("more_value"))
         scored = scored.join(more, "row", "left").withColumn("value", F.col("value") + F.coalesce("more_value", zero))
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").cast("bigint").alias("n_known"), F.lit(tree.total).cast("bigint").alias("train_tokens"),

@@ -297,6 +297,34 @@ def test_suffix_tree_equals_brute_force(spark, depth, words, nodes):
     assert sum(got[k]["score"] - got[k]["base_score"] for k in out) > 0
 
 
+def test_texts_ask_for_other_nodes_once_each_and_not_place_by_place(spark, monkeypatch):
+    rows, counts = docs(spark, [t for t in _chatter(60) for _ in range(5)]), {}
+    written = suffix_tree.written
+
+    def counted(df, what):
+        out = written(df, what)
+        counts[what] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", counted)
+    tree = suffix_tree.fit(rows, hot_nodes=3)
+    assert suffix_tree.score(rows, tree).count() == counts["scored"] == 300 and tree.cold.count() > 20
+
+
+@pytest.mark.parametrize("listed", [1 << 22, 20, 1])
+def test_nodes_that_a_filter_lets_through_in_vain_are_told_apart(spark, monkeypatch, listed):
+    """A filter of few bits lets through much in vain; that is listed, or told apart by filters of what came through."""
+    rows = docs(spark, _chatter(300))
+    want = {r["doc_id"]: r["score"] for r in suffix_tree.score(rows, suffix_tree.fit(rows)).collect()}
+    for name, value in (("LEAST_BITS", 64), ("KEY_BITS", 1), ("MOST_LISTED", listed)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    apart, made = [], suffix_tree._Apart.__init__
+    monkeypatch.setattr(suffix_tree._Apart, "__init__", lambda self, *a: made(self, *a) or apart.append(self))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(rows, suffix_tree.fit(rows, hot_nodes=10)).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    assert bool(apart[0].filters) == (listed < 1 << 22) and (apart[0].filters or len(apart[0].last))
+
+
 def test_suffix_tree_distributions_sum_to_one(spark):
     texts = _chatter(300)
     tree = suffix_tree.fit(docs(spark, texts), depth=2)
