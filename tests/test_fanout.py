@@ -60,6 +60,22 @@ def test_texts_are_not_searched_for_one_term_after_another(spark, monkeypatch):
     assert sorted(looked) == ["_x", "a b c d"]
 
 
+def test_of_texts_only_runs_that_may_be_terms_are_shuffled(spark, monkeypatch):
+    """More terms than are broadcast: a set of bits lets all terms and few other runs through to the join."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(3_000)}" for _ in range(150)) for _ in range(40)]
+    words, terms = spark.createDataFrame([(f"w{k}",) for k in range(3_000)], "term string"), [f"w{k}" for k in range(0, 3_000, 100)] + ["w1 w2", "c++"]
+    postings, table = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted(tuple(x) for x in profiles.term_index(postings, table).select("id", F.explode("terms")).collect())
+    monkeypatch.setattr(profiles, "MOST_WORDS", 0)
+    index = profiles.term_index(postings, table)
+    assert sorted(tuple(x) for x in index.select("id", F.explode("terms")).collect()) == want and len(want) > 30
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("getbit") < plan.index("Generate explode")
+    passed = {x["term"] for x in words.where(profiles._in_bits(F.col("term"), table, len(terms))).collect()}
+    assert passed >= set(terms[:30]) and len(passed) < 300
+
+
 def test_no_profiles_and_no_postings(spark):
     jobs, none = spark.createDataFrame(_postings(random.Random(1), 5), POSTING), spark.createDataFrame([], PROFILE)
     one = spark.createDataFrame([(1, None, None, None, None, None, None)], PROFILE)
